@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Runs without white space in each of the two generations of encodings that a worker keeps.
-KEPT_RUNS = 250_000
+KEPT_RUNS = 300_000
 #: Characters below this have the same classes in all versions of Unicode, and none composes with another.
 PLAIN_LIMIT = "ɐ"
 END = "</w>"
@@ -162,11 +162,16 @@ class Generations:
         self.young[word] = value
         return value
 
-    def each(self, words: list) -> list:
+    def each(self, runs: list[str]) -> list:
+        """The values of the parts of each run. A mark after a letter is a pre-token of its own, so both are known apart."""
         young, out = self.young, []
-        for w in words:
-            if (value := young.get(w)) is None:
-                value, young = self.new(w), self.young
+        for r in runs:
+            if (value := young.get(r)) is None:
+                if len(r) > 1 and not r[-1].isalnum() and r[-2].isalpha():
+                    out.append(young.get(r[:-1]) or self.new(r[:-1]))
+                    r = r[-1]
+                value = self.young.get(r) or self.new(r)
+                young = self.young
             out.append(value)
         return out
 
