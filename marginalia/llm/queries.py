@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, edit_counts, secret_scan, url_filter
+from . import bpe_codec, edit_counts, secret_scan, toxic_spans, url_filter
 from .common import read
 
 #: Host and path rules of the URL filter: the longest that fits decides.
@@ -17,6 +17,13 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxic_spans.score(docs, toxic_spans.train(docs, read(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= toxic_spans.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", toxic_spans.held_out(F.col("doc_id")).alias("held_out"), "score", predicted, "spans")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), "page_id", "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -56,7 +63,7 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_bpe_codec, op8_url_filter, op9_secret_scan, op10_edit_counts)}
+    return {f.__name__: f for f in (op4_bpe_codec, op6_toxic_spans, op8_url_filter, op9_secret_scan, op10_edit_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
