@@ -6,13 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, edit_counts, secret_scan, toxic_spans, url_filter
+from . import bpe_codec, decontaminate, edit_counts, line_chunks, secret_scan, toxic_spans, url_filter
 from .common import read
 
 #: Host and path rules of the URL filter: the longest that fits decides.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_chunks.clean(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -63,8 +77,8 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_bpe_codec, op6_toxic_spans, op8_url_filter, op9_secret_scan, op10_edit_counts)}
+    return {f.__name__: f for f in (op3_line_chunks, op4_bpe_codec, op5_decontaminate, op6_toxic_spans, op8_url_filter, op9_secret_scan, op10_edit_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": op8_sql()}
+    return {"op3_line_chunks": line_chunks.SQL, "op5_decontaminate": decontaminate.sql(), "op8_url_filter": op8_sql()}
