@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, bpe_codec, decontaminate, edit_counts, line_chunks, secret_scan, toxic_spans, url_filter
+from . import bag_minhash, bpe_codec, decontaminate, edit_counts, line_chunks, pivot_index, secret_scan, toxic_spans, url_filter
 from .common import read
 
 #: Host and path rules of the URL filter: the longest that fits decides.
@@ -17,6 +17,10 @@ def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.links(read(spark, sf_dir, "embeddings"))
+
+
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_chunks.clean(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -81,8 +85,8 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bag_minhash, op3_line_chunks, op4_bpe_codec, op5_decontaminate, op6_toxic_spans, op8_url_filter, op9_secret_scan, op10_edit_counts)}
+    return {f.__name__: f for f in (op1_bag_minhash, op2_pivot_index, op3_line_chunks, op4_bpe_codec, op5_decontaminate, op6_toxic_spans, op8_url_filter, op9_secret_scan, op10_edit_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_chunks": line_chunks.SQL, "op5_decontaminate": decontaminate.sql(), "op8_url_filter": op8_sql()}
+    return {"op2_pivot_index": pivot_index.SQL, "op3_line_chunks": line_chunks.SQL, "op5_decontaminate": decontaminate.sql(), "op8_url_filter": op8_sql()}
