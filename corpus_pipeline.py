@@ -1,16 +1,72 @@
-"""The corpus pipeline: STAGES applied one after the other to documents."""
+"""The corpus pipeline: STAGES applied one after the other to documents.
+
+Each stage takes all that the one before kept, and its decisions take effect: toxic documents go, repeated chunks of
+lines leave the texts, of each group of near copies one document stays, contaminated documents go, and what is left is
+encoded. A stage's output is to be written and read again before the next one; run() does so in the shared folder.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm import bag_minhash, bpe_codec, decontaminate, line_chunks, toxic_spans
+from marginalia.llm.common import read, shared_folder
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; those with a null id too. Rows of one id share its worst score."""
+    model = toxic_spans.train(docs, read(spark, sf_dir, "labels"))
+    toxic = toxic_spans.score(docs, model).where(F.col("score") >= toxic_spans.THRESHOLD).select("doc_id").distinct()
+    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the chunks of lines that stand elsewhere before; n_chars follows."""
+    cleaned = line_chunks.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are the first of their group of near copies; those with a null id or without words stay."""
+    copies = bag_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    found = decontaminate.report(docs, read(spark, sf_dir, "benchmark"))
+    bad = found.where(decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    return bpe_codec.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("MinHash near-dedup", one_of_near_copies),
+    ("benchmark decontamination", without_contaminated),
+    ("BPE encoding and decoding", encoded),
+]
 
-STAGES: list = []
 #: SQL can't express the classifier, the signatures or the encoder.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The last stage's rows. Each stage before is written as Parquet to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
     return docs

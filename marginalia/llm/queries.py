@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, bpe_codec, decontaminate, edit_counts, line_chunks, pivot_index, secret_scan, toxic_spans, url_filter
+from . import bag_minhash, bpe_codec, decontaminate, edit_counts, line_chunks, pivot_index, repeats, secret_scan, toxic_spans, url_filter
 from .common import read
 
 #: Host and path rules of the URL filter: the longest that fits decides.
@@ -46,6 +46,11 @@ def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxic_spans.held_out(F.col("doc_id")).alias("held_out"), "score", predicted, "spans")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(read(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), "page_id", "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -85,7 +90,7 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bag_minhash, op2_pivot_index, op3_line_chunks, op4_bpe_codec, op5_decontaminate, op6_toxic_spans, op8_url_filter, op9_secret_scan, op10_edit_counts)}
+    return {f.__name__: f for f in (op1_bag_minhash, op2_pivot_index, op3_line_chunks, op4_bpe_codec, op5_decontaminate, op6_toxic_spans, op7_repeats, op8_url_filter, op9_secret_scan, op10_edit_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
