@@ -58,3 +58,43 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 
 def organization_names(acronym: str) -> list[str] | None:
     return ORGANIZATIONS.get(acronym.upper())
+
+# Acronyms and full names as reference lists know them. Not a superset of the above.
+REFERENCE_ORGANIZATIONS = {a: n for a, n in ORGANIZATIONS.items() if a != "JASP"} | {
+    "ProFAN": ["ProFAN Consortium"],
+    "NICE": ["National Institute for Health and Care Excellence"],
+    "NHS": ["National Health Service"],
+    "IBGE": ["Instituto Brasileiro de Geografia e Estatística"],
+    "AAPOR": ["American Association for Public Opinion Research"],
+    "US Census Bureau": ["United States Census Bureau"],
+    "IACO": ["International Alliance of Carer Organizations"],
+    "WWF": ["World Wildlife Fund", "World Wide Fund for Nature"],
+    "IUCN": ["International Union for Conservation of Nature"],
+    "IPCC": ["Intergovernmental Panel on Climate Change"],
+    "UNDP": ["United Nations Development Programme"],
+    "FAO": ["Food and Agriculture Organization"],
+    "ILO": ["International Labour Organization"],
+    "USDA": ["United States Department of Agriculture"],
+    "NOAA": ["National Oceanic and Atmospheric Administration"],
+    "NRC": ["National Research Council"],
+    "NAS": ["National Academy of Sciences"],
+    "USGS": ["United States Geological Survey"],
+    "DFID": ["Department for International Development"],
+    "UNEP": ["United Nations Environment Programme"],
+    "UNCTAD": ["United Nations Conference on Trade and Development"],
+    "IOM": ["International Organization for Migration"],
+    "UNHCR": ["United Nations High Commissioner for Refugees"],
+    "UNAIDS": ["Joint United Nations Programme on HIV/AIDS"],
+    "NHTSA": ["National Highway Traffic Safety Administration"],
+    "SAMHSA": ["Substance Abuse and Mental Health Services Administration"],
+    "BLS": ["Bureau of Labor Statistics"],
+    "GAO": ["Government Accountability Office"],
+    "CBO": ["Congressional Budget Office"],
+    "AAAS": ["American Association for the Advancement of Science"],
+}
+ACRONYM_OF = {name.lower(): acronym for acronym, names in REFERENCE_ORGANIZATIONS.items() for name in names}
+REFERENCE_ORG_WORDS = (
+    "organization organisation association institute instituto agency foundation committee council department bureau board"
+    " commission center centre administration service office ministry university college society academy corporation company"
+    " consortium authority tribunal collaboration network initiative"
+).split()
