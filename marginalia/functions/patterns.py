@@ -78,3 +78,9 @@ LABEL_WORD = (
     r"^(?:Table|Figure|Fig|Eq|Equation|Chapter|Section|Step|Item|page|pages|pp?|Appendix|Supplement|Panel|Part|Scheme|Algorithm|Listing|Line|Row|Column|Criterion"
     r"|Condition|Model|Experiment|Sample|Group|Phase|Trial|Block|Protocol|Hypothesis|Version|vol|no|CO|H2O|COVID|SARS|mp|km|mg|kg|Hz|kHz|MHz|GHz|dB|mm|cm|nm|pH)$"
 )
+
+
+def jvm(pattern: str, flags: str = "") -> str:
+    """The pattern for the JVM, with Unicode white space."""
+    body = ascii_classes(pattern)
+    return "(?U" + ("iu" if "i" in flags else "") + ("m" if "m" in flags else "") + ")" + (body if "m" in flags else body.replace("$", r"\z"))
