@@ -47,6 +47,51 @@ def citations_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cited(spark, sf_dir, False)
 
 
+#: (text, type, style, authors, pages) of forms; {a} and {b} are surnames, {y} a year.
+FORM_TABLE = (
+    ("({a} & {b}, {y}, pp. 3-9)", "two_authors", "parenthetical", "{a}|{b}", "pp. 3-9"),
+    ("({a} et al., {y}, p. 4)", "et_al", "parenthetical", "{a}|et al.", "p. 4"),
+    ("({a}, {y}, p. 4)", "single", "parenthetical", "{a}", "p. 4"),
+    ("({a}, {b}, & Quill, {y})", "et_al", "parenthetical", "{a}|{b}|Quill", ""),
+    ("({a}, {b}, et al., {y})", "et_al", "parenthetical", "{a}|{b}|et al.", ""),
+    ("{a} and {b} ({y})", "two_authors", "narrative", "{a}|{b}", ""),
+    ("{a} et al. ({y})", "et_al", "narrative", "{a}|et al.", ""),
+    ("{a}, {b}, and Quill ({y})", "et_al", "narrative", "{a}|{b}|Quill", ""),
+    ("{a}'s ({y})", "single", "narrative", "{a}", ""),
+    ("{a} and {b}'s ({y})", "two_authors", "narrative", "{a}|{b}", ""),
+    ("{a} et al.'s ({y})", "et_al", "narrative", "{a}|et al.", ""),
+    ("{a} and colleagues ({y})", "et_al", "narrative", "{a}|et al.", ""),
+    ("{a} with colleagues ({y})", "et_al", "narrative", "{a}|et al.", ""),
+    ("(World Health Organization [WHO], {y})", "group_full", "parenthetical", "World Health Organization", ""),
+    ("(UNESCO, {y})", "group", "parenthetical", "UNESCO", ""),
+    ("NASA ({y})", "group", "narrative", "NASA", ""),
+    ("(OECD: Better {a} Data, {y})", "group", "parenthetical", "OECD", ""),
+    ("(American {a} Association, {y})", "group_full", "parenthetical", "American {a} Association", ""),
+    ("({a}, 1950, as cited in {b}, {y})", "secondary", "parenthetical", "{b}", ""),
+    ("(Great {a} Labs, {y})", "group_full", "parenthetical", "Great {a} Labs", ""),
+    ("({a}, n.d.)", "single", "parenthetical", "{a}", ""),
+    ("(in {a} and {b}, {y}, at length)", "two_authors", "parenthetical", "{a}|{b}", ""),
+)
+
+
+def citations_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One form of citation for each document with a work of two authors or more."""
+    rows = works(spark, sf_dir).where("a2 IS NOT NULL")
+    fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{a}"), F.col("a1")), F.lit("{b}"), F.col("a2")), F.lit("{y}"), F.col("year"))
+    text = F.element_at(F.array(*(fill(t) for t, *_ in FORM_TABLE)), (F.col("doc_id") % len(FORM_TABLE) + 1).cast("int"))
+    found = detect.detect_citations(rows.select("doc_id", F.concat(F.lit("so it was in "), text, F.lit(" once")).alias("text")))
+    names = F.array_join(F.transform("authors", lambda a: a["raw"]), "|")
+    return found.select("doc_id", "type", "citation_style", names.alias("authors"), "year", F.coalesce("page_numbers", F.lit("")).alias("pages"))
+
+
+def _citations_forms_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''").replace("{a}", "' || a1 || '").replace("{b}", "' || a2 || '").replace("{y}", "' || year || '") + "'"
+    case = lambda i: f"CASE doc_id % {len(FORM_TABLE)} " + " ".join(f"WHEN {k} THEN {quoted(r[i])}" for k, r in enumerate(FORM_TABLE)) + " END"
+    undated = next(k for k, r in enumerate(FORM_TABLE) if "n.d." in r[0])
+    return f"""SELECT doc_id, {case(1)} AS type, {case(2)} AS citation_style, {case(3)} AS authors, CASE WHEN doc_id % {len(FORM_TABLE)} = {undated} THEN 'n.d.' ELSE year END AS year,
+        {case(4)} AS pages FROM ({WORKS_SQL}) WHERE a2 IS NOT NULL"""
+
+
 def citations_bundled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All works of a document in one pair of parentheses, each found alone."""
     inner = F.regexp_replace(F.when(F.col("form") == "narrative", F.format_string("%s, %s", "a1", "year")).otherwise(in_text()), r"^\(|\)$", "")
@@ -406,7 +451,7 @@ def violation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = {
-    "citations_comma": (citations_comma, _cited_sql(True)), "citations_plain": (citations_plain, _cited_sql(False)), "citations_bundled": (citations_bundled, CITATIONS_BUNDLED_SQL),
+    "citations_comma": (citations_comma, _cited_sql(True)), "citations_plain": (citations_plain, _cited_sql(False)), "citations_forms": (citations_forms, _citations_forms_sql()), "citations_bundled": (citations_bundled, CITATIONS_BUNDLED_SQL),
     "citations_numeric": (citations_numeric, CITATIONS_NUMERIC_SQL), "number_ranges": (number_ranges, NUMBER_RANGES_SQL), "styles": (styles, STYLES_SQL),
     "reference_sections": (reference_sections, REFERENCE_SECTIONS_SQL), "matches": (matches, MATCHES_SQL), "match_statistics": (match_statistics, MATCH_STATISTICS_SQL),
     "analysis_statistics": (analysis_statistics, ANALYSIS_STATISTICS_SQL), "matches_numeric": (matches_numeric, MATCHES_NUMERIC_SQL), "name_scores": (name_scores, NAME_SCORES_SQL),
