@@ -3,12 +3,13 @@
 A byte goes if a string of `LENGTH` bytes that covers it also starts in a document with a smaller key. The steps:
 
 1. Anchors. Of the codes of the `ANCHOR`-byte strings inside a `LENGTH`-byte string the least is its anchor, so that
-   equal strings have the same one. Strings in a row with one anchor are a fragment. Per batch, an anchor that several
-   documents hold is known to be shared, and only its least and greatest documents are sent on to find out for others.
-2. Fragments whose anchor is in two documents or more fetch their text. Per batch, a fragment equal to one of a smaller
-   document is removed at once, and only the first of equal ones is sent on: a passage in a third of all documents is
-   one row for each batch.
-3. Fragments meet by anchor. A partition's different fragments form a text, in blocks of whole anchors of bounded size.
+   equal strings have the same one. Strings in a row with one anchor are a fragment. Codes meet by value, packed; per
+   batch, one that several documents hold is known to be shared, and only its least and greatest documents go there.
+2. Documents whose anchors others share are joined with these and make the fragments again, now with text. Per batch,
+   a fragment equal to one of a smaller document is removed at once, and only the first of equal ones is sent on: a
+   passage in a third of all documents is one row for each batch.
+3. Fragments meet by anchor, packed again. Where an anchor has but one, its documents are the class of all its strings.
+   The others of a partition, each different one once, form a text, in blocks of whole anchors of bounded size.
    Its suffixes are sorted to `LENGTH` bytes; the transform's boundaries are then extended backwards in breadth, which
    sets longest common prefixes by increasing value, and stops at `LENGTH`. What is still joined then are the strings
    that occur more than once; their least document decides.
@@ -25,10 +26,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import small_batches
 from .shingles import mix
 
 LENGTH, ANCHOR = 50, 20
@@ -91,83 +93,123 @@ def _scan(texts: list[bytes]):
         yield begin, len(texts)
 
 
-def _anchored(length: int, anchor: int):
-    """Rows (route, code, doc, at, run, known) of each batch's fragments."""
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Integers (not negative) of columns of one length, by planes of bytes, compressed."""
+    out = [np.int64(len(columns[0])).tobytes()]
+    for c in columns:
+        low = int(c.min()) if len(c) else 0
+        planes = np.ascontiguousarray((c - low).astype("<u8")).view(np.uint8).reshape(-1, 8).T
+        out += [np.int64(low).tobytes(), planes.tobytes()]
+    return zstandard.compress(b"".join(out), 1)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    out, at = [], 8
+    while at < len(raw):
+        low = np.frombuffer(raw, np.int64, 1, at)[0]
+        planes = np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n)
+        out.append(np.ascontiguousarray(planes.T).view("<i8").reshape(-1) + low)
+        at += 8 + 8 * n
+    return out
+
+
+def short(code: np.ndarray) -> np.ndarray:
+    """48 bits of a code: few enough to send, enough to tell anchors apart (two that meet cost work, not results)."""
+    return (mix(code) >> np.uint64(16)).astype(np.int64)
+
+
+def _dealt(part: np.ndarray):
+    """Rows of each part: (part, their numbers)."""
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+        yield int(part[order[a]]), order[a:b]
+
+
+def _anchored(length: int, anchor: int, parts: int):
+    """Rows (part, packed code, doc and whether it is known to be shared) of each batch's fragments."""
 
     def run(batches):
         for b in batches:
-            docs, texts = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist()
-            for lo, hi in _scan([t or b"" for t in texts]):
-                code, text, at, count = fragments([t or b"" for t in texts[lo:hi]], length, anchor)
-                doc = docs[lo:hi][text]
+            docs, texts = b.column(0).to_numpy(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            for lo, hi in _scan(texts):
+                code, text, _, _ = fragments(texts[lo:hi], length, anchor)
+                code, doc = short(code), docs[lo:hi][text]
                 order = np.lexsort((doc, code))
-                code, doc, at, count = code[order], doc[order], at[order], count[order]
-                new = np.ones(len(code), bool)
-                new[1:] = code[1:] != code[:-1]
-                first = np.flatnonzero(new)
-                group = np.cumsum(new) - 1
+                code, doc = code[order], doc[order]
+                once = np.ones(len(code), bool)
+                once[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+                code, doc = code[once], doc[once]
+                first = np.flatnonzero(np.diff(code, prepend=-1))
                 last = np.append(first[1:], len(code)) - 1
-                known = (doc[first] != doc[last])[group] if len(first) else new
+                known = np.repeat(doc[first] != doc[last], last - first + 1)
                 sent = np.zeros(len(code), bool)
                 sent[first] = sent[last] = True
-                away = known & ~sent  # nothing more is to be found out about these, so they go anywhere
-                route = np.where(away, mix(code + np.arange(len(code), dtype=np.uint64) * _ODD), code).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(route), pa.array(code.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(known)],
-                    names=["route", "code", "doc", "at", "run", "known"],
-                )
+                # what is known and not sent to be found out for others may go anywhere
+                part = np.where(known & ~sent, doc, code) % parts
+                flag = known.astype(np.int64) + (known & ~sent)
+                rows = [(p, pack([code[r], doc[r], flag[r]])) for p, r in _dealt(part)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "packed"])
 
     return run
 
 
-def _joined(batches) -> pa.Table | None:
-    batches = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(batches).combine_chunks() if batches else None
+def _columns(batches, name: str) -> list[np.ndarray] | None:
+    """The columns of all packed rows of a partition."""
+    found = [unpack(x) for b in batches for x in b.column(name).to_pylist()]
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else None
 
 
 def _shared(batches):
-    """Of a partition that holds all rows of its routes: fragments whose anchor is in two documents or more."""
-    table = _joined(batches)
-    if table is None:
+    """Of a partition that holds all rows of its codes: (doc, code) of codes in two documents or more."""
+    found = _columns(batches, "packed")
+    if found is None:
         return
-    route, code, doc, known = (table.column(c).to_numpy() for c in ("route", "code", "doc", "known"))
-    meet = np.flatnonzero(route == code)
+    code, doc, flag = found
+    shared = flag > 0
+    meet = np.flatnonzero(flag < 2)
     order = meet[np.argsort(code[meet], kind="stable")]
     sorted_code, sorted_doc = code[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_code[1:] != sorted_code[:-1]])) if len(order) else np.zeros(0, np.int64)
-    shared = known.copy()
-    if len(first):
+    if len(order):
+        first = np.flatnonzero(np.diff(sorted_code, prepend=-1))
         many = np.minimum.reduceat(sorted_doc, first) != np.maximum.reduceat(sorted_doc, first)
         shared[order] |= np.repeat(many, np.diff(np.append(first, len(order))))
-    yield from table.filter(pa.array(shared)).select(["doc", "code", "at", "run"]).to_batches(max_chunksize=100_000)
+    for at in range(0, len(code), 200_000):
+        rows = at + np.flatnonzero(shared[at : at + 200_000])
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(code[rows])], names=["doc", "code"])
 
 
-def _cut_out(length: int):
-    """Rows of the documents' shared fragments: (code, doc, at, run, text), or null text where all of it is removed."""
+def _cut_out(length: int, anchor: int, parts: int):
+    """The documents' fragments with shared codes, packed by part; and as spans (part -1) what equal ones before remove."""
 
     def run(batches):
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            rows: dict[tuple[int, bytes], tuple] = {}
-            gone = []
-            for doc, text, found in zip(docs, texts, b.column(2).to_pylist(), strict=True):
-                for f in found:
-                    key = f["code"], text[f["at"] : f["at"] + f["run"] + length - 1]
-                    row = (f["code"], doc, f["at"], f["run"])
-                    before = rows.get(key)
-                    if before is None:
-                        rows[key] = row
-                    elif before[1] < doc:
-                        gone.append(row)
-                    elif before[1] > doc:
-                        gone.append(before)
-                        rows[key] = row
-                    else:  # the same document again: both are needed, as both may go
-                        rows[key, len(rows)] = row
-            kept = [(*v, k[1] if isinstance(k[1], bytes) else k[0][1]) for k, v in rows.items()]
-            every = kept + [(*g, None) for g in gone]
-            kinds = (pa.int64(), b.column(0).type, pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in every], k) for i, k in enumerate(kinds)], names=["code", "doc", "at", "run", "text"])
+            docs, texts = b.column(0).to_numpy(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            wanted = b.column(2)
+            which, wanted = np.repeat(np.arange(len(docs)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
+            for lo, hi in _scan(texts):
+                code, text, at, count = fragments(texts[lo:hi], length, anchor)
+                code, mine = short(code), (which >= lo) & (which < hi)
+                keyed = lambda c, w: mix(c.astype(np.uint64) + w.astype(np.uint64) * _ODD)
+                keep = np.isin(keyed(code, text + lo), keyed(wanted[mine], which[mine]))
+                code, text, at, count = code[keep], text[keep], at[keep], count[keep]
+                doc = docs[lo:hi][text]
+                order = np.lexsort((at, doc, code))
+                code, text, at, count, doc = code[order], text[order], at[order], count[order], doc[order]
+                pieces = [texts[lo + t][a : a + n + length - 1] for t, a, n in zip(text.tolist(), at.tolist(), count.tolist(), strict=True)]
+                first: dict[tuple[int, bytes], int] = {}
+                owner = np.array([first.setdefault(k, i) for i, k in enumerate(zip(code.tolist(), pieces, strict=True))], dtype=np.int64)
+                gone = doc > doc[owner] if len(owner) else np.zeros(0, bool)
+                rows = [(-1, pack([doc[gone], at[gone], at[gone] + count[gone] + length - 1]), b"")] if gone.any() else []
+                left = np.flatnonzero(~gone)
+                for p, r in _dealt(code[left] % parts):
+                    r = left[r]
+                    rows.append((p, pack([code[r], doc[r], at[r], count[r]]), zstandard.compress(b"".join([pieces[i] for i in r.tolist()]), 1)))
+                names = ["part", "packed", "text"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=names)
 
     return run
 
@@ -254,37 +296,59 @@ def _least_before(texts: list[bytes], least: np.ndarray, length: int) -> list[np
     return [out[b : b + max(0, s - length + 1)] for b, s in zip(begins, sizes, strict=True)]
 
 
+def _spans_of(doc: np.ndarray, at: np.ndarray, number: np.ndarray, found: list[np.ndarray], length: int):
+    """Spans of the strings of rows that stand in a smaller document; found: the least document of each string, by fragment."""
+    sizes = np.array([len(x) for x in found], dtype=np.int64)
+    begins, flat = np.cumsum(sizes) - sizes, np.concatenate(found)
+    n = sizes[number]
+    row = np.repeat(np.arange(len(doc)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    hit = flat[begins[number][row] + place] < doc[row]
+    edge = np.ones(len(row), bool)
+    edge[1:] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])
+    start = np.flatnonzero(edge)
+    end = np.append(start[1:], len(row)) - 1
+    start, end = start[hit[start]], end[hit[start]]
+    return doc[row[start]], at[row[start]] + place[start], at[row[start]] + place[end] + length
+
+
 def _removed(length: int):
     """Spans (doc, first, end) that a partition with all rows of its anchors removes."""
 
     def run(batches):
-        table = _joined(batches)
-        if table is None:
-            return
-        gone = table.filter(pa.compute.is_null(table.column("text")))
-        spans = [(gone.column("doc").to_numpy(), gone.column("at").to_numpy(), gone.column("at").to_numpy() + gone.column("run").to_numpy() + length - 1)]
-        table = table.filter(pa.compute.is_valid(table.column("text"))).sort_by([("code", "ascending")])
-        code, doc, at, texts = table.column("code").to_numpy(), table.column("doc").to_numpy(), table.column("at").to_numpy(), table.column("text").to_pylist()
-        edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1), len(code)] if len(code) else [0]
-        i = 0
-        while i < len(edges) - 1:
-            j, total = i, 0
-            while j < len(edges) - 1 and (j == i or total < INDEX):
-                total += sum(map(len, texts[edges[j] : edges[j + 1]]))
-                j += 1
-            part = range(edges[i], edges[j])
-            different: dict[bytes, int] = {}
-            number = [different.setdefault(texts[r], len(different)) for r in part]
+        spans, packed, pieces = [], [], []
+        for b in batches:
+            for part, data, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                found = unpack(data)
+                if part < 0:
+                    spans.append(found)
+                    continue
+                packed.append(found)
+                ends = np.cumsum(found[3] + length - 1).tolist()
+                text = zstandard.decompress(text)
+                pieces += [text[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)]
+        if packed:
+            code, doc, at, count = (np.concatenate(c) for c in zip(*packed, strict=True))
+            order = np.argsort(code, kind="stable")
+            code, doc, at = code[order], doc[order], at[order]
+            first: dict[tuple[int, bytes], int] = {}  # the different fragments, in order of code
+            number = np.array([first.setdefault((c, pieces[i]), len(first)) for c, i in zip(code.tolist(), order.tolist(), strict=True)], dtype=np.int64)
+            different, codes_of = [t for _, t in first], np.array([c for c, _ in first], dtype=np.int64)
             least = np.full(len(different), np.iinfo(np.int64).max)
-            np.minimum.at(least, number, doc[edges[i] : edges[j]])
-            found = _least_before(list(different), least, length)
-            rows: list[tuple] = []
-            for r, x in zip(part, number, strict=True):
-                repeated = np.flatnonzero(np.diff((found[x] < doc[r]).astype(np.int8), prepend=0, append=0))
-                rows += [(doc[r], at[r] + a, at[r] + b + length - 1) for a, b in zip(repeated[::2].tolist(), repeated[1::2].tolist(), strict=True)]
-            if rows:
-                spans.append(tuple(np.array(c) for c in zip(*rows, strict=True)))
-            i = j
+            np.minimum.at(least, number, doc)
+            edge = np.flatnonzero(np.diff(codes_of, prepend=-1))
+            found = [np.full(max(0, len(t) - length + 1), x) for t, x in zip(different, least.tolist(), strict=True)]
+            todo: list[int] = []
+            total = 0
+            for a, e in [*zip(edge.tolist(), [*edge[1:].tolist(), len(different)], strict=True), (0, 0)]:
+                if todo and (e == 0 or total > INDEX):
+                    for i, x in zip(todo, _least_before([different[i] for i in todo], least[todo], length), strict=True):
+                        found[i] = x
+                    todo, total = [], 0
+                if e - a > 1:
+                    todo += range(a, e)
+                    total += sum(map(len, different[a:e]))
+            spans.append(_spans_of(doc, at, number, found, length))
         for d, a, e in spans:
             if len(d):
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc", "first", "end"])
@@ -319,15 +383,19 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
     The key is an integer.
     """
-    small_batches(df.sparkSession, 1000)
+    spark = df.sparkSession
+    small_batches(spark, 1000)
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    sound = docs.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
-    rows = sound.mapInArrow(_anchored(length, anchor), "route long, code long, doc long, at int, run int, known boolean")
-    shared = rows.repartition("route").mapInArrow(_shared, "doc long, code long, at int, run int")
-    listed = shared.groupBy("doc").agg(F.collect_list(F.struct("code", "at", "run")).alias("found"))
-    fetched = sound.join(listed, "doc").select("doc", "text", "found").mapInArrow(_cut_out(length), "code long, doc long, at int, run int, text binary")
-    whole = F.when(F.col("text").isNull(), F.xxhash64("doc", "at")).otherwise(F.col("code"))
-    spans = fetched.repartition(whole).mapInArrow(_removed(length), "doc long, first int, end int")
+    sound, keyless = docs.where(F.col("doc").isNotNull()), docs.where(F.col("doc").isNull())
+    codes_ = sound.mapInArrow(_anchored(length, anchor, parts), "part int, packed binary")
+    shared = codes_.repartition("part").mapInArrow(_shared, "doc long, code long")
+    listed = shared.groupBy("doc").agg(F.collect_list("code").alias("codes"))
+    pieces = sound.join(listed, "doc").select("doc", "text", "codes").mapInArrow(_cut_out(length, anchor, parts), "part int, packed binary, text binary")
+    dealt = pieces.repartition(F.when(F.col("part") < 0, F.xxhash64("packed")).otherwise(F.col("part")))
+    spans = dealt.mapInArrow(_removed(length), "doc long, first int, end int")
     merged = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    out = docs.join(merged, "doc", "left").select("doc", "text", "spans").mapInArrow(_without, "doc long, n_bytes long, n_removed long, spans array<struct<first: int, `end`: int>>, kept binary, kept_sha256 string")
+    whole = sound.join(merged, "doc", "left").select("doc", "text", "spans")
+    none = keyless.select("doc", "text", F.lit(None).cast("array<struct<first: int, `end`: int>>").alias("spans"))
+    out = whole.unionByName(none).mapInArrow(_without, "doc long, n_bytes long, n_removed long, spans array<struct<first: int, `end`: int>>, kept binary, kept_sha256 string")
     return out.withColumnRenamed("doc", key) if with_text else out.drop("kept").withColumnRenamed("doc", key)
