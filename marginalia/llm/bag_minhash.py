@@ -6,9 +6,10 @@ the points below its weights, and keeps the earliest point of each register, so
 a probability equal to their weighted Jaccard similarity. Points are drawn in order of time up to a horizon that fills
 all registers, so that the work is that of the few points before it, not of weights.
 
-Bands of registers make buckets. In a bucket all texts are compared with its first and its last one; only where texts
-of a bucket are still in different components the pairs across these follow. So large groups of copies give links in
-number of their texts, and none is lost. Each pair is verified on the exact multisets of shingles.
+Bands of registers make buckets. Rounds compare the texts of each bucket with one of them, another in each round, and
+only where the two are in different components so far; a group of copies so gives links in number of its texts. What is
+then still apart in a bucket is compared whole: all of it but the largest component there with all others, in blocks,
+of which only links leave. No link is lost. Each pair is verified on the exact multisets of shingles.
 
 Texts with the same multiset are one class before all this. Texts without words, null ones and rows with a null key are
 alone. Rows with the same key are one text (the union of their links). Other columns are ignored.
@@ -22,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
+from .blocks import groups_of, roots
 from .common import cut, small_batches
-from .components import components
+from .components import components, connected
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Rounds of comparing buckets with one of their texts (first, by hash, first), and rows of a block of what is compared whole.
+ROUNDS, BLOCK = 3, 512
 
 _TIME, _PLACE, _REGISTER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
 
@@ -123,8 +127,7 @@ def bags(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose multisets have a similarity of threshold or more."""
-    pairs = cut(pairs)
+    """Those of the pairs (a, b; with their lineage cut) whose multisets have a similarity of threshold or more."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     known = bags(df.join(ids.withColumnRenamed("id", key), key, "left_semi"), key, text, words).dropDuplicates(["id"])
     left, right = known.select(F.col("id").alias("a"), F.col("elements").alias("x")), known.select(F.col("id").alias("b"), F.col("elements").alias("y"))
@@ -133,6 +136,69 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int, t
     return compared.where(F.col("both") >= threshold * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
+def _labelled(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Entries of buckets with their component so far."""
+    if groups is None:
+        return members.withColumn("component", F.col("id"))
+    named = members.join(groups, members["id"] == groups["node"], "left")
+    return named.select("id", "n", "band", "code", F.coalesce("component", "id").alias("component"))
+
+
+def _rest_apart(labelled: DataFrame) -> DataFrame:
+    """What is still to be compared, dealt in groups (g, code, t, u) of rows.
+
+    All texts of a bucket outside its largest component meet each other, in pairs of blocks (g is the band, u = -1), and
+    all texts of that component, in blocks t and chunks u; these groups are of the component (g = -1), so that a text
+    that meets it in many buckets comes once.
+    """
+    bucket = ["band", "code"]
+    parts = labelled.groupBy(*bucket, "component").agg(F.count("*").alias("n_part"))
+    sizes = parts.groupBy(*bucket).agg(F.sum("n_part").alias("total"), F.max(F.struct("n_part", "component")).alias("main"), F.count("*").alias("parts"))
+    sizes = sizes.where("parts > 1 AND total > 3").select(*bucket, F.col("main.component").alias("main"), (F.col("total") - F.col("main.n_part")).alias("others"))
+    strays = cut(labelled.join(sizes, bucket).where(F.col("component") != F.col("main")).select("id", "component", *bucket, "main", "others"))
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), of(n)).cast("int")
+    at = lambda t, u, left: F.struct(t.cast("int").alias("t"), u.cast("int").alias("u"), F.lit(left).alias("is_left"))
+    to = lambda n: F.sequence(F.lit(0), of(n) - 1)
+    none = F.lit(-1)
+    later = F.transform(F.filter(to(F.col("others")), lambda t: t < F.col("own")), lambda t: at(t, none, False))
+    among = strays.withColumn("own", own(F.col("others"))).withColumn("x", F.explode(F.concat(F.array(at(F.col("own"), none, True)), later)))
+    met = strays.select("main", "id", "component").distinct()
+    inside = labelled.select("id", "component").distinct().join(met.select(F.col("main").alias("component")).distinct(), "component")
+    counts = met.groupBy("main").agg(F.count("*").alias("n_left")).join(inside.groupBy(F.col("component").alias("main")).agg(F.count("*").alias("n_right")), "main")
+    left = met.join(counts, "main").withColumn("x", F.explode(F.transform(to(F.col("n_right")), lambda u: at(own(F.col("n_left")), u, True))))
+    right = inside.withColumn("main", F.col("component")).join(counts, "main").withColumn("x", F.explode(F.transform(to(F.col("n_left")), lambda t: at(t, own(F.col("n_right")), False))))
+    named = lambda d: d.select("id", "component", F.lit(-1).alias("g"), F.xxhash64("main").alias("code"), "x.*")
+    return among.select("id", "component", F.col("band").alias("g"), "code", "x.*").unionByName(named(left)).unionByName(named(right))
+
+
+def _linked(threshold: float):
+    """Edges between texts of different components in each group of rows, one for each text at most."""
+
+    def run(batches):
+        for g in groups_of(batches, ["g", "code", "t", "u"]):
+            left = g.column("is_left").to_numpy(zero_copy_only=False)
+            ids, part = g.column("id").to_numpy(), g.column("component").to_numpy()
+            sets = g.column("elements").combine_chunks()
+            sizes = np.diff(sets.offsets.to_numpy()).astype(np.float64)
+            flat, owner = sets.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes.astype(np.int64))
+            _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+            often = count[code] > 1
+            number = np.cumsum(count > 1) - 1
+            held = np.zeros((len(ids), int((count > 1).sum())), dtype=np.float32)
+            held[owner[often], number[code[often]]] = 1
+            a = np.flatnonzero(left)
+            both = (held[a] @ held.T).astype(np.float64)
+            near = (both >= threshold * (sizes[a][:, None] + sizes[None, :] - both)) & (part[a][:, None] != part[None, :])
+            x, y = np.nonzero(near)
+            if len(x):
+                root = roots(len(ids), a[x], y)
+                rows = np.flatnonzero(root != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[root[rows]])], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -141,23 +207,40 @@ def near_duplicates(
     best = F.min(F.struct("id", "n", "codes")).alias("best")
     classes = found.where("n > 0").groupBy("c1", "c2").agg(best).select("c1", "c2", "best.*")
     entries = classes.select("id", "n", F.posexplode("codes").alias("band", "code"))
-    sized = F.struct("id", "n")
-    buckets = entries.groupBy("band", "code").agg(F.min(sized).alias("first"), F.max(sized).alias("last")).where(F.col("first.id") != F.col("last.id"))
-    members = cut(entries.join(buckets, ["band", "code"]))
+    shared = entries.groupBy("band", "code").agg(F.count("*").alias("size")).where("size > 1").select("band", "code")
+    members = cut(entries.join(shared, ["band", "code"]))
     alike = lambda m, n: F.least(m, n) >= threshold * F.greatest(m, n)
-    ends = members.select("id", "n", F.explode(F.array("first", "last")).alias("o")).where((F.col("id") != F.col("o.id")) & alike(F.col("n"), F.col("o.n")))
-    tested = ends.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
-    links = cut(verified(tested, df, key, text, words, threshold))
-    groups = components(links, "a", "b")
-    joined = members.join(groups, members["id"] == groups["node"], "left").select("id", "n", "band", "code", "first", "last", F.coalesce("component", "id").alias("component"))
-    split = joined.groupBy("band", "code").agg(F.min("component").alias("m"), F.max("component").alias("x"), F.count("*").alias("size")).where((F.col("m") != F.col("x")) & (F.col("size") > 3))
-    open_ = joined.join(split.select("band", "code"), ["band", "code"]).where((F.col("id") != F.col("first.id")) & (F.col("id") != F.col("last.id")))
-    other = open_.select("band", "code", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    across = open_.select("band", "code", F.col("id").alias("a"), "n", "component").join(other, ["band", "code"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("bc")) & alike(F.col("n"), F.col("bn")))
-    more = cut(verified(across.select("a", "b").distinct(), df, key, text, words, threshold))
-    whole = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+    links = groups = None
+    for turn in range(ROUNDS):
+        labelled = _labelled(members, groups)
+        key_ = -F.xxhash64("id") if turn == 1 else F.col("id")
+        lead = labelled.groupBy("band", "code").agg(
+            F.min(F.struct(key_.alias("k"), "id", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        lead = lead.where("low <> high").select("band", "code", F.col("lead.id").alias("o"), F.col("lead.n").alias("m"), F.col("lead.component").alias("oc"))
+        pairs = labelled.join(lead, ["band", "code"]).where((F.col("component") != F.col("oc")) & alike(F.col("n"), F.col("m")))
+        if turn == 0:  # one bucket for each text
+            pairs = pairs.groupBy("id").agg(F.min("o").alias("o"))
+        pairs = cut(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
+        if not pairs.isEmpty():
+            found_now = cut(verified(pairs, df, key, text, words, threshold))
+            links = found_now if links is None else links.unionByName(found_now)
+            groups = connected(links, "a", "b")
+    apart = cut(_rest_apart(_labelled(members, groups)))
+    if not apart.isEmpty():
+        ids = apart.select(F.col("id").alias(key)).distinct()
+        known = bags(df.join(ids, key, "left_semi"), key, text, words).dropDuplicates(["id"])
+        at = ["g", "code", "t", "u"]
+        kind = found.schema["id"].dataType.simpleString()
+        dealt = apart.join(known, "id").select(*at, "is_left", "component", "id", "elements").repartition(*at).sortWithinPartitions(*at)
+        more = dealt.mapInArrow(_linked(threshold), f"a {kind}, b {kind}")
+        links = more if links is None else links.unionByName(more)
+    groups = None if links is None else components(links, "a", "b")
     keyed = classes.select("c1", "c2", F.col("id").alias("class_id"))
-    keyed = keyed.join(whole, keyed["class_id"] == whole["node"], "left").select("c1", "c2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    if groups is None:
+        keyed = keyed.withColumn("component_id", F.col("class_id"))
+    else:
+        keyed = keyed.join(groups, keyed["class_id"] == groups["node"], "left").select("c1", "c2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     rows_ = found.select("id", "n", "c1", "c2").join(keyed, ["c1", "c2"], "left")
     own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("id"))
     out = rows_.groupBy("id").agg(F.min(own("class_id")).alias("class_id"), F.min(own("component_id")).alias("component_id"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import groups_of, roots
 from .common import cut
 from .components import components
 
@@ -74,26 +75,6 @@ def _numbers(order: np.ndarray, nearest: int) -> np.ndarray:
     return np.stack([(order >> (_SHIFT * i)) & ((1 << _SHIFT) - 1) for i in range(nearest)], axis=1)
 
 
-def _groups(batches, by: list[str]):
-    """Whole groups of rows from batches that are sorted by the columns `by`."""
-    held = None
-    for b in batches:
-        table = pa.Table.from_batches([b])
-        held = table if held is None or not held.num_rows else pa.concat_tables([held, table])
-        if not held.num_rows:
-            continue
-        keys = [held.column(c).to_numpy(zero_copy_only=False) for c in by]
-        new = np.zeros(held.num_rows, bool)
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        cuts = [0, *np.flatnonzero(new)]
-        for a, e in itertools.pairwise(cuts):
-            yield held.slice(a, e - a)
-        held = held.slice(cuts[-1]).combine_chunks()
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     """Row numbers of the two blocks that are compared, and whether they are the same block."""
     block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
@@ -109,7 +90,7 @@ def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _close(batches):
     """Entries that have a partner with a close sketch in their list."""
-    for g in _groups(batches, ["label", "pair", "i", "j"]):
+    for g in groups_of(batches, ["label", "pair", "i", "j"]):
         left, right, same = _halves(g)
         if not len(left) or not len(right) or (same and len(left) < 2):
             continue
@@ -122,23 +103,9 @@ def _close(batches):
             yield from g.take(rows).select(["label", "pair", "i", "j", "block", "rep"]).to_batches()
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each node's component, by minima along edges and pointers."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        now = root.copy()
-        np.minimum.at(now, a, low)
-        np.minimum.at(now, b, low)
-        now = now[now]
-        if (now == root).all():
-            return root
-        root = now
-
-
 def _verify(threshold: float, nearest: int):
     def run(batches):
-        for g in _groups(batches, ["label", "pair", "i", "j"]):
+        for g in groups_of(batches, ["label", "pair", "i", "j"]):
             left, right, same = _halves(g)
             if not len(left) or not len(right) or (same and len(left) < 2):
                 continue
@@ -161,7 +128,7 @@ def _verify(threshold: float, nearest: int):
             place = np.empty(len(rep), np.int64)
             place[order] = np.arange(len(rep))
             links = np.bincount(a, weight[b], len(rep)) + np.bincount(b, weight[a], len(rep))
-            root = order[_roots(len(rep), place[a], place[b])][place]
+            root = order[roots(len(rep), place[a], place[b])][place]
             rows = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(rep[rows]), pa.array(rep[root[rows]]), pa.array(links[rows].astype(np.int64))], names=["rep", "root", "links"])
 
