@@ -53,7 +53,7 @@ def _text(lines: Column, chunk: Column) -> Column:
 
 
 def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, row number and removed: array of the chunks (first line, last line) of a document that stand elsewhere before."""
+    """Key, row number and __removed: array of the chunks (first line, last line) of a document that stand elsewhere before."""
     docs = chunked(df.where(F.col(key).isNotNull()), key, text)
     many = F.filter("chunks", lambda c: c["e"] > c["s"])
     found = docs.select(_KEY, _ROW, "lines", F.explode(many).alias("c")).select(_KEY, _ROW, "c", _text(F.col("lines"), F.col("c")).alias("t")).where(F.trim(F.translate("t", "\n\t\r", "")) != "")
@@ -65,7 +65,7 @@ def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     texts = again.select(_KEY, _ROW, "lines", F.explode("cs").alias("c")).select(_KEY, _ROW, "c", _text(F.col("lines"), F.col("c")).alias("t"))
     first = texts.groupBy("t").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
     gone = texts.join(first.select("t", "first"), "t").where(place != F.col("first"))
-    return gone.groupBy(_KEY, _ROW).agg(F.collect_set("c").alias("removed"))
+    return gone.groupBy(_KEY, _ROW).agg(F.collect_set("c").alias("__removed"))
 
 
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,14 +73,14 @@ def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     gone = removals(df, key, text)
     rows = df.withColumns({_KEY: F.col(key), _ROW: F.xxhash64(F.col(text))}).join(gone, [_KEY, _ROW], "left")
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
-    numbers = F.flatten(F.transform("removed", lambda c: F.sequence(c["s"], c["e"])))
+    numbers = F.flatten(F.transform("__removed", lambda c: F.sequence(c["s"], c["e"])))
     rows = rows.withColumn("__lines", lines).withColumn("__numbers", numbers)
     numbered = F.arrays_zip(F.col("__lines").alias("l"), F.sequence(F.lit(0), F.size("__lines") - 1).alias("i"))
     rest = F.transform(F.filter(numbered, lambda x: ~F.array_contains("__numbers", x["i"])), lambda x: x["l"])
-    kept = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+    kept = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
     counts = {"n_lines": F.size("__lines").cast("long"), "n_lines_removed": F.coalesce(F.size("__numbers"), F.lit(0)).cast("long")}
-    counts["n_lines_removed"] = F.when(F.col("removed").isNull(), F.lit(0).cast("long")).otherwise(counts["n_lines_removed"])
-    return rows.withColumns(counts).withColumn(text, kept).drop(_KEY, _ROW, "__lines", "__numbers", "removed")
+    counts["n_lines_removed"] = F.when(F.col("__removed").isNull(), F.lit(0).cast("long")).otherwise(counts["n_lines_removed"])
+    return rows.withColumns(counts).withColumn(text, kept).drop(_KEY, _ROW, "__lines", "__numbers", "__removed")
 
 
 SQL = f"""
