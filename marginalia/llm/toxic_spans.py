@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, SAMPLE_CHARS = 4000, 50_000
+SAMPLE, SAMPLE_CHARS = 3000, 50_000
 #: Lengths of the beginnings of words that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
 LEAST_G, LEAST_SHARE = 30.0, 0.97
@@ -58,12 +58,16 @@ def features(word: str) -> list[tuple[str, int]]:
     return [(word, 0), *((word[:n], 1) for n in BEGINNINGS if len(word) >= n)]
 
 
-def unlike(docs: list[list[str]], sketches: int = 8) -> list[int]:
-    """Numbers of documents of which no earlier one is a near copy: copies would tie all their rare words to a label."""
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(lowered(text))
+
+
+def unlike(texts: list[str], sketches: int = 8) -> list[int]:
+    """Numbers of texts of which no earlier one is a near copy: copies would tie all their rare words to a label."""
     seen: dict[tuple[int, int], int] = {}
     out = []
-    for i, words in enumerate(docs):
-        codes = np.array([zlib.crc32(w.encode()) for w in set(words)] or [0], dtype=np.uint64)
+    for i, text in enumerate(texts):
+        codes = np.array([zlib.crc32(w.encode()) for w in set(words_of(text))] or [0], dtype=np.uint64)
         sketch = [(k, int(((codes * np.uint64(2 * k + 1) * np.uint64(2654435761)) % np.uint64(4294967291)).min())) for k in range(sketches)]
         if max(Counter(seen[x] for x in sketch if x in seen).values(), default=0) < sketches // 2:
             out.append(i)
@@ -72,24 +76,24 @@ def unlike(docs: list[list[str]], sketches: int = 8) -> list[int]:
     return out
 
 
-def tied(docs: list[list[str]], labels: list[int]) -> set[tuple[str, int]]:
+def _codes(text: str) -> np.ndarray:
+    """Numbers of the different features of a text, as 64 bits each: all of a sample must fit in the driver."""
+    return np.fromiter({hash(f) for w in set(words_of(text)) for f in features(w)}, dtype=np.int64)
+
+
+def tied(texts: list[str], labels: list[int]) -> set[tuple[str, int]]:
     """Features tied to label 1, by G and by their share of toxic documents (as if both labels were as frequent)."""
-    counts = (Counter(), Counter())
-    for words, y in zip(docs, labels, strict=True):
-        counts[y].update({f for w in set(words) for f in features(w)})
-    n1, n0 = sum(labels), len(labels) - sum(labels)
-    out = set()
-    for f, a in counts[1].items():
-        b = counts[0][f]
-        if a < 5 or a / n1 < LEAST_SHARE * (a / n1 + b / n0):
-            continue
-        g = 0.0
-        for seen, total in ((a, n1), (b, n0), (n1 - a, n1), (n0 - b, n0)):
-            part = (a + b) if seen in (a, b) and (seen, total) in ((a, n1), (b, n0)) else (n1 + n0 - a - b)
-            g += 2 * seen * math.log(seen * (n1 + n0) / (part * total)) if seen else 0
-        if g >= LEAST_G:
-            out.add(f)
-    return out
+    found = [np.unique(np.concatenate([_codes(t) for t, y in zip(texts, labels, strict=True) if y == k]), return_counts=True) for k in (0, 1)]
+    (code0, count0), (code1, a) = found
+    code1, a = code1[a >= 5], a[a >= 5].astype(np.float64)
+    at = np.minimum(np.searchsorted(code0, code1), len(code0) - 1)
+    b = np.where(code0[at] == code1, count0[at], 0).astype(np.float64) if len(code0) else np.zeros(len(a))
+    n1, n0 = float(sum(labels)), float(len(labels) - sum(labels))
+    n, g = n1 + n0, np.zeros(len(a))
+    for seen, part, total in ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0)):
+        g += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1) * n / np.maximum(part * total, 1)), 0)
+    chosen = set(code1[(g >= LEAST_G) & (a / n1 >= LEAST_SHARE * (a / n1 + b / n0))].tolist())
+    return {f for t, y in zip(texts, labels, strict=True) if y for w in set(words_of(t)) for f in features(w) if hash(f) in chosen}
 
 
 def _chain(unary: np.ndarray, step: np.ndarray, start: np.ndarray):
@@ -144,19 +148,18 @@ def fit(texts: list[str], labels: list[int], prior: float) -> Model:
     """A model of whole texts and their labels (0 or 1). prior: share of label 1 among all labelled rows."""
     base = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     none = Model({}, {}, -5.0, ((0.0, 0.0), (0.0, 0.0)), (0.0, 0.0), (base, 0.0, 0.0))
-    docs = [_WORD.findall(lowered(t)) for t in texts]
-    own = unlike(docs)
-    texts, labels, docs = ([x[i] for i in own] for x in (texts, labels, docs))
-    known = sorted(tied(docs, labels)) if 0 < sum(labels) < len(labels) else []
+    own = unlike(texts)
+    texts, labels = [texts[i] for i in own], [labels[i] for i in own]
+    known = sorted(tied(texts, labels)) if 0 < sum(labels) < len(labels) else []
     if not known:
         return none
     number = {f: i for i, f in enumerate(known)}
     rows = []
-    for words, y in zip(docs, labels, strict=True):
-        marks = [[number[f] for f in features(w) if f in number] for w in words]
-        at = [i for i, m in enumerate(marks) if m][:4] or [len(words) // 2]
+    for text, y in zip(texts, labels, strict=True):
+        marks = [[number[f] for f in features(w) if f in number] for w in words_of(text)]
+        at = [i for i, m in enumerate(marks) if m][:4] or [len(marks) // 2]
         for i in at:
-            begin = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
+            begin = max(0, min(i - WINDOW // 2, len(marks) - WINDOW))
             part = [(m, int(bool(m) and y == 1)) for m in marks[begin : begin + WINDOW]]
             rows.append(part + [([], 0)] * (WINDOW - len(part)))
     w, bias, step, start = _fit_chain(rows, len(known))
@@ -253,9 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]).dropDuplicates(["k"]))
     usable = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(F.length("t") <= SAMPLE_CHARS)
-    rows = usable.join(ids, "k").collect()
-    rows.sort(key=lambda r: (str(r["k"]), r["t"]))
-    return fit([r["t"] for r in rows], [r["y"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
+    rows = sorted(((str(r["k"]), r["t"], r["y"]) for r in usable.join(ids, "k").collect()))
+    return fit([t for _, t, _ in rows], [y for *_, y in rows], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
