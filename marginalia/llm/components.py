@@ -25,11 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected(links: DataFrame, a: str, b: str, passes: int = 2) -> DataFrame:
-    """Node and component after a few passes: nodes of one component are connected, but connected ones may still differ."""
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    for _ in range(passes):
-        edges = _small_star(_large_star(edges))
+def connected(links: DataFrame, a: str, b: str) -> DataFrame:
+    """Node and component after one round: nodes of one component are connected, but connected ones may still differ."""
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = _small_star(_large_star(edges))
     return cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")))
 
 
