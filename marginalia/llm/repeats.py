@@ -397,5 +397,7 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     merged = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     whole = sound.join(merged, "doc", "left").select("doc", "text", "spans")
     none = keyless.select("doc", "text", F.lit(None).cast("array<struct<first: int, `end`: int>>").alias("spans"))
-    out = whole.unionByName(none).mapInArrow(_without, "doc long, n_bytes long, n_removed long, spans array<struct<first: int, `end`: int>>, kept binary, kept_sha256 string")
+    ddl = "doc long, n_bytes long, n_removed long, spans array<struct<first: int, `end`: int>>, kept binary, kept_sha256 string"
+    # the union is of results, so that both joins read one exchange of the texts
+    out = whole.mapInArrow(_without, ddl).unionByName(none.mapInArrow(_without, ddl))
     return out.withColumnRenamed("doc", key) if with_text else out.drop("kept").withColumnRenamed("doc", key)
