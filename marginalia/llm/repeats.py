@@ -136,6 +136,8 @@ def _anchored(length: int, anchor: int, parts: int):
             docs, texts = b.column(0).to_numpy(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in _scan(texts):
                 code, text, _, _ = fragments(texts[lo:hi], length, anchor)
+                if not len(code):
+                    continue
                 code, doc = short(code), docs[lo:hi][text]
                 order = np.lexsort((doc, code))
                 code, doc = code[order], doc[order]
