@@ -1,6 +1,6 @@
 """The corpus pipeline: STAGES applied one after the other to documents.
 
-Each stage takes all that the one before kept, and its decisions take effect: toxic documents go, repeated chunks of
+Each stage takes all that the one before kept, and its decisions take effect: toxic documents go, repeated passages of
 lines leave the texts, of each group of near copies one document stays, contaminated documents go, and what is left is
 encoded. A stage's output is to be written and read again before the next one; run() does so in the shared folder.
 """
@@ -25,7 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that stand elsewhere before; n_chars follows."""
+    """All documents, without the passages of several lines that stand elsewhere before; n_chars follows."""
     cleaned = line_chunks.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
     return cleaned.select(*docs.columns)
 

@@ -4,7 +4,12 @@ Each line is hashed; a rolling hash over `WINDOW` line hashes has a local minimu
 there, so that an insertion moves no bounds beyond its neighbourhood. Chunks of two lines or more that stand elsewhere
 too, byte for byte, are removed in all places but the first (smallest key, then first place).
 
-Hashes find the chunks that may repeat; only those chunks' texts are shuffled and compared, after partial aggregation,
+A chunk at the rim of a passage runs into the document's own lines and so matches nothing. Passages are therefore also
+matched by windows, from each line that isn't blank to the next such line, so that a repeated run of two lines or more
+that aren't blank is removed whole. Each removed line stands elsewhere before. `passages=False` leaves windows out, which
+is what `SQL` says.
+
+Hashes find the chunks and windows that may repeat; only their texts are shuffled and compared, after partial aggregation,
 so that a chunk in a third of all documents is one row per task. Native expressions only.
 
 Null texts count as empty; texts of one line and chunks of blank lines stay. Rows with a null key stay as they are.
@@ -52,11 +57,30 @@ def _text(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["s"] + 1, chunk["e"] - chunk["s"] + 1), "\n")
 
 
-def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, row number and __removed: array of the chunks (first line, last line) of a document that stand elsewhere before."""
+def _filled(text: Column) -> Column:
+    return F.trim(F.translate(text, "\n\t\r", "")) != ""
+
+
+def filled(lines: Column) -> Column:
+    """Numbers of the lines that aren't blank."""
+    return F.array_compact(F.transform(lines, lambda x, i: F.when(_filled(x), i)))
+
+
+def windows(numbers: Column) -> Column:
+    """Array of (first line, last line) from each of the lines to the next one."""
+    n = F.greatest(F.size(numbers) - 1, F.lit(0))
+    return F.zip_with(F.slice(numbers, 1, n), F.slice(numbers, 2, n), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+
+def removals(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
+    """Key, row number and __removed: array of the chunks and windows (first line, last line) of a document that stand elsewhere before."""
     docs = chunked(df.where(F.col(key).isNotNull()), key, text)
     many = F.filter("chunks", lambda c: c["e"] > c["s"])
-    found = docs.select(_KEY, _ROW, "lines", F.explode(many).alias("c")).select(_KEY, _ROW, "c", _text(F.col("lines"), F.col("c")).alias("t")).where(F.trim(F.translate("t", "\n\t\r", "")) != "")
+    if passages:
+        docs = docs.withColumn("filled", filled(F.col("lines")))
+        many = F.concat(many, windows(F.col("filled")))
+    # the lambda keeps the rest of the plan out of the loop over what is exploded
+    found = docs.select(_KEY, _ROW, "lines", F.explode(many).alias("c")).select(_KEY, _ROW, "c", _text(F.col("lines"), F.col("c")).alias("t")).where(_filled(F.col("t")))
     coded = found.select(_KEY, _ROW, "c", F.xxhash64("t").alias("code"))
     place = F.struct(F.col(_KEY), F.col("c")["s"].alias("s"), F.col(_ROW))
     repeated = coded.groupBy("code").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("code")
@@ -65,18 +89,21 @@ def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     texts = again.select(_KEY, _ROW, "lines", F.explode("cs").alias("c")).select(_KEY, _ROW, "c", _text(F.col("lines"), F.col("c")).alias("t"))
     first = texts.groupBy("t").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
     gone = texts.join(first.select("t", "first"), "t").where(place != F.col("first"))
+    # of equal lines in a row, windows that reach into the first one stay
+    own = (F.col(_KEY) == F.col("first")[_KEY]) & (F.col(_ROW) == F.col("first")[_ROW])
+    gone = gone.where(~(own & (F.col("c")["s"] <= F.col("first")["s"] + F.col("c")["e"] - F.col("c")["s"])))
     return gone.groupBy(_KEY, _ROW).agg(F.collect_set("c").alias("__removed"))
 
 
-def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of df, the text without its removed chunks; and n_lines and n_lines_removed."""
-    gone = removals(df, key, text)
+def clean(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
+    """All rows and columns of df, the text without its removed chunks and windows; and n_lines and n_lines_removed."""
+    gone = removals(df, key, text, passages)
     rows = df.withColumns({_KEY: F.col(key), _ROW: F.xxhash64(F.col(text))}).join(gone, [_KEY, _ROW], "left")
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
-    numbers = F.flatten(F.transform("__removed", lambda c: F.sequence(c["s"], c["e"])))
+    numbers = F.array_distinct(F.flatten(F.transform("__removed", lambda c: F.sequence(c["s"], c["e"]))))
     rows = rows.withColumn("__lines", lines).withColumn("__numbers", numbers)
-    numbered = F.arrays_zip(F.col("__lines").alias("l"), F.sequence(F.lit(0), F.size("__lines") - 1).alias("i"))
-    rest = F.transform(F.filter(numbered, lambda x: ~F.array_contains("__numbers", x["i"])), lambda x: x["l"])
+    kept_numbers = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__numbers"))
+    rest = F.transform(kept_numbers, lambda i: F.col("__lines")[i])
     kept = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
     counts = {"n_lines": F.size("__lines").cast("long"), "n_lines_removed": F.coalesce(F.size("__numbers"), F.lit(0)).cast("long")}
     counts["n_lines_removed"] = F.when(F.col("__removed").isNull(), F.lit(0).cast("long")).otherwise(counts["n_lines_removed"])

@@ -22,7 +22,7 @@ def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_chunks.clean(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = line_chunks.clean(read(spark, sf_dir, "documents").select("doc_id", "text"), passages=False)  # as its SQL
     return cleaned.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

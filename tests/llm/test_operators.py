@@ -39,6 +39,25 @@ def test_line_chunks(docs, none):
     assert out.where("doc_id IS NULL").first()["text"] == PASSAGE
 
 
+def test_planted_passages_go_whole(spark):
+    texts, right = [], {}
+    for n in range(2, 11):
+        for k in range(12):
+            passage = [f"shared line {i} of passage {n} {k}" for i in range(n)]
+            if k % 3 == 0:
+                passage.insert(1, "")  # a blank line inside
+            for place in (0, 1):
+                own = [f"own line {i} of {n} {k} {place}" for i in range(6)]
+                i = (n * 100 + k) * 2 + place
+                texts.append((i, "\n".join(own[:3] + passage + own[3:])))
+                right[i] = "\n".join(own) if place else texts[-1][1]
+    texts += [(9001, "x\nx\nx\nx\nx"), (9002, "one line\n\nmine"), (9003, "one line\n\nyours")]
+    found = {r["doc_id"]: r for r in line_chunks.clean(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {i: found[i]["text"] for i in right} == right
+    assert all(found[i]["n_lines"] - found[i]["n_lines_removed"] == right[i].count("\n") + 1 for i in right)
+    assert found[9001]["text"] in ("x\nx", "x\nx\nx") and found[9003]["text"].endswith("yours")
+
+
 def test_near_duplicates(docs, none):
     rows = {r["doc_id"]: r for r in bag_minhash.near_duplicates(docs).collect()}
     assert bag_minhash.near_duplicates(none).count() == 0
