@@ -154,7 +154,7 @@ def _rest_apart(labelled: DataFrame) -> DataFrame:
     bucket = ["band", "code"]
     parts = labelled.groupBy(*bucket, "component").agg(F.count("*").alias("n_part"))
     sizes = parts.groupBy(*bucket).agg(F.sum("n_part").alias("total"), F.max(F.struct("n_part", "component")).alias("main"), F.count("*").alias("parts"))
-    sizes = sizes.where("parts > 1 AND total > 3").select(*bucket, F.col("main.component").alias("main"), (F.col("total") - F.col("main.n_part")).alias("others"))
+    sizes = sizes.where("parts > 1 AND total > 2").select(*bucket, F.col("main.component").alias("main"), (F.col("total") - F.col("main.n_part")).alias("others"))
     strays = cut(labelled.join(sizes, bucket).where(F.col("component") != F.col("main")).select("id", "component", *bucket, "main", "others"))
     of = lambda n: F.ceil(n / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("id"), of(n)).cast("int")

@@ -86,6 +86,35 @@ def test_near_duplicates_lose_no_link_in_large_groups(spark):
     assert found == right
 
 
+def test_near_duplicates_compare_all_pairs_of_buckets_of_three(spark):
+    """a is near b and b near c, but a isn't near c; a leads all rounds: its id is the least and its hash the greatest."""
+    import random
+
+    rng, docs, right = random.Random(7), [], {}
+    codes = {r["id"]: r["h"] for r in spark.range(300 * 50).select("id", F.xxhash64("id").alias("h")).collect()}
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            words[rng.randrange(5, 95)] = f"z{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    for g in range(300):
+        base, ids = [f"g{g}w{i}" for i in range(100)], range(g * 50, g * 50 + 50)
+        a = max(ids[:40], key=codes.get)
+        b, c = [i for i in ids if i > a and codes[i] < codes[a]][:2]
+        texts = {a: edited(base, 1), b: " ".join(base), c: edited(base, 2)}
+        docs += texts.items()
+        sets = {i: Counter(tuple(t.split()[k : k + 5]) for k in range(96)) for i, t in texts.items()}
+        near = {(i, j): (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total() for i, j in ((a, b), (a, c), (b, c))}
+        assert near[a, b]
+        right |= {a: a, b: a, c: a if near[a, c] or near[b, c] else c}
+    found = {r["doc_id"]: r["component_id"] for r in bag_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    met = bag_minhash._described([t.encode() for _, t in docs], bag_minhash.WORDS, bag_minhash.BANDS, bag_minhash.ROWS)
+    apart = {docs[k][0] for k in range(2, len(docs), 3) if not any((met[k][3] == met[j][3]).any() for j in (k - 1, k - 2))}
+    assert len(apart) < 10 and {i: x for i, x in found.items() if i not in apart} == {i: x for i, x in right.items() if i not in apart}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
