@@ -41,6 +41,7 @@ class Detector:
         self.text, self.limit = text, len(text) + 1 if references is None else references
         self.found: list[Citation] = []
         self._spans: set[tuple[int, int]] = set()
+        self._token = (-1, -1, False)  # of the last glued digit: first place, end, whether it is an address
 
     def matches(self, pattern: str) -> Iterator[re.Match]:
         return (m for m in compiled(pattern).finditer(self.text) if m.start() < self.limit)
@@ -88,6 +89,19 @@ class Detector:
             if numbers := expand_range(plain):
                 self.add(m.span(), m[0], f"[{plain}]", numbers)
 
+    def _in_address(self, start: int, end: int) -> bool:
+        """Whether the token around a place, between the nearest white space on both sides, is a web address."""
+        a, b, found = self._token
+        if not (a <= start and end <= b):
+            space, a = compiled(r"\s"), start
+            while a > 0 and not space.match(self.text, a - 1):
+                a -= 1
+            b = compiled(r"\S*").match(self.text, end).end()
+            token = self.text[a:b]
+            found = bool(compiled(r"(?:https?:\/\/|www\.)", "i").search(token) or compiled(DOMAIN, "i").search(token))
+            self._token = (a, b, found)
+        return found
+
     def _is_raised(self, m: re.Match) -> bool:
         """Whether digits glued to a letter or mark can be a superscript that lost its form."""
         text, start, end, mark, digits = self.text, m.start(), m.end(), m[1], m[2]
@@ -102,9 +116,7 @@ class Detector:
             return False
         if compiled(r"https?:\/\/\S+$").search(text[max(0, start - 80) : start + 1]):
             return False
-        a = start - len(compiled(r"\S*$").search(self.before(start, 2000))[0])
-        token = text[a : end + len(compiled(r"^\S*").match(text[end : end + 2000])[0])]
-        if compiled(r"(?:https?:\/\/|www\.)", "i").search(token) or compiled(DOMAIN, "i").search(token):
+        if self._in_address(start, end):
             return False
         before = self.before(start, 10)
         if compiled(r"pp?\.\s*$").search(before) or compiled(r"(?:vol|no)\.\s*$", "i").search(before):

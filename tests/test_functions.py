@@ -99,6 +99,12 @@ def test_numeric_family(text, expected):
     assert [c.citation_numbers for c in numeric.detect(text)] == expected
 
 
+def test_glued_digits_deep_in_a_long_address():
+    assert numeric.detect("see www.host" + "/part" * 1000 + "/end7/" + "part/" * 1000 + " here") == []
+    assert numeric.detect("see " + "part/" * 1000 + "end7/" + "part/" * 1000 + "host.org here") == []
+    assert [c.citation_numbers for c in numeric.detect("see www.host.org/a1 and results7 here")] == [[7]]
+
+
 def test_numeric_family_stops_at_the_list():
     text = "one [1] two [2]\nReferences\n[1] Smith"
     assert len(numeric.detect(text, text.index("\nReferences"))) == 2
