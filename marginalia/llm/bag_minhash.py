@@ -6,13 +6,16 @@ the points below its weights, and keeps the earliest point of each register, so
 a probability equal to their weighted Jaccard similarity. Points are drawn in order of time up to a horizon that fills
 all registers, so that the work is that of the few points before it, not of weights.
 
-Bands of registers make buckets. Rounds compare the texts of each bucket with one of them, another in each round, and
-only where the two are in different components so far; a group of copies so gives links in number of its texts. What is
+Texts with the same multiset are one class, known by a digest of the multiset; all that follows is on classes. Bands of
+registers make buckets. Rounds compare the classes of each bucket with one of them, another in each round, and only
+where the two are in different components so far; a group of copies so gives links in number of its classes. What is
 then still apart in a bucket is compared whole: all of it but the largest component there with all others, in blocks,
-of which only links leave. No link is lost. Each pair is verified on the exact multisets of shingles.
+of which only links leave. No link between classes of a bucket is lost. Each pair is verified on the exact multisets,
+which are made once, for the classes that share a bucket, and kept as a table.
 
-Texts with the same multiset are one class before all this. Texts without words, null ones and rows with a null key are
-alone. Rows with the same key are one text (the union of their links). Other columns are ignored.
+Each key gives one row. Rows with a null key can't be named by it: they are compared with nothing and left out of the
+result. Texts without words and null ones are alone. Rows with the same key are one document: their texts are linked.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.batches import slices
 from . import shingles
 from .blocks import groups_of, roots
-from .common import cut, small_batches
+from .common import Tables
 from .components import components, connected
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Rounds of comparing buckets with one of their texts (first, by hash, first), and rows of a block of what is compared whole.
+#: Rounds of comparing buckets with one of their classes, and rows of a block of what is compared whole.
 ROUNDS, BLOCK = 3, 512
+#: Different shingles that a block compares at once.
+COLUMNS = 8192
 
 _TIME, _PLACE, _REGISTER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
 
@@ -76,24 +82,23 @@ def signatures(bags: list[np.ndarray], registers: int) -> np.ndarray:
     return out
 
 
+def _digest(elements: np.ndarray) -> np.ndarray:
+    """Two numbers of a multiset, as distinct codes."""
+    return np.array([shingles.mix(elements).sum(dtype=np.uint64), shingles.mix(elements ^ _TIME).sum(dtype=np.uint64)]).view(np.int64)
+
+
 def _described(texts: list[bytes], words: int, bands: int, rows: int) -> list[tuple]:
-    """(digest, digest, shingles, band hashes) of each text; no bands for a text without words."""
-    out = []
-    for a, b in shingles.blocks(texts):
-        bags = shingles.hashed(texts[a:b], words)
-        full = [i for i, x in enumerate(bags) if len(x)]
-        codes = np.zeros((len(bags), bands), dtype=np.uint64)
-        if full:
-            points = signatures([bags[i] for i in full], bands * rows).view(np.uint64).reshape(len(full), bands, rows)
-            mixed = np.zeros((len(full), bands), dtype=np.uint64)
-            for k in range(rows):
-                mixed = shingles.mix(mixed + points[:, :, k])
-            codes[full] = mixed
-        for x, band in zip(bags, codes.view(np.int64), strict=True):
-            each = shingles.elements(x)
-            digest = np.array([shingles.mix(each).sum(dtype=np.uint64), shingles.mix(each ^ _TIME).sum(dtype=np.uint64)]).view(np.int64)
-            out.append((int(digest[0]), int(digest[1]), len(x), band if len(x) else np.zeros(0, np.int64)))
-    return out
+    """(digest in two parts, shingles, band hashes) of each text; no bands for a text without words."""
+    bags = shingles.hashed(texts, words)
+    full = [i for i, x in enumerate(bags) if len(x)]
+    codes = np.zeros((len(bags), bands), dtype=np.uint64)
+    if full:
+        points = signatures([bags[i] for i in full], bands * rows).view(np.uint64).reshape(len(full), bands, rows)
+        mixed = np.zeros((len(full), bands), dtype=np.uint64)
+        for k in range(rows):
+            mixed = shingles.mix(mixed + points[:, :, k])
+        codes[full] = mixed
+    return [(*_digest(shingles.elements(x)), len(x), band if len(x) else np.zeros(0, np.int64)) for x, band in zip(bags, codes.view(np.int64), strict=True)]
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -101,100 +106,112 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def describe(df: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
-    """id, c1, c2 (equal for equal multisets), n (shingles) and codes (one of each band)."""
+    """id, c (equal for equal multisets), n (shingles) and codes (one of each band)."""
 
     def run(batches):
-        for b in batches:
-            found = _described(_bytes(b.column(1)), words, bands, rows)
-            cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "c1", "c2", "n", "codes"])
+        for b in slices(batches):
+            found = [(np.array(x[:2]).tobytes(), *x[2:]) for x in _described(_bytes(b.column(1)), words, bands, rows)]
+            cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "c", "n", "codes"])
 
-    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, c1 long, c2 long, n int, codes array<long>")
+    return df.select(F.col(key).alias("id"), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, c binary, n int, codes array<long>")
 
 
-def bags(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """id and elements: the multiset of a text's shingles as distinct codes."""
+def bags(texts: DataFrame, words: int) -> DataFrame:
+    """c, lead, is_lead and elements of rows (c, text, lead, is_lead) whose text has the digest c, once in each task."""
 
     def run(batches):
-        for b in batches:
-            texts = _bytes(b.column(1))
-            each = [shingles.elements(x).view(np.int64) for i, j in shingles.blocks(texts) for x in shingles.hashed(texts[i:j], words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(each, pa.list_(pa.int64()))], names=["id", "elements"])
+        seen = set()
+        for b in slices(batches):
+            each = [shingles.elements(x) for x in shingles.hashed(_bytes(b.column(1)), words)]
+            own = [i for i, (d, c) in enumerate(zip(map(_digest, each), b.column(0).to_pylist(), strict=True)) if d.tobytes() == c and not (c in seen or seen.add(c))]
+            kept = b.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2), kept.column(3), pa.array([each[i].view(np.int64) for i in own], pa.list_(pa.int64()))], names=["c", "lead", "is_lead", "elements"])
+
+    return texts.select("c", "text", "lead", "is_lead").mapInArrow(run, "c binary, lead binary, is_lead boolean, elements array<long>")
+
 
-    return df.select(F.col(key).alias("id"), F.col(text).cast("string")).mapInArrow(run, f"id {df.schema[key].dataType.simpleString()}, elements array<long>")
+def _near(x: str, y: str, threshold: float):
+    both = F.size(F.array_intersect(x, y))
+    return both >= threshold * (F.size(x) + F.size(y) - both)
 
 
-def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b; with their lineage cut) whose multisets have a similarity of threshold or more."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    known = bags(df.join(ids.withColumnRenamed("id", key), key, "left_semi"), key, text, words).dropDuplicates(["id"])
-    left, right = known.select(F.col("id").alias("a"), F.col("elements").alias("x")), known.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    compared = pairs.join(right, "b").join(left, "a").withColumn("both", both)
-    return compared.where(F.col("both") >= threshold * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+def verified(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose multisets have a similarity of threshold or more."""
+    left, right = known.select(F.col("c").alias("a"), F.col("elements").alias("x")), known.select(F.col("c").alias("b"), F.col("elements").alias("y"))
+    return pairs.join(right, "b").join(left, "a").where(_near("x", "y", threshold)).select("a", "b")
 
 
-def _labelled(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Entries of buckets with their component so far."""
-    if groups is None:
-        return members.withColumn("component", F.col("id"))
-    named = members.join(groups, members["id"] == groups["node"], "left")
-    return named.select("id", "n", "band", "code", F.coalesce("component", "id").alias("component"))
+    named = members.join(groups, members["c"] == groups["node"], "left")
+    return named.select("c", "n", F.coalesce("component", "c").alias("component"), F.inline("at"))
 
 
 def _rest_apart(labelled: DataFrame) -> DataFrame:
     """What is still to be compared, dealt in groups (g, code, t, u) of rows.
 
-    All texts of a bucket outside its largest component meet each other, in pairs of blocks (g is the band, u = -1), and
-    all texts of that component, in blocks t and chunks u; these groups are of the component (g = -1), so that a text
+    All classes of a bucket outside its largest component meet each other, in pairs of blocks (g is the band, u = -1), and
+    all classes of that component, in blocks t and chunks u; these groups are of the component (g = -1), so that a class
     that meets it in many buckets comes once.
     """
     bucket = ["band", "code"]
     parts = labelled.groupBy(*bucket, "component").agg(F.count("*").alias("n_part"))
     sizes = parts.groupBy(*bucket).agg(F.sum("n_part").alias("total"), F.max(F.struct("n_part", "component")).alias("main"), F.count("*").alias("parts"))
     sizes = sizes.where("parts > 1 AND total > 2").select(*bucket, F.col("main.component").alias("main"), (F.col("total") - F.col("main.n_part")).alias("others"))
-    strays = cut(labelled.join(sizes, bucket).where(F.col("component") != F.col("main")).select("id", "component", *bucket, "main", "others"))
+    strays = labelled.join(sizes, bucket).where(F.col("component") != F.col("main")).select("c", "component", *bucket, "main", "others")
     of = lambda n: F.ceil(n / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("id"), of(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("c"), of(n)).cast("int")
     at = lambda t, u, left: F.struct(t.cast("int").alias("t"), u.cast("int").alias("u"), F.lit(left).alias("is_left"))
     to = lambda n: F.sequence(F.lit(0), of(n) - 1)
     none = F.lit(-1)
     later = F.transform(F.filter(to(F.col("others")), lambda t: t < F.col("own")), lambda t: at(t, none, False))
     among = strays.withColumn("own", own(F.col("others"))).withColumn("x", F.explode(F.concat(F.array(at(F.col("own"), none, True)), later)))
-    met = strays.select("main", "id", "component").distinct()
-    inside = labelled.select("id", "component").distinct().join(met.select(F.col("main").alias("component")).distinct(), "component")
+    met = strays.select("main", "c", "component").distinct()
+    inside = labelled.select("c", "component").distinct().join(met.select(F.col("main").alias("component")).distinct(), "component")
     counts = met.groupBy("main").agg(F.count("*").alias("n_left")).join(inside.groupBy(F.col("component").alias("main")).agg(F.count("*").alias("n_right")), "main")
     left = met.join(counts, "main").withColumn("x", F.explode(F.transform(to(F.col("n_right")), lambda u: at(own(F.col("n_left")), u, True))))
     right = inside.withColumn("main", F.col("component")).join(counts, "main").withColumn("x", F.explode(F.transform(to(F.col("n_left")), lambda t: at(t, own(F.col("n_right")), False))))
-    named = lambda d: d.select("id", "component", F.lit(-1).alias("g"), F.xxhash64("main").alias("code"), "x.*")
-    return among.select("id", "component", F.col("band").alias("g"), "code", "x.*").unionByName(named(left)).unionByName(named(right))
+    named = lambda d: d.select("c", "component", F.lit(-1).alias("g"), F.xxhash64("main").alias("code"), "x.*")
+    return among.select("c", "component", F.col("band").alias("g"), "code", "x.*").unionByName(named(left)).unionByName(named(right))
+
+
+def overlaps(sets: pa.ListArray, left: np.ndarray) -> np.ndarray:
+    """Shared elements of each of the left sets with every set, some columns at a time."""
+    sizes = np.diff(sets.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, count = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    often = count[code] > 1
+    owner, code = owner[often], (np.cumsum(count > 1) - 1)[code[often]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(left), len(sets)))
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [low, low + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        held[owner[a:b], code[a:b] - low] = 1
+        out += held[left] @ held.T
+    return out
 
 
 def _linked(threshold: float):
-    """Edges between texts of different components in each group of rows, one for each text at most."""
+    """Edges between classes of different components in each group of rows, one for each class at most."""
 
     def run(batches):
         for g in groups_of(batches, ["g", "code", "t", "u"]):
-            left = g.column("is_left").to_numpy(zero_copy_only=False)
-            ids, part = g.column("id").to_numpy(), g.column("component").to_numpy()
+            ids = g.column("c").to_numpy(zero_copy_only=False)
+            _, part = np.unique(g.column("component").to_numpy(zero_copy_only=False), return_inverse=True)
             sets = g.column("elements").combine_chunks()
             sizes = np.diff(sets.offsets.to_numpy()).astype(np.float64)
-            flat, owner = sets.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes.astype(np.int64))
-            _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-            often = count[code] > 1
-            number = np.cumsum(count > 1) - 1
-            held = np.zeros((len(ids), int((count > 1).sum())), dtype=np.float32)
-            held[owner[often], number[code[often]]] = 1
-            a = np.flatnonzero(left)
-            both = (held[a] @ held.T).astype(np.float64)
+            a = np.flatnonzero(g.column("is_left").to_numpy(zero_copy_only=False))
+            both = overlaps(sets, a)
             near = (both >= threshold * (sizes[a][:, None] + sizes[None, :] - both)) & (part[a][:, None] != part[None, :])
             x, y = np.nonzero(near)
             if len(x):
                 root = roots(len(ids), a[x], y)
                 rows = np.flatnonzero(root != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[root[rows]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.binary()), pa.array(ids[root[rows]], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -203,45 +220,61 @@ def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """Key, class_id (least key of the texts with the same multiset), component_id (least key that is linked to it) and kept."""
-    found = cut(describe(df, key, text, words, bands, rows))
-    best = F.min(F.struct("id", "n", "codes")).alias("best")
-    classes = found.where("n > 0").groupBy("c1", "c2").agg(best).select("c1", "c2", "best.*")
-    entries = classes.select("id", "n", F.posexplode("codes").alias("band", "code"))
-    shared = entries.groupBy("band", "code").agg(F.count("*").alias("size")).where("size > 1").select("band", "code")
-    members = cut(entries.join(shared, ["band", "code"]))
+    tables, bucket = Tables(df.sparkSession), ["band", "code"]
+    sound = tables.keep(describe(df.where(F.col(key).isNotNull()), key, text, words, bands, rows))
+    classes = sound.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "n", "codes")).alias("best")).select("c", "best.*")
+    entries = classes.select("c", "id", "n", F.posexplode("codes").alias("band", "code"))
+    shared = entries.groupBy(*bucket).agg(F.min(F.struct("c", "n")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
     alike = lambda m, n: F.least(m, n) >= threshold * F.greatest(m, n)
-    links = groups = None
-    for turn in range(ROUNDS):
+    fits = (F.col("first.c") != F.col("c")) & alike(F.col("n"), F.col("first.n"))
+    own = F.struct(*bucket), F.when(fits, F.col("first.c"))
+    members = entries.join(shared, bucket).groupBy("c").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.collect_list(own[0]).alias("at"), F.min(own[1]).alias("lead"))
+    members = tables.keep(members)
+    leads = members.select(F.col("lead").alias("l")).where("l IS NOT NULL").distinct()
+    wanted = members.join(leads, F.col("c") == F.col("l"), "left").select("c", "id", "lead", F.col("l").isNotNull().alias("is_lead"))
+    texts = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(wanted, "id")
+    known = tables.keep(bags(texts, words))
+    first = known.where("lead IS NOT NULL").select(F.col("lead").alias("b"), F.col("c").alias("a"), F.col("elements").alias("x"))
+    first = first.join(known.where("is_lead").select(F.col("c").alias("b"), F.col("elements").alias("y")), "b").where(_near("x", "y", threshold))
+    links = [tables.keep(first.select("a", "b"))]
+    groups = tables.keep(connected(links[0], "a", "b"))
+    for turn in range(1, ROUNDS):
         labelled = _labelled(members, groups)
-        key_ = -F.xxhash64("id") if turn == 1 else F.col("id")
-        lead = labelled.groupBy("band", "code").agg(
-            F.min(F.struct(key_.alias("k"), "id", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")
+        order = -F.xxhash64("c") if turn % 2 else F.xxhash64("c")
+        lead = labelled.groupBy(*bucket).agg(
+            F.min(F.struct(order.alias("k"), "c", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")
         )
-        lead = lead.where("low <> high").select("band", "code", F.col("lead.id").alias("o"), F.col("lead.n").alias("m"), F.col("lead.component").alias("oc"))
-        pairs = labelled.join(lead, ["band", "code"]).where((F.col("component") != F.col("oc")) & alike(F.col("n"), F.col("m")))
-        if turn == 0:  # one bucket for each text
-            pairs = pairs.groupBy("id").agg(F.min("o").alias("o"))
-        pairs = cut(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
+        lead = lead.where("low <> high").select(*bucket, F.col("lead.c").alias("o"), F.col("lead.n").alias("m"), F.col("lead.component").alias("oc"))
+        pairs = labelled.join(lead, bucket).where((F.col("component") != F.col("oc")) & alike(F.col("n"), F.col("m")))
+        pairs = tables.keep(pairs.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct())
         if not pairs.isEmpty():
-            found_now = cut(verified(pairs, df, key, text, words, threshold))
-            links = found_now if links is None else links.unionByName(found_now)
-            groups = connected(links, "a", "b")
-    apart = cut(_rest_apart(_labelled(members, groups)))
+            links.append(tables.keep(verified(pairs, known, threshold)))
+            last, groups = groups, tables.keep(connected(_together(links), "a", "b"))
+            tables.drop(last)
+        tables.drop(pairs)
+    apart = tables.keep(_rest_apart(_labelled(members, groups)))
+    tables.drop(members, groups)
     if not apart.isEmpty():
-        ids = apart.select(F.col("id").alias(key)).distinct()
-        known = bags(df.join(ids, key, "left_semi"), key, text, words).dropDuplicates(["id"])
         at = ["g", "code", "t", "u"]
-        kind = found.schema["id"].dataType.simpleString()
-        dealt = apart.join(known, "id").select(*at, "is_left", "component", "id", "elements").repartition(*at).sortWithinPartitions(*at)
-        more = dealt.mapInArrow(_linked(threshold), f"a {kind}, b {kind}")
-        links = more if links is None else links.unionByName(more)
-    groups = None if links is None else components(links, "a", "b")
-    keyed = classes.select("c1", "c2", F.col("id").alias("class_id"))
-    if groups is None:
-        keyed = keyed.withColumn("component_id", F.col("class_id"))
-    else:
-        keyed = keyed.join(groups, keyed["class_id"] == groups["node"], "left").select("c1", "c2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    rows_ = found.select("id", "n", "c1", "c2").join(keyed, ["c1", "c2"], "left")
-    own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("id"))
-    out = rows_.groupBy("id").agg(F.min(own("class_id")).alias("class_id"), F.min(own("component_id")).alias("component_id"))
+        dealt = apart.join(known.select("c", "elements"), "c").select(*at, "is_left", "component", "c", "elements").repartition(*at).sortWithinPartitions(*at)
+        links.append(tables.keep(dealt.mapInArrow(_linked(threshold), "a binary, b binary")))
+    tables.drop(apart, known)
+    same = sound.where("n > 0").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+    several = sound.where("n > 0").join(same.select("id", "a"), "id").where("c <> a").select("a", F.col("c").alias("b"))
+    groups = components(_together(links).unionByName(several), "a", "b")
+    tables.drop(*links)
+    named = classes.select("c", F.col("id").alias("class_id")).join(groups, F.col("c") == F.col("node"), "left").select("c", "class_id", "component")
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(least, "component", "left").select("c", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    with_words = sound.where("n > 0").select("id", "c").join(named, "c").select("id", "class_id", "component_id")
+    without = sound.where("n = 0").select("id", F.lit(None).cast(sound.schema["id"].dataType).alias("class_id"), F.lit(None).cast(sound.schema["id"].dataType).alias("component_id"))
+    out = with_words.unionByName(without).groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
+    out = out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(key), "class_id", "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
+
+
+def _together(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out

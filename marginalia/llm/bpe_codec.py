@@ -190,8 +190,6 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     """Key and decoded string of an array of ids (null: empty)."""
     import pyarrow as pa
 
-    common.small_batches(df.sparkSession)
-
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec(path).decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[key, "decoded"])

@@ -1,8 +1,11 @@
-"""What the operators of this folder share: reading, Arrow maps over texts, lineage cuts."""
+"""What the operators of this folder share: reading, Arrow maps over texts, tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows in an Arrow batch: whole texts travel in them, so that a batch of long ones must still be small.
-BATCH_ROWS = 500
+from ..operators.batches import slices
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of each Arrow batch of this session's Python stages."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
@@ -36,10 +33,36 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Tables:
+    """Tables that cut lineage: written as Parquet to the shared folder and read again, so that they outlive executors.
+
+    Reading packs small files together, so that a small table is few tasks. A table goes with `drop` once nothing reads
+    it; what results still read goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folder, self._made = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path
+        self._remove = lambda name: path(name).getFileSystem(conf).delete(path(name), True)
+        atexit.register(self._forget)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._made += 1
+        path = f"{self._folder}/{self._made}"
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self._remove(self._paths.pop(id(t))[1])
+
+    def _forget(self) -> None:
+        with contextlib.suppress(Exception):  # the application may be gone
+            self._remove(self._folder)
 
 
 def schema_of(ddl: str) -> StructType:
@@ -49,14 +72,12 @@ def schema_of(ddl: str) -> StructType:
 def map_texts(df: DataFrame, kernel, ddl: str, key: str, text: str) -> DataFrame:
     """One row for each row of df: the key, then what kernel makes of the text (null: empty).
 
-    kernel takes a list of str and returns a list of columns in the order of ddl.
+    kernel takes a list of str, of bounded bytes in all, and returns a list of columns in the order of ddl.
     """
-    spark = df.sparkSession
-    small_batches(spark)
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in schema_of(ddl)]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             columns = kernel(texts)
             yield pa.RecordBatch.from_arrays(

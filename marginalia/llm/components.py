@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -25,22 +25,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _edges(links: DataFrame, a: str, b: str) -> DataFrame:
+    return links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+
+
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
-    """Node and component after one round: nodes of one component are connected, but connected ones may still differ."""
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    edges = _small_star(_large_star(edges))
-    return cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")))
+    """Node and component after one step: nodes of one component are connected, but connected ones may still differ."""
+    return _large_star(_edges(links, a, b)).groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """Node and component (its least node), of all nodes that have a link. Lineage is cut after each round."""
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
+    """Node and component (its least node), of all nodes that have a link. Each round is a table of its own."""
+    tables = Tables(links.sparkSession)
+    edges, seen = tables.keep(_edges(links, a, b)), None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("bit_xor(xxhash64(v, u, 1))").alias("y")).first()
         if now == seen or not now["n"]:
             break
-        seen = now
-        edges = cut(_small_star(_large_star(edges)))
+        seen, last = now, edges
+        edges = tables.keep(_small_star(_large_star(edges)))
+        tables.drop(last)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -1,37 +1,41 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 A vector is described by its nearest pivots, in order. Inverted lists are kept for pairs of pivots: two vectors that
-share `2` of their nearest `NEAREST` pivots, in any order, meet in the list of a pair that both have. There a 64-bit
-sign sketch sorts out the entries that have no close partner (at `FAR` bits or more a pair within the threshold is not
-expected once in ten million); of the others the vectors are fetched, and every pair is verified in double precision.
-
-Pivots are a sample of `pivots` vectors, those with the lowest hash; every vector is indexed. A pair that meets in
-several lists counts in one only, that of its first two shared pivots. Lists of any length are dealt to tasks in
-blocks of `BLOCK` entries, by pairs of blocks. Equal vectors are one entry with a weight. A list gives, for each entry,
-its number of links and one edge to the least entry that it is connected with there, so never all pairs.
-
-Vectors that are null, zero, of another length than most, or that hold nulls or values that aren't finite, and those
-with a null label, link with nothing. Rows that repeat an id and a vector are separate vectors of the same id.
+share two of their nearest pivots, in any order, meet in the list of a pair that both have. There a 64-bit sign sketch
+sorts out the entries that have no close partner (at `FAR` bits or more a pair within the threshold is not expected once
+in ten million); of the others the vectors are fetched, and every pair is verified in double precision.
+
+Vectors of each length have an index of their own, as vectors of different lengths have no cosine. Its pivots are a sample
+of them, those with the lowest hash, `PIVOTS` or more: they double while they are below half the square root of the
+number of vectors, up to `MOST_PIVOTS`, so that lists stay short; with every two doublings one more of the nearest counts,
+which keeps recall. Every vector is indexed. A pair that meets in several lists counts in one only, that of its first two
+shared pivots. Lists of any length are dealt to tasks in blocks of `BLOCK` entries, by pairs of blocks. Equal vectors are
+one entry with a weight. A list gives, for each entry, its number of links and one edge to the least entry that it is
+connected with there, so never all pairs.
+
+Vectors that are null, zero, or that hold nulls or values that aren't finite, and those with a null label, link with
+nothing, and so do rows with a null id. Rows that repeat an id are separate vectors of the same id.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import groups_of, roots
-from .common import cut
+from .common import Tables
 from .components import components
 
 THRESHOLD = 0.93
-PIVOTS, NEAREST = 128, 6
+PIVOTS, NEAREST, MOST_PIVOTS = 128, 6, 4096
 SKETCH_BITS, FAR = 64, 24
 BLOCK = 2048
-_SHIFT = 10  # bits of a pivot's number
+_SHIFT = 20  # bits of a pivot's number
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -47,32 +51,39 @@ def permutations(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.nd
     return np.argsort(-(vectors @ pivots.T).round(9), axis=1, kind="stable")[:, :nearest]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+def size_of_index(n: int, pivots: int = PIVOTS, nearest: int = NEAREST, most: int = MOST_PIVOTS) -> tuple[int, int]:
+    """How many pivots, and how many of the nearest, for n vectors."""
+    doubled = max(0, math.ceil(math.log2(max(1.0, math.sqrt(n) / 2 / pivots))))
+    doubled = min(doubled, max(0, int(math.log2(max(1.0, most / pivots)))))
+    return pivots << doubled, nearest + (doubled + 1) // 2
+
+
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    """A matrix of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def usable(df: DataFrame, vector: str) -> DataFrame:
-    v = F.col(vector)
-    return df.where(F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+def usable(row: str, vector: str, label: str) -> Column:
+    """Whether a row's vector can link: neither null nor zero, all values finite, and neither id nor label null."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(F.exists(vector, lambda x: x != 0) & finite, F.lit(False)) & F.col(label).isNotNull() & F.col(row).isNotNull()
 
 
-def describe(entries: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """rep, weight, label, v; order (the permutation, `_SHIFT` bits each) and sketch."""
+def describe(entries: DataFrame, pivots: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
+    """e, weight, label, v; width, order (the permutation) and sketch. pivots: by width, unit vectors and how many of the nearest count."""
 
     def run(batches):
         for b in batches:
-            x = unit(_matrix(b.column(3))) if b.num_rows else np.zeros((0, pivots.shape[1]))
-            near = permutations(x, pivots, nearest)
-            order = sum((near[:, i].astype(np.int64) << (_SHIFT * i) for i in range(near.shape[1])), np.zeros(len(x), np.int64))
-            bits = np.packbits((x @ planes(x.shape[1])) > 0, axis=1).view(">i8").astype(np.int64).reshape(-1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order), pa.array(bits)], names=["rep", "weight", "label", "v", "order", "sketch"])
+            widths = np.diff(b.column(3).offsets.to_numpy()) if b.num_rows else np.zeros(0, np.int64)
+            for width in np.unique(widths).tolist():
+                part = b.take(pa.array(np.flatnonzero(widths == width)))
+                x, (points, nearest) = unit(_rows(part.column(3), width)), pivots[width]
+                order = pa.array(list(permutations(x, points, nearest).astype(np.int32)), pa.list_(pa.int32()))
+                bits = np.packbits((x @ planes(width)) > 0, axis=1).view(">i8").astype(np.int64).reshape(-1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), width, np.int32)), order, pa.array(bits)], names=["e", "weight", "label", "v", "width", "order", "sketch"])
 
     kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
-    return entries.select("rep", "weight", "label", "v").mapInArrow(run, f"rep {kinds['rep']}, weight long, label {kinds['label']}, v {kinds['v']}, order long, sketch long")
-
-
-def _numbers(order: np.ndarray, nearest: int) -> np.ndarray:
-    return np.stack([(order >> (_SHIFT * i)) & ((1 << _SHIFT) - 1) for i in range(nearest)], axis=1)
+    return entries.select("e", "weight", "label", "v").mapInArrow(run, f"e long, weight long, label {kinds['label']}, v {kinds['v']}, width int, order array<int>, sketch long")
 
 
 def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -100,72 +111,101 @@ def _close(batches):
             np.fill_diagonal(near, False)
         rows = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
         if len(rows):
-            yield from g.take(rows).select(["label", "pair", "i", "j", "block", "rep"]).to_batches()
+            yield from g.take(rows).select(["pair", "i", "j", "block", "e"]).to_batches()
 
 
-def _verify(threshold: float, nearest: int):
+def _verify(threshold: float):
     def run(batches):
         for g in groups_of(batches, ["label", "pair", "i", "j"]):
             left, right, same = _halves(g)
             if not len(left) or not len(right) or (same and len(left) < 2):
                 continue
-            x = unit(_matrix(g.column("v").combine_chunks()))
+            order, v = g.column("order").combine_chunks(), g.column("v").combine_chunks()
+            x = unit(_rows(v, len(v[0])))
             cos = x[left] @ x[right].T
             if same:
                 cos = np.triu(cos, 1)
             a, b = np.nonzero(cos >= threshold - 1e-9)
             a, b = left[a], right[b]
-            exact = (x[a] * x[b]).sum(axis=1) >= threshold
-            near = _numbers(g.column("order").to_numpy(), nearest)
-            shared = (near[a][:, :, None] == near[b][:, None, :]).any(axis=2)
-            numbers = np.sort(np.where(shared, near[a], 1 << _SHIFT), axis=1)
-            mine = (numbers[:, 0] << _SHIFT) + numbers[:, 1] == g.column("pair").to_numpy()[0]
-            a, b = a[exact & mine], b[exact & mine]
+            near = _rows(order, len(order[0])).astype(np.int64)
+            weight, pair = g.column("weight").to_numpy(), int(g.column("pair")[0].as_py()) & ((1 << 2 * _SHIFT) - 1)
+            found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low in range(0, len(a), 1 << 16):
+                c, d = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
+                exact = (x[c] * x[d]).sum(axis=1) >= threshold
+                shared = (near[c][:, :, None] == near[d][:, None, :]).any(axis=2)
+                numbers = np.sort(np.where(shared, near[c], 1 << _SHIFT), axis=1)
+                mine = (numbers[:, 0] << _SHIFT) + numbers[:, 1] == pair
+                found[0].append(c[exact & mine])
+                found[1].append(d[exact & mine])
+            a, b = (np.concatenate(f) for f in found)
             if not len(a):
                 continue
-            rep, weight = g.column("rep").to_numpy(), g.column("weight").to_numpy()
-            order = np.argsort(rep, kind="stable")
-            place = np.empty(len(rep), np.int64)
-            place[order] = np.arange(len(rep))
-            links = np.bincount(a, weight[b], len(rep)) + np.bincount(b, weight[a], len(rep))
-            root = order[roots(len(rep), place[a], place[b])][place]
+            e = g.column("e").to_numpy()
+            by = np.argsort(e, kind="stable")
+            place = np.empty(len(e), np.int64)
+            place[by] = np.arange(len(e))
+            links = np.bincount(a, weight[b], len(e)) + np.bincount(b, weight[a], len(e))
+            root = by[roots(len(e), place[a], place[b])][place]
             rows = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[rows]), pa.array(rep[root[rows]]), pa.array(links[rows].astype(np.int64))], names=["rep", "root", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(e[rows]), pa.array(e[root[rows]]), pa.array(links[rows].astype(np.int64))], names=["e", "root", "links"])
 
     return run
 
 
-def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, pivots: int = PIVOTS, nearest: int = NEAREST) -> DataFrame:
+def pivots_of(entries: DataFrame, pivots: int, nearest: int, most: int) -> dict[int, tuple[np.ndarray, int]]:
+    """For each length of vectors, its pivots and how many of the nearest count. Only the pivots come to the driver."""
+    out = {}
+    sizes = {r["w"]: r["n"] for r in entries.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}
+    for width, n in sorted(sizes.items()):
+        asked, close = size_of_index(n, pivots, nearest, most)
+        rows = entries.where(F.size("v") == width).orderBy(F.xxhash64("v"), "e").limit(asked).collect()
+        points = unit(np.array([r["v"] for r in rows], dtype=np.float64))
+        if len(points) < 2:  # one vector: it has no partner, but its order has two numbers
+            points = np.vstack([points, -points])
+        out[width] = points, min(close, len(points))
+    return out
+
+
+def links(
+    df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, pivots: int = PIVOTS, nearest: int = NEAREST, most_pivots: int = MOST_PIVOTS
+) -> DataFrame:
     """Key, n_links, component_id and kept of each row of df (see the module)."""
+    if not (2 <= nearest <= pivots <= most_pivots < 1 << _SHIFT):
+        raise ValueError(f"2 <= nearest <= pivots <= most_pivots < {1 << _SHIFT} must hold")
+    tables = Tables(df.sparkSession)
     rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
-    sound = usable(rows, "v").where(F.col("label").isNotNull() & F.col("id").isNotNull())
-    entries = sound.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    found = entries.withColumn("h", F.xxhash64("v")).orderBy("h", "rep").limit(pivots).collect()
-    widths = [len(r["v"]) for r in found]
-    width = max(set(widths), key=widths.count) if widths else 1
-    points = unit(np.array([r["v"] for r in found if len(r["v"]) == width], dtype=np.float64)) if widths else np.zeros((0, 1))
-    nearest = min(nearest, len(points))
-    if nearest < 2:  # fewer than two different vectors
-        points, nearest = np.vstack([points, np.eye(width)[:1], -np.eye(width)[:1]]), 2
-    table = cut(describe(entries.where(F.size("v") == width), points, nearest))
+    sound = rows.where(usable("id", "v", "label"))
+    entries = sound.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("e", F.monotonically_increasing_id())
+    entries = tables.keep(entries)
+    points = pivots_of(entries, pivots, nearest, most_pivots)
+    table = tables.keep(describe(entries, points))
     kinds = {f.name: f.dataType.simpleString() for f in table.schema}
-    number = lambda i: F.shiftright("order", _SHIFT * i).bitwiseAND((1 << _SHIFT) - 1)
-    pairs = F.array(*(F.shiftleft(F.least(number(i), number(j)), _SHIFT) + F.greatest(number(i), number(j)) for i, j in itertools.combinations(range(nearest), 2)))
-    lists = table.select("rep", "label", "sketch", F.explode(pairs).alias("pair"))
+    # a pair of pivots, its length of vectors above both
+    number = lambda i, j: (F.col("width").cast("long") * (1 << 2 * _SHIFT)) + F.least(i, j).cast("long") * (1 << _SHIFT) + F.greatest(i, j).cast("long")
+    most = max((k for _, k in points.values()), default=2)
+    at_place = lambda i: F.get("order", F.lit(i))
+    pairs = F.array_compact(F.array(*(F.when(F.size("order") > j, number(at_place(i), at_place(j))) for i, j in itertools.combinations(range(most), 2))))
+    lists = table.select("e", "label", "sketch", F.explode(pairs).alias("pair"))
     sizes = lists.groupBy("label", "pair").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt = lists.join(sizes, ["label", "pair"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = lists.join(sizes, ["label", "pair"]).withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     at = ["label", "pair", "i", "j"]
     together = lambda d: d.repartition(*at).sortWithinPartitions(*at)
-    close = together(dealt.select(*at, "block", "rep", "sketch")).mapInArrow(_close, f"label {kinds['label']}, pair long, i int, j int, block int, rep {kinds['rep']}")
-    fetched = close.join(table.select("rep", "label", "weight", "v", "order"), ["label", "rep"])
-    partial = cut(together(fetched.select(*at, "block", "rep", "weight", "v", "order")).mapInArrow(_verify(threshold, nearest), f"rep {kinds['rep']}, root {kinds['rep']}, links long"))
-    whole = components(partial, "rep", "root")
-    sums = partial.groupBy("rep").agg(F.sum("links").alias("links")).join(whole, F.col("rep") == F.col("node"), "left").drop("node")
-    classes = entries.join(sums, "rep", "left").select("label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(classes, ["label", "v"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    close = together(dealt.select(*at, "block", "e", "sketch")).mapInArrow(_close, "pair long, i int, j int, block int, e long")
+    fetched = close.join(table.select("e", "label", "weight", "v", "order"), "e")
+    partial = tables.keep(together(fetched.select(*at, "block", "e", "weight", "v", "order")).mapInArrow(_verify(threshold), "e long, root long, links long"))
+    tables.drop(table)
+    whole = components(partial, "e", "root")
+    least = whole.join(entries.select(F.col("e").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = whole.join(least, "component").select(F.col("node").alias("e"), "component_id")
+    sums = partial.groupBy("e").agg(F.sum("links").alias("links")).join(named, "e", "left")
+    classes = tables.keep(entries.join(sums, "e", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")))
+    tables.drop(entries, partial)
+    linked = sound.join(classes, ["label", "v"]).select("id", "n_links", "component_id")
+    alone = rows.where(~usable("id", "v", "label")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 SQL = f"""

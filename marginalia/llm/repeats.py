@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Tables
 from .shingles import mix
 
 LENGTH, ANCHOR = 50, 20
@@ -386,7 +386,6 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     The key is an integer.
     """
     spark = df.sparkSession
-    small_batches(spark, 1000)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     sound, keyless = docs.where(F.col("doc").isNotNull()), docs.where(F.col("doc").isNull())
