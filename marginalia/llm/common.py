@@ -65,6 +65,12 @@ class Tables:
             self._remove(self._folder)
 
 
+def tasks_of(df: DataFrame, each: int) -> int:
+    """Tasks for stages over df: those of the session, or more if its estimated bytes give more than `each` for one."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 60 else max(least, -(-size // each))  # as much as that means unknown
+
+
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 

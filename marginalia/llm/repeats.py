@@ -1,41 +1,55 @@
 """Removal of repeated strings of bytes by interval expansion on a Burrows-Wheeler transform.
 
-A byte goes if a string of `LENGTH` bytes that covers it also starts in a document with a smaller key. The steps:
+A byte goes if a string of `LENGTH` bytes that covers it also starts in a document with a smaller key. The transform
+finds all that repeats; what comes before it only brings together what may be equal:
 
 1. Anchors. Of the codes of the `ANCHOR`-byte strings inside a `LENGTH`-byte string the least is its anchor, so that
    equal strings have the same one. Strings in a row with one anchor are a fragment. Codes meet by value, packed; per
-   batch, one that several documents hold is known to be shared, and only its least and greatest documents go there.
-2. Documents whose anchors others share are joined with these and make the fragments again, now with text. Per batch,
-   a fragment equal to one of a smaller document is removed at once, and only the first of equal ones is sent on: a
-   passage in a third of all documents is one row for each batch.
-3. Fragments meet by anchor, packed again. Where an anchor has but one, its documents are the class of all its strings.
-   The others of a partition, each different one once, form a text, in blocks of whole anchors of bounded size.
-   Its suffixes are sorted to `LENGTH` bytes; the transform's boundaries are then extended backwards in breadth, which
-   sets longest common prefixes by increasing value, and stops at `LENGTH`. What is still joined then are the strings
-   that occur more than once; their least document decides.
+   slice of documents only the least and greatest document of a code go there.
+2. Documents whose anchors others share are joined with these and make the fragments again, now with text. Fragments of
+   a slice that share an anchor with another document of it form a text; its transform tells which of their strings a
+   smaller document of the slice holds. Fragments that are wholly removed so are not sent on: a passage in a third of all
+   documents is one row for each slice.
+3. Fragments meet by anchor, packed again, and form texts of whole anchors of up to `INDEX` bytes. A larger anchor is
+   halved, and what is left of both halves compared in pairs of blocks. Anchors of more than `HOT` rows are first dealt
+   out with a salt, and only what is left of them meets in a second turn.
 4. Spans are merged for each document, and the text without them is formed.
 
-All documents are read whole, as UTF-8. Null and empty texts and texts below `LENGTH` bytes lose nothing. Rows that
-repeat a key and text are one document and are returned alike; rows with a null key neither remove nor lose anything.
-Matches never cross documents.
+A text's suffixes are sorted and the transform's boundaries extended backwards in breadth, which sets longest common
+prefixes by increasing value, and stops at `LENGTH`. What is still joined then are equal strings; their least document
+decides.
+
+All documents are read whole, as UTF-8. Null and empty texts and texts below `LENGTH` bytes lose nothing. Keys are
+integers. Rows that repeat a key and text are returned alike; different texts of one key are parts of one document, which
+remove nothing from each other. Rows with a null key neither remove nor lose anything. Matches never cross texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import Tables
+from ..operators.batches import slices
+from .common import Tables, tasks_of
 from .shingles import mix
 
 LENGTH, ANCHOR = 50, 20
-#: Bytes of documents that are scanned at once, and of fragments in one transform (one anchor's may be more).
-SCAN, INDEX = 2_000_000, 4_000_000
+#: Bytes of documents that are scanned at once, and of fragments in one transform.
+SCAN, INDEX = 2_000_000, 2_000_000
+#: Rows of an anchor (one or two for each slice of documents that holds it) up to which one task takes it at once.
+HOT = 20_000
+#: Bytes of documents for a task, and how many parts, one after the other, a task has.
+TASK, PARTS = 16_000_000, 4
+_CODE_BITS = 48
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,19 +96,8 @@ def fragments(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray,
     return low[at[keep]], text[keep], (at - begins[text])[keep], run[keep]
 
 
-def _scan(texts: list[bytes]):
-    begin = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > SCAN:
-            yield begin, i
-            begin, total = i, 0
-        total += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def pack(columns: list[np.ndarray]) -> bytes:
-    """Integers (not negative) of columns of one length, by planes of bytes, compressed."""
+    """Integers of columns of one length, by planes of bytes, compressed."""
     out = [np.int64(len(columns[0])).tobytes()]
     for c in columns:
         low = int(c.min()) if len(c) else 0
@@ -123,99 +126,108 @@ def short(code: np.ndarray) -> np.ndarray:
 def _dealt(part: np.ndarray):
     """Rows of each part: (part, their numbers)."""
     order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.diff(part[order], prepend=-1))
-    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+    edges = [*np.flatnonzero(np.diff(part[order], prepend=-1)), len(order)]
+    for a, b in itertools.pairwise(edges):
         yield int(part[order[a]]), order[a:b]
 
 
 def _anchored(length: int, anchor: int, parts: int):
-    """Rows (part, packed code, doc and whether it is known to be shared) of each batch's fragments."""
+    """Rows (part, packed code, doc and whether it is known to be shared) of each slice's fragments."""
 
     def run(batches):
-        for b in batches:
-            docs, texts = b.column(0).to_numpy(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in _scan(texts):
-                code, text, _, _ = fragments(texts[lo:hi], length, anchor)
-                if not len(code):
-                    continue
-                code, doc = short(code), docs[lo:hi][text]
-                order = np.lexsort((doc, code))
-                code, doc = code[order], doc[order]
-                once = np.ones(len(code), bool)
-                once[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-                code, doc = code[once], doc[once]
-                first = np.flatnonzero(np.diff(code, prepend=-1))
-                last = np.append(first[1:], len(code)) - 1
-                known = np.repeat(doc[first] != doc[last], last - first + 1)
-                sent = np.zeros(len(code), bool)
-                sent[first] = sent[last] = True
-                # what is known and not sent to be found out for others may go anywhere
-                part = np.where(known & ~sent, doc, code) % parts
-                flag = known.astype(np.int64) + (known & ~sent)
-                rows = [(p, pack([code[r], doc[r], flag[r]])) for p, r in _dealt(part)]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "packed"])
+        for b in slices(batches, 2, SCAN):
+            docs = b.column(0).to_numpy()
+            code, text, _, _ = fragments(_bytes(b.column(2)), length, anchor)
+            if not len(code):
+                continue
+            code, doc = short(code), docs[text]
+            order = np.lexsort((doc, code))
+            code, doc = code[order], doc[order]
+            once = np.ones(len(code), bool)
+            once[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+            code, doc = code[once], doc[once]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            last = np.append(first[1:], len(code)) - 1
+            known = np.repeat(doc[first] != doc[last], last - first + 1)
+            sent = np.zeros(len(code), bool)
+            sent[first] = sent[last] = True
+            # what is known and not sent to be found out for others may go anywhere
+            part = np.where(known & ~sent, mix(doc.astype(np.uint64)).astype(np.int64) & ((1 << 40) - 1), code) % parts
+            flag = known.astype(np.int64) + (known & ~sent)
+            rows = [(p, pack([code[r], doc[r], flag[r]])) for p, r in _dealt(part)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "packed"])
 
     return run
 
 
-def _columns(batches, name: str) -> list[np.ndarray] | None:
-    """The columns of all packed rows of a partition."""
-    found = [unpack(x) for b in batches for x in b.column(name).to_pylist()]
-    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else None
-
-
-def _shared(batches):
-    """Of a partition that holds all rows of its codes: (doc, code) of codes in two documents or more."""
-    found = _columns(batches, "packed")
-    if found is None:
-        return
-    code, doc, flag = found
-    shared = flag > 0
-    meet = np.flatnonzero(flag < 2)
-    order = meet[np.argsort(code[meet], kind="stable")]
-    sorted_code, sorted_doc = code[order], doc[order]
-    if len(order):
-        first = np.flatnonzero(np.diff(sorted_code, prepend=-1))
-        many = np.minimum.reduceat(sorted_doc, first) != np.maximum.reduceat(sorted_doc, first)
-        shared[order] |= np.repeat(many, np.diff(np.append(first, len(order))))
-    for at in range(0, len(code), 200_000):
-        rows = at + np.flatnonzero(shared[at : at + 200_000])
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(code[rows])], names=["doc", "code"])
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _cut_out(length: int, anchor: int, parts: int):
-    """The documents' fragments with shared codes, packed by part; and as spans (part -1) what equal ones before remove."""
+def _parts(batches, columns: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Each part's rows (without the part), of batches that are sorted by it."""
+    part, rows = None, []
+    for b in slices(batches, columns):
+        for p, *row in zip(*(b.column(i).to_pylist() for i in range(columns + 1)), strict=True):
+            if p != part and rows:
+                yield part, rows
+                rows = []
+            part = p
+            rows.append(tuple(row))
+    if rows:
+        yield part, rows
+
+
+def _shared(hot: int):
+    """Of parts that hold all rows of their codes: (doc, code) of codes in two documents or more; above a code, its salts."""
 
     def run(batches):
-        for b in batches:
-            docs, texts = b.column(0).to_numpy(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            wanted = b.column(2)
-            which, wanted = np.repeat(np.arange(len(docs)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
-            for lo, hi in _scan(texts):
-                code, text, at, count = fragments(texts[lo:hi], length, anchor)
-                code, mine = short(code), (which >= lo) & (which < hi)
-                keyed = lambda c, w: mix(c.astype(np.uint64) + w.astype(np.uint64) * _ODD)
-                keep = np.isin(keyed(code, text + lo), keyed(wanted[mine], which[mine]))
-                code, text, at, count = code[keep], text[keep], at[keep], count[keep]
-                doc = docs[lo:hi][text]
-                order = np.lexsort((at, doc, code))
-                code, text, at, count, doc = code[order], text[order], at[order], count[order], doc[order]
-                pieces = [texts[lo + t][a : a + n + length - 1] for t, a, n in zip(text.tolist(), at.tolist(), count.tolist(), strict=True)]
-                first: dict[tuple[int, bytes], int] = {}
-                owner = np.array([first.setdefault(k, i) for i, k in enumerate(zip(code.tolist(), pieces, strict=True))], dtype=np.int64)
-                gone = doc > doc[owner] if len(owner) else np.zeros(0, bool)
-                rows = [(-1, pack([doc[gone], at[gone], at[gone] + count[gone] + length - 1]), b"")] if gone.any() else []
-                left = np.flatnonzero(~gone)
-                for p, r in _dealt(code[left] % parts):
-                    r = left[r]
-                    rows.append((p, pack([code[r], doc[r], at[r], count[r]]), zstandard.compress(b"".join([pieces[i] for i in r.tolist()]), 1)))
-                names = ["part", "packed", "text"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=names)
+        for _, rows in _parts(batches, 1):
+            code, doc, flag = (np.concatenate(c) for c in zip(*(unpack(x) for (x,) in rows), strict=True))
+            shared, salts = flag > 0, np.ones(len(code), np.int64)
+            meet = np.flatnonzero(flag < 2)
+            order = meet[np.argsort(code[meet], kind="stable")]
+            sorted_code, sorted_doc = code[order], doc[order]
+            if len(order):
+                first = np.flatnonzero(np.diff(sorted_code, prepend=-1))
+                n = np.diff(np.append(first, len(order)))
+                many = np.minimum.reduceat(sorted_doc, first) != np.maximum.reduceat(sorted_doc, first)
+                shared[order] |= np.repeat(many, n)
+                salts[order] = np.repeat(np.minimum(1 + n // hot, (1 << 15) - 1), n)
+            code = code | (salts << _CODE_BITS)
+            for at in range(0, len(code), 200_000):
+                rows = at + np.flatnonzero(shared[at : at + 200_000])
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(code[rows])], names=["doc", "code"])
 
     return run
 
 
+class Pieces(NamedTuple):
+    """Fragments: anchor, document, which text of it, first place, number of strings, first byte in a pool of bytes, salts."""
+
+    code: np.ndarray
+    doc: np.ndarray
+    row: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    start: np.ndarray
+    salts: np.ndarray
+
+    def take(self, rows) -> Pieces:
+        return Pieces(*(c[rows] for c in self))
+
+    def bytes_of(self, pool: np.ndarray, length: int, mark: int = 0) -> np.ndarray:
+        """The fragments' bytes one after the other, each with `mark` more bytes of 255 (which UTF-8 doesn't have)."""
+        size = self.count + length - 1 + mark
+        end = np.cumsum(size)
+        index = np.arange(end[-1] if len(end) else 0) + np.repeat(self.start - (end - size), size)
+        out = pool[np.minimum(index, len(pool) - 1)]
+        if mark:
+            out[end - 1] = 255
+        return out
+
+
 def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
     """Places of data sorted by the `length` bytes from each (beyond the end: zeros).
 
@@ -281,90 +293,182 @@ def joined_prefixes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return order, ~divided
 
 
-def _least_before(texts: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each place of each different string, the least document that holds the `length` bytes from there."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    # bytes shift by one, so that 0 is only a separator; 255 doesn't occur in UTF-8
-    data = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8) + np.uint8(1)
-    order, joined = joined_prefixes(data, length)
-    begins = np.cumsum(sizes + 1) - (sizes + 1)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)[order]
-    inside = order - begins[owner] + length <= sizes[owner]
-    document = np.where(inside, least[owner], np.iinfo(np.int64).max)
+def least_before(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each place where one of the strings in data begins `length` bytes, the least document that holds these.
+
+    The strings have `size` bytes, and each is followed by a byte 255.
+    """
+    order, joined = joined_prefixes(data + np.uint8(1), length)  # bytes shift by one, so that 0 is only a separator
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    inside = np.arange(len(data)) - np.repeat(np.cumsum(size + 1) - (size + 1), size + 1) + length <= size[owner]
+    document = np.where(inside, doc[owner], np.iinfo(np.int64).max)[order]
     first = np.flatnonzero(~joined)
     smallest = np.minimum.reduceat(document, first)
     out = np.empty(len(data), np.int64)
     out[order] = np.repeat(smallest, np.diff(np.append(first, len(data))))
-    return [out[b : b + max(0, s - length + 1)] for b, s in zip(begins, sizes, strict=True)]
-
-
-def _spans_of(doc: np.ndarray, at: np.ndarray, number: np.ndarray, found: list[np.ndarray], length: int):
-    """Spans of the strings of rows that stand in a smaller document; found: the least document of each string, by fragment."""
-    sizes = np.array([len(x) for x in found], dtype=np.int64)
-    begins, flat = np.cumsum(sizes) - sizes, np.concatenate(found)
-    n = sizes[number]
-    row = np.repeat(np.arange(len(doc)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hit = flat[begins[number][row] + place] < doc[row]
-    edge = np.ones(len(row), bool)
-    edge[1:] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])
+    return out[inside]
+
+
+def _least_before(texts: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
+    """As least_before, by string."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    found = least_before(np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8), size, np.asarray(least), length)
+    return np.split(found, np.cumsum(np.maximum(0, size - length + 1))[:-1])
+
+
+def _blocks(p: Pieces, length: int, most: int) -> list[slice]:
+    """Runs of fragments of up to `most` bytes (or one fragment)."""
+    ends, out, at = np.cumsum(p.count + length), [], 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        out.append(slice(at, end))
+        at = end
+    return out
+
+
+def hits(pool: np.ndarray, p: Pieces, length: int, most: int = INDEX) -> np.ndarray:
+    """Of each string of fragments (sorted by document), whether a smaller document among them holds it."""
+    total = int((p.count + length).sum())
+    if total <= most or len(p.doc) < 2:
+        size = p.count + length - 1
+        return least_before(p.bytes_of(pool, length, 1), size, p.doc, length) < np.repeat(p.doc, p.count) if len(size) else np.zeros(0, bool)
+    half = int(np.clip(np.searchsorted(np.cumsum(p.count + length), total // 2), 1, len(p.doc) - 1))
+    a, b = p.take(slice(0, half)), p.take(slice(half, None))
+    gone = hits(pool, a, length, most), hits(pool, b, length, most)
+    left, right = a.take(~wholly(a, gone[0])), np.flatnonzero(~wholly(b, gone[1]))
+    begin = np.cumsum(b.count) - b.count
+    rest = b.take(right)
+    for x in _blocks(left, length, most // 2):
+        for y in _blocks(rest, length, most // 2):
+            one, two = left.take(x), rest.take(y)
+            found = hits(pool, Pieces(*(np.concatenate(c) for c in zip(one, two, strict=True))), length, total)
+            n = two.count
+            place = np.repeat(begin[right[y]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            gone[1][place] |= found[one.count.sum() :]
+    return np.concatenate(gone)
+
+
+def wholly(p: Pieces, gone: np.ndarray) -> np.ndarray:
+    """Which fragments have only strings that are gone."""
+    return np.logical_and.reduceat(gone, np.cumsum(p.count) - p.count) if len(p.count) else np.zeros(0, bool)
+
+
+def decide(pool: np.ndarray, p: Pieces, length: int, most: int = INDEX) -> np.ndarray:
+    """As hits, of fragments sorted by anchor and document: in texts of whole anchors, as no other fragments hold equal strings."""
+    edge = np.flatnonzero(np.diff(p.code, prepend=-1))
+    sums = np.add.reduceat(p.count + length, edge) if len(edge) else np.zeros(0, np.int64)
+    ends, out, at = np.append(edge[1:], len(p.code)), [], 0
+    while at < len(edge):
+        end = max(at + 1, at + int(np.searchsorted(np.cumsum(sums[at:]), most, side="right")))
+        out.append(hits(pool, p.take(slice(edge[at], ends[end - 1])), length, most))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
+def spans_of(p: Pieces, gone: np.ndarray, length: int) -> list[np.ndarray]:
+    """Documents, texts, first bytes and ends of runs of strings that are gone."""
+    piece = np.repeat(np.arange(len(p.doc)), p.count)
+    place = np.arange(len(piece)) - np.repeat(np.cumsum(p.count) - p.count, p.count)
+    edge = np.ones(len(piece), bool)
+    edge[1:] = (piece[1:] != piece[:-1]) | (gone[1:] != gone[:-1])
     start = np.flatnonzero(edge)
-    end = np.append(start[1:], len(row)) - 1
-    start, end = start[hit[start]], end[hit[start]]
-    return doc[row[start]], at[row[start]] + place[start], at[row[start]] + place[end] + length
+    end = np.append(start[1:], len(piece)) - 1
+    start, end = start[gone[start]], end[gone[start]]
+    of = piece[start]
+    return [p.doc[of], p.row[of], p.at[of] + place[start], p.at[of] + place[end] + length]
+
+
+def _sent(pool: np.ndarray, p: Pieces, part: np.ndarray, length: int) -> list[tuple]:
+    """Rows (part, packed, text) of fragments."""
+    out = []
+    for number, rows in _dealt(part):
+        x = p.take(rows)
+        out.append((number, pack([x.code, x.doc, x.row, x.at, x.count, x.salts]), zstandard.compress(x.bytes_of(pool, length).tobytes(), 1)))
+    return out
+
+
+def _received(rows: list[tuple], length: int) -> tuple[np.ndarray, Pieces]:
+    """The bytes and fragments of rows, sorted by anchor and document."""
+    packed = [unpack(x) for x, _ in rows]
+    pool = np.frombuffer(b"".join([zstandard.decompress(t) for _, t in rows]), dtype=np.uint8)
+    code, doc, row, at, count, salts = (np.concatenate(c) for c in zip(*packed, strict=True))
+    p = Pieces(code, doc, row, at, count, np.cumsum(count + length - 1) - (count + length - 1), salts)
+    return pool, p.take(np.lexsort((doc, code)))
+
+
+def _cut_out(length: int, anchor: int, parts: int):
+    """The documents' fragments with shared codes, packed by part; and as spans (part -1) what others of the slice remove."""
+
+    def run(batches):
+        for b in slices(batches, 2, SCAN):
+            docs, rows, texts, wanted = b.column(0).to_numpy(), b.column(1).to_numpy(), _bytes(b.column(2)), b.column(3)
+            which, wanted = np.repeat(np.arange(len(docs)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
+            code, text, at, count = fragments(texts, length, anchor)
+            code = short(code)
+            keyed = lambda c, w: mix(c.astype(np.uint64) + mix(w.astype(np.uint64) + _ODD))
+            wanted, salts = wanted & ((1 << _CODE_BITS) - 1), wanted >> _CODE_BITS
+            order = np.argsort(known := keyed(wanted, which))
+            known, salts = known[order], salts[order]
+            mine = keyed(code, text)
+            place = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
+            keep = np.flatnonzero(known[place] == mine) if len(known) else np.zeros(0, np.int64)
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            pool, begin = np.frombuffer(b"".join(texts) or b" ", dtype=np.uint8), np.cumsum(sizes) - sizes
+            text, at = text[keep], at[keep]
+            p = Pieces(code[keep], docs[text].astype(np.int64), rows[text].astype(np.int64), at, count[keep], begin[text] + at, salts[place[keep]])
+            p = p.take(np.lexsort((p.doc, p.code)))
+            edge = np.flatnonzero(np.diff(p.code, prepend=-1))
+            out, left = [], p
+            if len(edge):
+                n = np.diff(np.append(edge, len(p.code)))
+                several = np.repeat(np.minimum.reduceat(p.doc, edge) != np.maximum.reduceat(p.doc, edge), n)
+                met = p.take(several)
+                gone = decide(pool, met, length)
+                if gone.any():
+                    out.append((-1, pack(spans_of(met, gone, length)), b""))
+                stays = np.ones(len(p.code), bool)
+                stays[several] = ~wholly(met, gone)
+                left = p.take(stays)
+                salt = mix(docs[:1].astype(np.uint64)).astype(np.int64) & ((1 << 40) - 1)
+                salted = mix((left.code + (salt % left.salts) * (1 << _CODE_BITS)).astype(np.uint64)).astype(np.int64) & ((1 << 40) - 1)
+                out += _sent(pool, left, np.where(left.salts > 1, salted, left.code) % parts, length)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "packed", "text"])
+
+    return run
 
 
-def _removed(length: int):
-    """Spans (doc, first, end) that a partition with all rows of its anchors removes."""
+_SPANS = "doc long, row long, first int, `end` int, part int, packed binary, text binary"
+
+
+def _removed(length: int, parts: int):
+    """Spans that parts with all rows of their anchors remove, and rows (part, packed, text) of what is left of salted anchors."""
 
     def run(batches):
-        spans, packed, pieces = [], [], []
-        for b in batches:
-            for part, data, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found = unpack(data)
-                if part < 0:
-                    spans.append(found)
-                    continue
-                packed.append(found)
-                ends = np.cumsum(found[3] + length - 1).tolist()
-                text = zstandard.decompress(text)
-                pieces += [text[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)]
-        if packed:
-            code, doc, at, count = (np.concatenate(c) for c in zip(*packed, strict=True))
-            order = np.argsort(code, kind="stable")
-            code, doc, at = code[order], doc[order], at[order]
-            first: dict[tuple[int, bytes], int] = {}  # the different fragments, in order of code
-            number = np.array([first.setdefault((c, pieces[i]), len(first)) for c, i in zip(code.tolist(), order.tolist(), strict=True)], dtype=np.int64)
-            different, codes_of = [t for _, t in first], np.array([c for c, _ in first], dtype=np.int64)
-            least = np.full(len(different), np.iinfo(np.int64).max)
-            np.minimum.at(least, number, doc)
-            edge = np.flatnonzero(np.diff(codes_of, prepend=-1))
-            found = [np.full(max(0, len(t) - length + 1), x) for t, x in zip(different, least.tolist(), strict=True)]
-            todo: list[int] = []
-            total = 0
-            for a, e in [*zip(edge.tolist(), [*edge[1:].tolist(), len(different)], strict=True), (0, 0)]:
-                if todo and (e == 0 or total > INDEX):
-                    for i, x in zip(todo, _least_before([different[i] for i in todo], least[todo], length), strict=True):
-                        found[i] = x
-                    todo, total = [], 0
-                if e - a > 1:
-                    todo += range(a, e)
-                    total += sum(map(len, different[a:e]))
-            spans.append(_spans_of(doc, at, number, found, length))
-        for d, a, e in spans:
-            if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc", "first", "end"])
+        for part, rows in _parts(batches, 2):
+            if part < 0:
+                found, again = [np.concatenate(c) for c in zip(*(unpack(x) for x, _ in rows), strict=True)], []
+            else:
+                pool, p = _received(rows, length)
+                gone = decide(pool, p, length)
+                found = spans_of(p, gone, length)
+                left = p.take((p.salts > 1) & ~wholly(p, gone))
+                again = _sent(pool, left._replace(salts=np.ones_like(left.salts)), left.code % parts, length)
+            n, m = len(found[0]), len(again)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            columns = [pa.concat_arrays([pa.array(c).cast(k), pa.nulls(m, k)]) for c, k in zip(found, kinds, strict=True)]
+            columns += [pa.concat_arrays([pa.nulls(n, k), pa.array([r[i] for r in again], k)]) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "first", "end", "part", "packed", "text"])
 
     return run
 
 
 def _without(batches):
-    """Digests of what is left of each document."""
-    for b in batches:
+    """Digests of what is left of each text."""
+    for b in slices(batches, 2):
         out = []
-        for text, spans in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-            text, merged = text or b"", []
-            for first, end in sorted((s["first"], s["end"]) for s in spans or ()):
+        for row, text, spans in zip(b.column(1).to_pylist(), _bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
+            merged: list[list[int]] = []
+            for first, end in sorted((s["first"], s["end"]) for s in spans or () if s["row"] == row):
                 if merged and first <= merged[-1][1]:
                     merged[-1][1] = max(end, merged[-1][1])
                 else:
@@ -380,25 +484,30 @@ def _without(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["doc", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
 
-def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
-    """Key, n_bytes, n_removed, spans (merged, of bytes), kept (the remaining bytes; left out without with_text) and kept_sha256.
-
-    The key is an integer.
-    """
-    spark = df.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, hot: int = HOT) -> DataFrame:
+    """Key, n_bytes, n_removed, spans (merged, of bytes), kept (the remaining bytes; left out without with_text) and kept_sha256."""
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} is {df.schema[key].dataType.simpleString()}; keys are integers")
+    tables, kind = Tables(df.sparkSession), df.schema[key].dataType
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    docs = docs.select("doc", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("row"), "text")
+    tasks = tasks_of(docs, TASK)
+    parts = PARTS * tasks
     sound, keyless = docs.where(F.col("doc").isNotNull()), docs.where(F.col("doc").isNull())
+    together = lambda d: d.repartition(tasks, F.when(F.col("part") < 0, F.xxhash64("packed")).otherwise(F.col("part"))).sortWithinPartitions("part")
     codes_ = sound.mapInArrow(_anchored(length, anchor, parts), "part int, packed binary")
-    shared = codes_.repartition("part").mapInArrow(_shared, "doc long, code long")
+    shared = tables.keep(together(codes_).mapInArrow(_shared(hot), "doc long, code long"))
     listed = shared.groupBy("doc").agg(F.collect_list("code").alias("codes"))
-    pieces = sound.join(listed, "doc").select("doc", "text", "codes").mapInArrow(_cut_out(length, anchor, parts), "part int, packed binary, text binary")
-    dealt = pieces.repartition(F.when(F.col("part") < 0, F.xxhash64("packed")).otherwise(F.col("part")))
-    spans = dealt.mapInArrow(_removed(length), "doc long, first int, end int")
-    merged = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    whole = sound.join(merged, "doc", "left").select("doc", "text", "spans")
-    none = keyless.select("doc", "text", F.lit(None).cast("array<struct<first: int, `end`: int>>").alias("spans"))
+    pieces = sound.join(listed, "doc").select("doc", "row", "text", "codes").mapInArrow(_cut_out(length, anchor, parts), "part int, packed binary, text binary")
+    found = together(pieces).mapInArrow(_removed(length, parts), _SPANS)
+    if not shared.where(f"shiftright(code, {_CODE_BITS}) > 1").isEmpty():
+        first = tables.keep(found)
+        found = first.unionByName(together(first.where("part IS NOT NULL").select("part", "packed", "text")).mapInArrow(_removed(length, parts), _SPANS))
+    merged = found.where("part IS NULL").groupBy("doc").agg(F.collect_list(F.struct("row", "first", "end")).alias("spans"))
+    whole = sound.join(merged, "doc", "left").select("doc", "row", "text", "spans")
+    none = keyless.select("doc", "row", "text", F.lit(None).cast("array<struct<row: long, first: int, `end`: int>>").alias("spans"))
     ddl = "doc long, n_bytes long, n_removed long, spans array<struct<first: int, `end`: int>>, kept binary, kept_sha256 string"
     # the union is of results, so that both joins read one exchange of the texts
     out = whole.mapInArrow(_without, ddl).unionByName(none.mapInArrow(_without, ddl))
+    out = out.withColumn("doc", F.col("doc").cast(kind))
     return out.withColumnRenamed("doc", key) if with_text else out.drop("kept").withColumnRenamed("doc", key)

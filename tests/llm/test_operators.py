@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -191,13 +192,15 @@ def test_repeats(spark, docs, none):
     assert bytes(rows[2]["kept"]) == b"own start\nand more\n\nown end\nand more" and rows[5]["n_removed"] == 0 and rows[3]["n_bytes"] == 0
 
 
-def test_repeats_as_brute_force(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+def test_repeats_as_brute_force(spark, hot):
     import random
 
     rng = random.Random(9)
     pool = ["".join(rng.choice("ab cé") for _ in range(rng.randrange(30, 120))) for _ in range(8)]
     texts = [(i, "".join(rng.choice(pool) if rng.random() < 0.6 else rng.choice("xyz") * rng.randrange(5) for _ in range(6))) for i in range(60)]
-    found = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    # each document is a slice of its own, as if it came from another task
+    found = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove(spark.createDataFrame(texts, "doc_id long, text string").repartition(30), hot=hot).collect()}
     seen: dict[bytes, int] = {}
     for i, t in texts:
         b = t.encode()
@@ -211,6 +214,45 @@ def test_repeats_as_brute_force(spark):
         assert found[i] == bytes(x for k, x in enumerate(b) if k not in gone)
 
 
+def test_repeats_of_odd_rows(spark):
+    """Texts of one key remove nothing from each other, repeated rows are alike, other integers are keys, strings aren't."""
+    a, b = "a" * 30 + "b" * 30 + "c" * 30, "b" * 30 + "c" * 30 + "d" * 5
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (2, b), (3, "x" * 60), (4, None), (None, b)], "k int, text string")
+    found = sorted((r["k"] or 0, r["n_bytes"], r["n_removed"]) for r in repeats.remove(df, "k").collect())
+    assert found == [(0, 65, 0), (1, 65, 0), (1, 90, 0), (2, 65, 65), (2, 65, 65), (3, 60, 0), (4, 0, 0)]
+    with pytest.raises(TypeError):
+        repeats.remove(df.withColumn("k", F.col("k").cast("string")), "k")
+
+
+def test_only_the_transform_removes(monkeypatch):
+    """With all of its boundaries kept apart nothing is removed: neither anchors nor equal fragments decide."""
+    one = b"some words that are long enough to be a string of fifty bytes and more"
+    pool, n = np.frombuffer(one * 2, dtype=np.uint8), len(one) - 49
+    z = np.zeros(2, np.int64)
+    p = repeats.Pieces(z, np.array([1, 2]), z, z, np.array([n, n]), np.array([0, len(one)]), z + 1)
+    assert repeats.decide(pool, p, 50).tolist() == [False] * n + [True] * n
+    monkeypatch.setattr(repeats, "joined_prefixes", lambda data, length: (repeats.suffix_order(data, length), np.zeros(len(data), bool)))
+    assert not repeats.decide(pool, p, 50).any()
+
+
+def test_large_anchors_are_halved():
+    import random
+
+    rng, length = random.Random(3), 8
+    for _ in range(30):
+        texts = ["".join(rng.choice("ab c") for _ in range(rng.randrange(8, 40))).encode() for _ in range(6)]
+        found = [(d // 2, t[a:]) for d in range(rng.randrange(2, 25)) for t in [rng.choice(texts)] for a in [rng.randrange(len(t) - 7)]]
+        size = np.array([len(t) for _, t in found])
+        z = np.zeros(len(found), np.int64)
+        p = repeats.Pieces(z, np.array([d for d, _ in found]), z, z, size - length + 1, np.cumsum(size) - size, z + 1)
+        pool, best = np.frombuffer(b"".join(t for _, t in found), dtype=np.uint8), {}
+        for d, t in found:
+            for i in range(len(t) - length + 1):
+                best[t[i : i + length]] = min(best.get(t[i : i + length], 99), d)
+        right = [best[t[i : i + length]] < d for d, t in found for i in range(len(t) - length + 1)]
+        assert all(repeats.hits(pool, p, length, most).tolist() == right for most in (30, 100, 10**6))
+
+
 def test_urls(spark):
     urls = ["https://A.Example.NET/en/1?x#y", "http://net", "net/", None, "", "http://example.com/de/1", "http://myexample.com/de/", "http://x.org/fr/casino/poker", "http://x.org/casino/poker", "http://x.com/spam-farm"]
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
