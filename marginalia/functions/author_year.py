@@ -131,6 +131,18 @@ def split_list(text: str) -> list[str]:
     return re.split(r"\s*,\s*", text)
 
 
+def bundles_of(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and inside of parentheses in which something stands before and after a semicolon.
+
+    They reach from the first opening one to the next closing one, so that one pass finds them.
+    """
+    start = text.find("(")
+    while start >= 0 and (end := text.find(")", start)) >= 0:
+        if text.rfind(";", start + 2, max(start + 2, end - 1)) >= 0:
+            yield start, end + 1, text[start + 1 : end]
+        start = text.find("(", end)
+
+
 @dataclass(frozen=True)
 class Rule:
     """pattern with groups; names: groups of one name each; listed: a group of names with commas; veto: what voids a match."""
@@ -194,7 +206,6 @@ YEARS_NARRATIVE = rf"\b({SURNAME})(\s+{ET_AL}|\s+and\s+{COMPOUND})?\s+\(({YEARS}
 BRACKETED = rf"\b({SURNAME})\s+{ET_AL}\s+\[{SURNAME},\s*[A-Z]\.[^\]]*?\(({YEAR})\)"
 MANY_NARRATIVE = rf"\b({COMPOUND_LIST})\s*,?\s+and\s+({COMPOUND})\s+\(({YEAR_ND})\)"
 YEARS_PAREN = rf"{_P}({COMPOUND})\s*(,?\s+{ET_AL})?\s*,\s*({YEARS}{{1,8}})\s*\)"
-BUNDLE = r"\(\s*([^)]+;\s*[^)]+)\s*\)"
 PROSE = r"\(([^)]{1,400})\)"
 IN_PROSE = rf"(?<![A-Za-zÀ-ÿ])({COMPOUND}(?:\s*,\s*{COMPOUND})*(?:\s*,?\s*(?:&|and)\s*{COMPOUND})?)(?:\s*,?\s*({ET_AL}))?\s*,\s*({YEAR})(?![\d])"
 WITHOUT_YEAR = rf"\(({COMPOUND})(?:\s*(?:&|and)\s*({COMPOUND}))?,\s*pp?\.\s*\d+[^)]*\)"
@@ -268,7 +279,7 @@ class Detector:
                 self.whole(m, rule.kind or classify(authors), authors, m[rule.year], rule.style, page_numbers=m[rule.page] if rule.page else None)
 
     def groups(self) -> None:
-        for m in self.matches(SECONDARY, "i"):
+        for m in self.matches(SECONDARY, "i") if compiled(r"as\s+cited\s+in", "i").search(self.text) else ():
             self.whole(m, "secondary", split_authors(m[3]), m[4], original_author=m[1].strip(), original_year=m[2])
         for m in self.matches(GROUP_BRACKET):
             self.whole(m, "group_full", [organization(m[1], m[2])], m[3])
@@ -327,11 +338,11 @@ class Detector:
                 self.each_year(m[3], m[0], m.start(), m[0], PAREN, [author(m[1]), *([author("et al.", True)] if m[2] else [])])
 
     def bundles(self) -> None:
-        for m in self.matches(BUNDLE):
-            if m.span() in self._spans:
+        for start, end, inner in bundles_of(self.text):
+            if (start, end) in self._spans:
                 continue
-            at = m.start() + 1
-            for part in map(str.strip, m[1].split(";")):
+            at = start + 1
+            for part in map(str.strip, inner.split(";")):
                 for pattern, flags, new in STRIPS:
                     part = compiled(pattern, flags).sub(new, part, count=1)
                 self._part(part, at)
@@ -385,7 +396,7 @@ class Detector:
         ordered = sorted(self.found, key=lambda c: c.start)
         key = lambda c: ("+".join(a.normalized for a in c.authors), c.year, c.year_suffix or "")
         inside = lambda c, o: o.start <= c.start and o.end >= c.end and o.end - o.start > c.end - c.start and key(o) != key(c)
-        out, reach = [], 0
+        out = []
         widest = max((c.end - c.start for c in ordered), default=0)
         for i, c in enumerate(ordered):
             near = []
@@ -399,7 +410,6 @@ class Detector:
                 near.append(o)
             if not any(inside(c, o) for o in near):
                 out.append(c)
-        del reach
         return out
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from .batches import slices
+
 #: Rows in a batch that leaves Python.
 OUT_ROWS = 2000
 
@@ -20,10 +22,11 @@ def flat_map(df: DataFrame, key: str, inputs: list[str], make: Callable[..., lis
     schema = StructType([StructField(key, df.schema[key].dataType), *fields])
     arrow = to_arrow_schema(schema)
     strings = [df.schema[c].dataType.simpleString() == "string" for c in inputs]
+    widest = strings.index(True) + 1 if any(strings) else None
 
     def run(batches):
         rows = []
-        for b in batches:
+        for b in slices(batches, widest) if widest else batches:
             columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
             for k, *values in zip(*columns, strict=True):
                 values = [v or "" if s else v for v, s in zip(values, strings, strict=True)]

@@ -83,7 +83,8 @@ def year_rules() -> list[Rule]:
 
 def title_rules(title: Column) -> list[Rule]:
     """Sentence case: more than two words after the first that equal their capital form (digits and quotes do) break it."""
-    rest = F.slice(F.split(title, jvm(r"\s+")), 2, 100_000)
+    words = F.split(title, jvm(r"\s+"))
+    rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     capital = F.filter(rest, lambda w: ~F.lower(w).isin(SMALL_WORDS) & (F.left(w, F.lit(1)) == F.upper(F.left(w, F.lit(1)))) & (F.length(w) > 0))
     broken = (F.length(F.coalesce(title, F.lit(""))) > 0) & (F.size(capital) > 2)
     what = "Reference title appears to have excessive capitalization. APA 7 uses sentence case (only first word capitalized)"
