@@ -65,7 +65,6 @@ def places(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("row"), words(F.col(text)).alias("ws"))
     vocabulary = items.select(F.explode("ws").alias("w")).distinct()
     n_places = items.agg(F.coalesce(F.sum(F.size("ws")), F.lit(0)).alias("n")).first()["n"]
-    within = F.size("ws") > 0
     if n_places <= small:
         listed = sorted(r["w"] for r in vocabulary.collect())
         held = texts.select(F.explode(F.filter("ws", lambda w: w.isin(listed))).alias("w")) if listed else vocabulary
@@ -92,7 +91,6 @@ def places(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
         found = found.select("key", "row", "n_words", F.explode(near).alias("c")).select("key", "row", "n_words", "c.*")
         none = texts.select("key", "row", F.size("ws").cast("long").alias("n_words"))
         joined = found.join(keys, "w").unionByName(none, allowMissingColumns=True)
-    del within
     whole = F.least(F.col("length"), F.lit(size))
     # a whole window must fit between the ends of the document and those of the item
     fits = F.least("p", "at") + F.least(F.col("n_words") - 1 - F.col("p"), F.col("length") - 1 - F.col("at")) + 1 >= whole
