@@ -297,14 +297,11 @@ class Detector:
         for m in self.matches(GROUP_FULL, "i"):
             self.whole(m, "group_full", [organization(m[1])], m[2])
 
-    def each_year(self, years: str, text: str, at: int, raw: str, style: str, authors: list[Author]) -> None:
-        """A citation for each year of a list, at the year's own place in a text that begins at `at`."""
-        done = 0
-        for listed in filter(None, map(str.strip, split_list(years))):
-            place = text.find(listed, done)
-            span = (at + place, at + place + len(listed)) if place >= 0 else (at, at + len(text))
-            done = place + len(listed) if place >= 0 else done
-            self.add(*span, raw, classify(authors), style, authors, *split_year(listed), around=(at, at + len(text)))
+    def each_year(self, m: re.Match, years: int, raw: str, style: str, authors: list[Author], base: int = 0) -> None:
+        """A citation at each year of a group of a match, whose places count from `base`."""
+        for y in compiled(r"[^,\s]+").finditer(m[years]):
+            at = base + m.start(years)
+            self.add(at + y.start(), at + y.end(), raw, classify(authors), style, authors, *split_year(y[0]), around=(base + m.start(), base + m.end()))
 
     def years_in_narrative(self) -> None:
         for m in self.matches(YEARS_NARRATIVE):
@@ -314,7 +311,7 @@ class Detector:
                 continue
             more = [author("et al.", True)] if m[2] and not second else []
             self._used.append(m.span())
-            self.each_year(m[3], m[0], m.start(), m[0], NARRATIVE, [*map(author, names), *more])
+            self.each_year(m, 3, m[0], NARRATIVE, [*map(author, names), *more])
         for m in self.matches(BRACKETED):
             if not is_connector(m[1]) and not is_month(m[1]):
                 self._used.append(m.span())
@@ -335,7 +332,7 @@ class Detector:
     def years_in_parentheses(self) -> None:
         for m in self.matches(YEARS_PAREN, "i"):
             if not is_connector(m[1]) and not is_month(m[1]):
-                self.each_year(m[3], m[0], m.start(), m[0], PAREN, [author(m[1]), *([author("et al.", True)] if m[2] else [])])
+                self.each_year(m, 3, m[0], PAREN, [author(m[1]), *([author("et al.", True)] if m[2] else [])])
 
     def bundles(self) -> None:
         for start, end, inner in bundles_of(self.text):
@@ -355,7 +352,7 @@ class Detector:
         if m := compiled(PART_BRACKET).match(part):
             return self.add(*span, raw, "group_full", PAREN, [organization(m[1], m[2])], *split_year(m[3]))
         if (m := compiled(PART_YEARS, "i").match(part)) and not is_connector(m[1]) and not is_month(m[1]):
-            return self.each_year(m[3], part, at, raw, PAREN, [author(m[1]), *([author("et al.", True)] if m[2] else [])])
+            return self.each_year(m, 3, raw, PAREN, [author(m[1]), *([author("et al.", True)] if m[2] else [])], at)
         for rule in PART_RULES:
             if m := compiled(rule.pattern, "i").match(part):
                 authors = authors_of(rule, m)
@@ -379,17 +376,16 @@ class Detector:
 
     def without_year(self) -> None:
         """A page reference without a year takes that of the last found earlier citation of its first author, or the first."""
-        dated = [(c.authors[0].normalized.lower() if c.authors else "", c) for c in self.found if compiled(r"^\d{4}$").match(c.year)]
+        dated: dict[str, list[Citation]] = {}
+        for c in self.found:
+            if compiled(r"^\d{4}$").match(c.year):
+                dated.setdefault(c.authors[0].normalized.lower() if c.authors else "", []).append(c)
         for m in self.matches(WITHOUT_YEAR):
-            if compiled(r"\b(?:19|20)\d{2}\b").search(m[0]) or is_connector(m[1]) or is_month(m[1]):
-                continue
-            same = [c for name, c in dated if name == m[1].lower()]
-            if not same:
-                continue
-            before = [c for c in same if c.start < m.start()]
-            source = before[-1] if before else same[0]
-            authors = [author(n) for n in (m[1], m[2]) if n]
-            self.add(*m.span(), m[0], classify(authors), PAREN, authors, source.year, source.year_suffix)
+            same = dated.get(m[1].lower())
+            if same and not (is_connector(m[1]) or is_month(m[1]) or compiled(r"\b(?:19|20)\d{2}\b").search(m[0])):
+                source = next((c for c in reversed(same) if c.start < m.start()), same[0])
+                authors = [author(n) for n in (m[1], m[2]) if n]
+                self.add(*m.span(), m[0], classify(authors), PAREN, authors, source.year, source.year_suffix)
 
     def apart(self) -> list[Citation]:
         """In order of place, without those strictly inside another one with other authors or year."""
