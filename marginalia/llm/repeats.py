@@ -7,7 +7,7 @@ finds all that repeats; what comes before it only brings together what may be eq
    equal strings have the same one. Strings in a row with one anchor are a fragment. Codes meet by value, packed; per
    slice of documents only the least and greatest document of a code go there.
 2. Documents whose anchors others share are joined with these and make the fragments again, now with text. Fragments of
-   a slice that share an anchor with another document of it form a text; its transform tells which of their strings a
+   a slice that share an anchor with others of it (`FEW` or more) form a text; its transform tells which of their strings a
    smaller document of the slice holds. Fragments that are wholly removed so are not sent on: a passage in a third of all
    documents is one row for each slice.
 3. Fragments meet by anchor, packed again, and form texts of whole anchors of up to `INDEX` bytes. A larger anchor is
@@ -44,7 +44,9 @@ from .shingles import mix
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of documents that are scanned at once, and of fragments in one transform.
-SCAN, INDEX = 2_000_000, 2_000_000
+SCAN, INDEX = 2_000_000, 500_000
+#: Fragments of an anchor in a slice below which they are sent on as they are.
+FEW = 4
 #: Rows of an anchor (one or two for each slice of documents that holds it) up to which one task takes it at once.
 HOT = 20_000
 #: Bytes of documents for a task, and how many parts, one after the other, a task has.
@@ -229,35 +231,38 @@ class Pieces(NamedTuple):
 
 
 def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
-    """Places of data sorted by the `length` bytes from each (beyond the end: zeros).
+    """Places of data sorted by the `length` bytes from each, or more (beyond the end: zeros).
 
-    Ranks by 8 bytes are doubled; only rows that are still tied are sorted again.
+    Ranks by 8 bytes are put together, three in a row (two in large texts); only rows that are still tied are sorted again.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").reshape(-1).astype(np.uint64)
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
-    rank = np.zeros(2 * n + 2 * length, np.int32)  # 0 beyond the end
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1, dtype=np.int32), 0))
-    rows, size = np.arange(n), 8
+    joined, bits = (3, 21) if n < 1 << 21 else (2, 32)
+    rank = np.zeros(n + (joined + 1) * joined * length, np.int64)  # 0 beyond the end
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
+    rows, size = np.arange(n, dtype=np.int32), 8
     while size < length:
         first = np.flatnonzero(new)
-        tied = np.repeat(np.diff(np.append(first, len(rows))) > 1, np.diff(np.append(first, len(rows))))
-        rows = rows[tied]
+        each = np.diff(np.append(first, len(rows)))
+        rows = rows[np.repeat(each > 1, each)]
         if not len(rows):
             break
         place = order[rows]
-        key = (rank[place].astype(np.int64) << 32) | rank[place + size]
+        key = rank[place]
+        for k in range(1, joined):
+            key = (key << bits) | rank[place + k * size]
         by = np.argsort(key)
         place, key = place[by], key[by]
         order[rows] = place
         new = np.ones(len(rows), bool)
         new[1:] = key[1:] != key[:-1]
-        rank[place] = np.maximum.accumulate(np.where(new, rows.astype(np.int32) + 1, 0))
-        size *= 2
+        rank[place] = np.maximum.accumulate(np.where(new, rows + 1, 0))
+        size *= joined
     return order
 
 
@@ -267,27 +272,33 @@ def joined_prefixes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     data ends in a byte 0, which stands also between its strings. Boundaries between intervals of suffixes with a
     common prefix are found by increasing value: those of value 0 divide first bytes; one of value v makes one of value
     v+1 for each byte before, where the intervals' rows with that byte are divided (the map from rows to rows of the
-    transform is LF). Rows that are divided at value `length` - 1 or before are boundaries.
+    transform is LF). Rows that are divided at value `length` - 1 or before are boundaries. Where two rows with the same
+    byte before are neighbours, only a boundary between them divides what LF makes of them, so that it just follows.
     """
     n = len(data)
     order = suffix_order(data, length)
     before = data[order - 1]  # the transform
-    rows = np.argsort(before, kind="stable")  # LF maps rows[k] to k
+    rows = np.argsort(before, kind="stable").astype(np.int32)  # LF maps rows[k] to k
     divided = np.ones(n, bool)
     ordered = data[order]
     divided[1:] = ordered[1:] != ordered[:-1]
     # pairs of successive rows with the same byte before: (above, below) map to k-1 and k
-    k = np.flatnonzero(before[rows[1:]] == before[rows[:-1]]) + 1
-    above, below = rows[k - 1].astype(np.int32), rows[k].astype(np.int32)
-    k = k.astype(np.int32)
-    undivided = ~divided[k]
-    k, above, below = k[undivided], above[undivided], below[undivided]
+    k = (np.flatnonzero(before[rows[1:]] == before[rows[:-1]]) + 1).astype(np.int32)
+    above, below = rows[k - 1], rows[k]
+    beside = below == above + 1
+    follows = np.full(n, -1, np.int32)
+    follows[below[beside]] = k[beside]
+    k, above, below = k[~beside], above[~beside], below[~beside]
+    fresh = np.flatnonzero(divided).astype(np.int32)
     for _ in range(1, length):
+        after = follows[fresh]
+        after = after[after >= 0]
         seen = np.cumsum(divided, dtype=np.int32)
         now = seen[below] > seen[above]
-        if not now.any():
+        fresh = np.concatenate([k[now], after])
+        if not len(fresh):
             break
-        divided[k[now]] = True
+        divided[fresh] = True
         rest = ~now
         k, above, below = k[rest], above[rest], below[rest]
     return order, ~divided
@@ -421,7 +432,7 @@ def _cut_out(length: int, anchor: int, parts: int):
             out, left = [], p
             if len(edge):
                 n = np.diff(np.append(edge, len(p.code)))
-                several = np.repeat(np.minimum.reduceat(p.doc, edge) != np.maximum.reduceat(p.doc, edge), n)
+                several = np.repeat((n >= FEW) & (np.minimum.reduceat(p.doc, edge) != np.maximum.reduceat(p.doc, edge)), n)
                 met = p.take(several)
                 gone = decide(pool, met, length)
                 if gone.any():
@@ -462,26 +473,40 @@ def _removed(length: int, parts: int):
     return run
 
 
+def _merged(spans: pa.ListArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, first byte and end of the spans of each text that has the row, put together where they meet."""
+    flat = spans.flatten()
+    text = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()) if len(spans) else 0)
+    row, first, end = (flat.field(n).to_numpy().astype(np.int64) for n in ("row", "first", "end"))
+    own = row == rows[text]
+    text, first, end = text[own], first[own], end[own]
+    order = np.lexsort((first, text))
+    text, first, end = text[order], first[order], end[order]
+    reach = np.maximum.accumulate((text << 32) + end) if len(text) else end
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] << 32) + first[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(text)) - 1
+    return text[at], first[at], reach[last] & 0xFFFFFFFF if len(at) else end[:0]
+
+
 def _without(batches):
     """Digests of what is left of each text."""
     for b in slices(batches, 2):
-        out = []
-        for row, text, spans in zip(b.column(1).to_pylist(), _bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
-            merged: list[list[int]] = []
-            for first, end in sorted((s["first"], s["end"]) for s in spans or () if s["row"] == row):
-                if merged and first <= merged[-1][1]:
-                    merged[-1][1] = max(end, merged[-1][1])
-                else:
-                    merged.append([first, end])
-            kept, at = [], 0
-            for first, end in merged:
-                kept.append(text[at:first])
-                at = end
-            rest = b"".join([*kept, text[at:]])
-            out.append((len(text), len(text) - len(rest), [{"first": f, "end": e} for f, e in merged], rest, hashlib.sha256(rest).hexdigest()))
-        span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-        kinds = (pa.int64(), pa.int64(), span, pa.binary(), pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["doc", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+        texts = _bytes(b.column(2))
+        text, first, end = _merged(b.column(3), b.column(1).to_numpy())
+        edge = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        first, end, kept = first.tolist(), end.tolist(), []
+        for t, lo, hi in zip(texts, edge[:-1], edge[1:], strict=True):
+            begins, ends = [0, *end[lo:hi]], [*first[lo:hi], len(t)]
+            kept.append(b"".join([t[x:y] for x, y in zip(begins, ends, strict=True)]) if hi > lo else t)
+        span = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["first", "end"])
+        sizes = [len(t) for t in texts]
+        columns = [
+            pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, k in zip(sizes, kept, strict=True)], pa.int64()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), span),
+            pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, hot: int = HOT) -> DataFrame:
@@ -497,10 +522,16 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     together = lambda d: d.repartition(tasks, F.when(F.col("part") < 0, F.xxhash64("packed")).otherwise(F.col("part"))).sortWithinPartitions("part")
     codes_ = sound.mapInArrow(_anchored(length, anchor, parts), "part int, packed binary")
     shared = tables.keep(together(codes_).mapInArrow(_shared(hot), "doc long, code long"))
+    salts, plain = F.shiftright("code", _CODE_BITS), F.col("code").bitwiseAND((1 << _CODE_BITS) - 1)
+    many = shared.where(salts > 1).groupBy(plain.alias("c")).agg(F.max(salts).alias("s"))
+    salted = not many.isEmpty()
+    if salted:  # documents known to share a code don't know its salts
+        all_of = shared.select("doc", plain.alias("c")).join(many, "c", "left")
+        shared = tables.keep(all_of.select("doc", F.col("c").bitwiseOR(F.shiftleft(F.coalesce("s", F.lit(1).cast("long")), _CODE_BITS)).alias("code")))
     listed = shared.groupBy("doc").agg(F.collect_list("code").alias("codes"))
     pieces = sound.join(listed, "doc").select("doc", "row", "text", "codes").mapInArrow(_cut_out(length, anchor, parts), "part int, packed binary, text binary")
     found = together(pieces).mapInArrow(_removed(length, parts), _SPANS)
-    if not shared.where(f"shiftright(code, {_CODE_BITS}) > 1").isEmpty():
+    if salted:
         first = tables.keep(found)
         found = first.unionByName(together(first.where("part IS NOT NULL").select("part", "packed", "text")).mapInArrow(_removed(length, parts), _SPANS))
     merged = found.where("part IS NULL").groupBy("doc").agg(F.collect_list(F.struct("row", "first", "end")).alias("spans"))

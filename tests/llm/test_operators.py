@@ -192,15 +192,14 @@ def test_repeats(spark, docs, none):
     assert bytes(rows[2]["kept"]) == b"own start\nand more\n\nown end\nand more" and rows[5]["n_removed"] == 0 and rows[3]["n_bytes"] == 0
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3])
-def test_repeats_as_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "slices"), [(repeats.HOT, 30), (3, 30), (3, 3)])
+def test_repeats_as_brute_force(spark, hot, slices):
     import random
 
     rng = random.Random(9)
     pool = ["".join(rng.choice("ab cé") for _ in range(rng.randrange(30, 120))) for _ in range(8)]
     texts = [(i, "".join(rng.choice(pool) if rng.random() < 0.6 else rng.choice("xyz") * rng.randrange(5) for _ in range(6))) for i in range(60)]
-    # each document is a slice of its own, as if it came from another task
-    found = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove(spark.createDataFrame(texts, "doc_id long, text string").repartition(30), hot=hot).collect()}
+    found = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove(spark.createDataFrame(texts, "doc_id long, text string").repartition(slices), hot=hot).collect()}
     seen: dict[bytes, int] = {}
     for i, t in texts:
         b = t.encode()
