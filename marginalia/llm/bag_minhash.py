@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.batches import slices
@@ -37,6 +37,8 @@ BANDS, ROWS = 24, 5
 ROUNDS, BLOCK = 3, 512
 #: Different shingles that a block compares at once.
 COLUMNS = 8192
+#: A name for what `clean` adds, which no input column may have.
+_TURN = "__copy_turn"
 
 _TIME, _PLACE, _REGISTER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
 
@@ -273,6 +275,15 @@ def near_duplicates(
     return out.select(F.col("id").alias(key), "class_id", "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
 
 
+def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first document of each group of near copies, once if its row is repeated; rows with a null key stay."""
+    copies = near_duplicates(df, key, text).where(~F.col("kept")).select(key)
+    rest = df.where(F.col(key).isNotNull()).join(copies, key, "left_anti").select(*df.columns)
+    same = Window.partitionBy(key, F.xxhash64(F.col(text))).orderBy(F.lit(0))
+    once = rest.withColumn(_TURN, F.row_number().over(same)).where(F.col(_TURN) == 1).drop(_TURN)
+    return once.unionByName(df.where(F.col(key).isNull()))
+
+
 def _together(links: list[DataFrame]) -> DataFrame:
     out = links[0]
     for more in links[1:]:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 WORDS = 13
 SMALL = 50_000
+#: A name for what `clean` adds, which no input column may have.
+_ROW = "__text_row"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -31,6 +33,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
+def _number(text: Column) -> Column:
+    """A number of a row's text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def anchors(items: DataFrame, counts: DataFrame, size: int = WORDS) -> DataFrame:
     """The rarest word of each window: w, item, its number in the item, and up to size-1 words to both sides of it.
 
@@ -62,7 +69,7 @@ def places(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     """Key, row, n_words, and of each verified place its first and last word (from 0) and the item; nulls for none."""
     items = benchmark.select(F.col(item).alias("item"), words(F.col(item_text)).alias("ws")).where((F.size("ws") > 0) & F.col("item").isNotNull()).dropDuplicates(["item", "ws"])
     items = items.withColumn("item", F.struct("item", F.xxhash64("ws").alias("x")))  # items with one id but two texts stay apart
-    texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("row"), words(F.col(text)).alias("ws"))
+    texts = docs.select(F.col(key).alias("key"), _number(F.col(text)).alias("row"), words(F.col(text)).alias("ws"))
     vocabulary = items.select(F.explode("ws").alias("w")).distinct()
     n_places = items.agg(F.coalesce(F.sum(F.size("ws")), F.lit(0)).alias("n")).first()["n"]
     if n_places <= small:
@@ -100,8 +107,8 @@ def places(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     return checked.select("key", "row", "n_words", hit.alias("hit"), F.when(hit.isNotNull(), F.col("item")["item"]).alias("item"))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WORDS, small: int = SMALL) -> DataFrame:
-    """Key, n_words, n_hit (words inside any window's occurrence) and items (sorted ids of items with such windows)."""
+def _found(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, size: int, small: int) -> DataFrame:
+    """As report, with the number of the row's text; the key is named key."""
     by = places(docs, benchmark, key, text, item, item_text, size, small).groupBy("key", "row")
     found = by.agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
@@ -110,7 +117,13 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         fresh = F.greatest(hit["last"].cast("long") - F.greatest(hit["first"].cast("long") - 1, seen["end"]), F.lit(0).cast("long"))
         return F.struct((seen["n"] + fresh).alias("n"), F.greatest(seen["end"], hit["last"].cast("long")).alias("end"))
 
-    return found.select(F.col("key").alias(key), "n_words", F.aggregate("hits", zero, add, lambda s: s["n"]).alias("n_hit"), "items")
+    return found.select("key", "row", "n_words", F.aggregate("hits", zero, add, lambda s: s["n"]).alias("n_hit"), "items")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WORDS, small: int = SMALL) -> DataFrame:
+    """Key, n_words, n_hit (words inside any window's occurrence) and items (sorted ids of items with such windows)."""
+    found = _found(docs, benchmark, key, text, item, item_text, size, small)
+    return found.select(F.col("key").alias(key), "n_words", "n_hit", "items")
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:
@@ -118,6 +131,14 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated: each is judged by its own text, whatever its key (null too)."""
+    found = _found(docs, benchmark, key, text, item, item_text, WORDS, SMALL)
+    bad = found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select("key", "row")
+    marked = docs.withColumn(_ROW, _number(F.col(text)))
+    return marked.join(bad, marked[key].eqNullSafe(bad["key"]) & (marked[_ROW] == bad["row"]), "left_anti").drop(_ROW)
+
+
 def sql() -> str:
     """Windows of documents and items side by side, without candidates."""
     listed = lambda t, i: f"SELECT {i} AS id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS ws FROM {t}"

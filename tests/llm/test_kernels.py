@@ -208,3 +208,41 @@ def test_marginals_are_those_of_the_whole_chain():
 def test_a_model_without_labels_knows_nothing():
     model = toxic_spans.fit([], [], 0.0)
     assert toxic_spans.Tagger(model).score([]) < 0.5 and toxic_spans.fit(["a b", "c d"], [1, 1], 1.0).words == {}
+
+
+def test_posteriors_are_those_of_the_chain_of_each_text():
+    rng = np.random.default_rng(7)
+    sizes = np.array([1, 2, 31, 32, 33, 64, 5, 200, 1])
+    step, start = np.array([[0.7, -1.2], [-0.3, 1.5]]), np.array([0.4, -0.6])
+    odds = rng.normal(size=sizes.sum()) * 3
+    right = []
+    for a, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+        unary = np.zeros((1, n, 2))
+        unary[0, :, 1] = odds[a : a + n]
+        right += toxic_spans._chain(unary, step, start)[1][0, :, 1].tolist()
+    assert toxic_spans.posteriors(odds, sizes, step, start) == pytest.approx(right, abs=1e-9)
+    far = toxic_spans.posteriors(np.tile([-4.0, 0.0, 3.0], 40_000), np.array([120_000]), step, start)
+    assert np.isfinite(far).all() and far[300:309] == pytest.approx(far[30_000:30_009], abs=1e-9)
+
+
+def test_the_chain_beats_its_list_of_words():
+    """Words that are toxic in a row of three and harmless alone: a list of words can't tell such documents apart."""
+    rng = random.Random(11)
+    plain, marks = [f"w{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"], ["blorp", "gazzle", "trunk", "fennic", "dobber", "quill"]
+
+    def text(toxic):
+        words = [rng.choice(plain) for _ in range(60)]
+        places = rng.sample(range(0, 57, 4), 4)
+        if toxic:
+            words[places[0] : places[0] + 3] = rng.sample(marks, 3)
+        for p in places[1 : 1 + rng.randrange(0, 2 if toxic else 4)]:
+            words[p] = rng.choice(marks)
+        return " ".join(words)
+
+    data = [(text(i % 2), i % 2) for i in range(1200)]
+    model = toxic_spans.fit([t for t, _ in data[:900]], [y for _, y in data[:900]], 0.5)
+    y = np.array([y for _, y in data[900:]])
+    right = lambda m: ((np.array(toxic_spans.Tagger(m).judge([t for t, _ in data[900:]])[0]) >= 0.5) == y).mean()
+    listed = np.mean([any(m in t.split() for m in marks) == bool(z) for t, z in data[900:]])
+    alone = model._replace(before={}, after={}, step=((0.0, 0.0), (0.0, 0.0)))
+    assert listed < 0.7 and right(model) > 0.95 and right(model) > right(alone) + 0.2
