@@ -7,21 +7,18 @@ encoded. A stage's output is to be written and read again before the next one; r
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bag_minhash, bpe_codec, decontaminate, line_chunks, toxic_spans
-from marginalia.llm.common import read, shared_folder
+from marginalia.llm.common import read
+from marginalia.sources.tables import Tables
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; those with a null id too. Rows of one id share its worst score."""
-    model = toxic_spans.train(docs, read(spark, sf_dir, "labels"))
-    toxic = toxic_spans.score(docs, model).where(F.col("score") >= toxic_spans.THRESHOLD).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that score below the threshold; each is judged by its own text."""
+    return toxic_spans.clean(docs, toxic_spans.train(docs, read(spark, sf_dir, "labels")))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +28,13 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are the first of their group of near copies; those with a null id or without words stay."""
-    copies = bag_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that are the first of their group of near copies, repeated rows once; those with a null id or without words stay."""
+    return bag_minhash.clean(docs)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
-    found = decontaminate.report(docs, read(spark, sf_dir, "benchmark"))
-    bad = found.where(decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of which less than a twentieth is benchmark text; each is judged by its own text."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage before is written as Parquet to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    """The last stage's rows. Each stage before is a table in the shared folder, which goes when the next one is there."""
+    docs, tables, last = read(spark, sf_dir, "documents"), Tables(spark), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
+            docs = tables.keep(docs)
+            if last is not None:
+                tables.drop(last)
+            last = docs
     return docs
