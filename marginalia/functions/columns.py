@@ -32,6 +32,12 @@ def decompose_ligatures(text: Column) -> Column:
     return _replaced(text, lexicons.LIGATURES.items())
 
 
+def organization_names(acronym: Column) -> Column:
+    """The full names of a body that is known by an acronym, whatever its case; null for others."""
+    names = F.create_map(*(x for a, known in lexicons.ORGANIZATIONS.items() for x in (F.lit(a), F.array(*map(F.lit, known)))))
+    return F.try_element_at(names, F.upper(acronym))
+
+
 def _spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, jvm(r"\s+"), " "))
 

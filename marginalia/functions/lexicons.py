@@ -60,7 +60,24 @@ def organization_names(acronym: str) -> list[str] | None:
     return ORGANIZATIONS.get(acronym.upper())
 
 # Acronyms and full names as reference lists know them. Not a superset of the above.
-REFERENCE_ORGANIZATIONS = {a: n for a, n in ORGANIZATIONS.items() if a != "JASP"} | {
+REFERENCE_ORGANIZATIONS = {
+    "WHO": ["World Health Organization"],
+    "APA": ["American Psychological Association", "American Psychiatric Association"],
+    "CDC": ["Centers for Disease Control and Prevention"],
+    "NIH": ["National Institutes of Health"],
+    "UNESCO": ["United Nations Educational, Scientific and Cultural Organization"],
+    'UNICEF': ["United Nations Children's Fund", "United Nations International Children's Emergency Fund"],
+    "NASA": ["National Aeronautics and Space Administration"],
+    "FDA": ["Food and Drug Administration"],
+    "EPA": ["Environmental Protection Agency"],
+    "NIMH": ["National Institute of Mental Health"],
+    "NIST": ["National Institute of Standards and Technology"],
+    "NSF": ["National Science Foundation"],
+    "EU": ["European Union"],
+    "UN": ["United Nations"],
+    "OECD": ["Organisation for Economic Co-operation and Development"],
+    "IMF": ["International Monetary Fund"],
+    "WTO": ["World Trade Organization"],
     "ProFAN": ["ProFAN Consortium"],
     "NICE": ["National Institute for Health and Care Excellence"],
     "NHS": ["National Health Service"],

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import case_queries
 from .functions import columns, lexicons
 from .operators import detect, match, validate
 from .plans.analyze import analyze
@@ -465,7 +466,7 @@ _PLAIN = {
 }
 REGISTERED = (
     _PLAIN | {f"references_{s.replace('-', '_')}": _references(s) for s in ENTRY_STYLES} | {f"split_{k}": _run_on(k) for k in detect.SPLITTERS}
-    | {f"violations_{s}": _for_style(s, sql) for s, sql in STYLE_RULES.items()}
+    | {f"violations_{s}": _for_style(s, sql) for s, sql in STYLE_RULES.items()} | case_queries.REGISTERED
 )
 
 
