@@ -1,4 +1,4 @@
-"""Arrow batches of texts in slices of bounded bytes, so that a Python stage holds few texts at once however long they are."""
+"""Arrow batches of bounded bytes, so that a Python stage and its JVM hold few texts at once however long they are."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text in a slice; a longer text is a slice of its own.
 SLICE = 4_000_000
@@ -22,3 +23,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = SLICE
             end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, end - at)
             at = end
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of about `SLICE` bytes.
+
+    The bound is a setting of the session, the same for all operators; a lower one stays.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < bytes_of(spark.conf.get(name)) <= SLICE:
+        spark.conf.set(name, str(SLICE))
+    return df.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .batches import slices
+from .batches import map_batches, slices
 
 #: Rows in a batch that leaves Python.
 OUT_ROWS = 2000
@@ -37,4 +37,4 @@ def flat_map(df: DataFrame, key: str, inputs: list[str], make: Callable[..., lis
         if rows:
             yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
 
-    return df.select(F.col(key), *inputs).mapInArrow(run, schema)
+    return map_batches(df.select(F.col(key), *inputs), run, schema)

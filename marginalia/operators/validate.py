@@ -135,10 +135,18 @@ def validate_citations(citations: DataFrame, keep: Iterable[str] = ("id",)) -> D
     return violations(citations, keep, citation_rules())
 
 
-def validate_references(references: DataFrame, keep: Iterable[str] = ("id",)) -> DataFrame:
-    """Of rows with id, raw_text, doi and parsed_data (title, url): all checks of a reference."""
+def reference_rules() -> dict[str, list[Rule]]:
+    """The checks of a reference by the part that they look at."""
     title, url = F.col("parsed_data")["title"], F.col("parsed_data")["url"]
-    return violations(references, keep, [*author_rules(), *year_rules(), *journal_rules(), *doi_rules(), *url_rules(url), *page_rules(), *title_rules(title)])
+    return {
+        "authors": author_rules(), "year": year_rules(), "journal": journal_rules(), "doi": doi_rules(), "url": url_rules(url), "page": page_rules(), "title": title_rules(title),
+    }
+
+
+def validate_references(references: DataFrame, keep: Iterable[str] = ("id",), parts: Iterable[str] | None = None) -> DataFrame:
+    """Of rows with id, raw_text, doi and parsed_data (title, url): all checks of a reference, or those of some of its parts."""
+    rules = reference_rules()
+    return violations(references, keep, [r for part in (rules if parts is None else parts) for r in rules[part]])
 
 
 def validate_pairs(pairs: DataFrame, keep: Iterable[str] = ("id",)) -> DataFrame:

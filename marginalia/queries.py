@@ -6,6 +6,8 @@ were made from.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -398,6 +400,16 @@ def violations_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate_references(_rule_rows(spark, sf_dir)).select("id", "code", "severity")
 
 
+def violations_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of each part of a reference by themselves."""
+    rows = _rule_rows(spark, sf_dir)
+    found = [validate.validate_references(rows, parts=[part]).select("id", F.lit(part).alias("part"), "code") for part in validate.reference_rules()]
+    return reduce(DataFrame.unionByName, found)
+
+
+_PART = "CASE WHEN code LIKE 'DOI%' THEN 'doi' WHEN code LIKE 'URL%' THEN 'url' WHEN code LIKE 'PAGE%' THEN 'page' WHEN code LIKE 'TITLE%' THEN 'title' WHEN code LIKE 'JOURNAL%' THEN 'journal' WHEN code LIKE '%YEAR%' THEN 'year' ELSE 'authors' END"
+
+
 def violations_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate_citations(_rule_rows(spark, sf_dir)).select("id", "code", "severity")
 
@@ -459,6 +471,7 @@ _PLAIN = {
     "year_scores": (year_scores, YEAR_SCORES_SQL), "names_normalized": (names_normalized, NAMES_NORMALIZED_SQL), "organizations": _lexicon(lexicons.ORGANIZATIONS),
     "reference_organizations": _lexicon(lexicons.REFERENCE_ORGANIZATIONS), "violations_references": (violations_references, f"{_RULE_SQL} {_REFERENCE_RULES}"),
     "violations_citations": (violations_citations, f"{_RULE_SQL} {_CITATION_RULES}"), "violations_pairs": (violations_pairs, VIOLATIONS_PAIRS_SQL),
+    "violations_parts": (violations_parts, f"{_RULE_SQL} SELECT id, {_PART} AS part, code FROM ({_REFERENCE_RULES})"),
     "violation_counts": (violation_counts, f"""{_RULE_SQL}, f AS ({_REFERENCE_RULES.replace("SELECT id", "SELECT doc_id, id")}) SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors,
         count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS info FROM f GROUP BY doc_id"""),
     "violation_types": (violation_types, f"""{_RULE_SQL}, f AS (SELECT 'reference' AS type, * FROM ({_REFERENCE_RULES.replace("SELECT id", "SELECT doc_id, id")}) UNION ALL
