@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text in a slice; a longer text is a slice of its own.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -25,6 +27,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = SLICE
             at = end
 
 
+def _give_back() -> None:
+    """Memory that a worker doesn't use any more goes back, as workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow over batches of about `SLICE` bytes.
 
@@ -34,4 +43,11 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     if not 0 < bytes_of(spark.conf.get(name)) <= SLICE:
         spark.conf.set(name, str(SLICE))
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(whole, schema)
