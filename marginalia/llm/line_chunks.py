@@ -10,10 +10,13 @@ that aren't blank is removed whole. Each removed line stands elsewhere before. `
 is what `SQL` says.
 
 Hashes find the chunks and windows that may repeat; only their texts are shuffled and compared, after partial aggregation,
-so that a chunk in a third of all documents is one row per task. Native expressions only.
+so that a chunk in a third of all documents is one row per task. What is joined back to the places of a chunk is dealt
+with a salt where they are more than `HOT`; the hashes of such chunks, `MOST_HOT` at most as the bound on places grows
+with their number, are broadcast. Native expressions only; hashes and places are written once to the shared folder.
 
 Null texts count as empty; texts of one line and chunks of blank lines stay. Rows with a null key stay as they are.
-Repeated rows (key and text) are one document. Other columns are kept by `clean` and don't matter.
+Repeated rows (key and text) are one document. Other columns are kept by `clean` and don't matter, but that its counts
+stand in place of columns of their names.
 """
 
 from __future__ import annotations
@@ -21,9 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import Tables
+
 WINDOW, BASE, PRIME = 2, 131, 268_435_399
-#: Names for what the operator adds, which no input column may have.
-_KEY, _ROW = "__chunk_key", "__chunk_row"
+#: Places of a chunk that one task takes, and chunks that may have more.
+HOT, MOST_HOT = 20_000, 10_000
+#: Names of the operator's own columns.
+_KEY, _ROW, _WHOLE = "__chunk_key", "__chunk_row", "__chunk_whole"
 
 
 def rolling(hashes: Column) -> Column:
@@ -72,42 +79,49 @@ def windows(numbers: Column) -> Column:
     return F.zip_with(F.slice(numbers, 1, n), F.slice(numbers, 2, n), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
 
 
-def removals(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
+def removals(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = True, hot: int = HOT) -> DataFrame:
     """Key, row number and __removed: array of the chunks and windows (first line, last line) of a document that stand elsewhere before."""
-    docs = chunked(df.where(F.col(key).isNotNull()), key, text)
+    docs, tables = chunked(df.where(F.col(key).isNotNull()), key, text), Tables(df.sparkSession)
     many = F.filter("chunks", lambda c: c["e"] > c["s"])
     if passages:
         docs = docs.withColumn("filled", filled(F.col("lines")))
         many = F.concat(many, windows(F.col("filled")))
     # the lambda keeps the rest of the plan out of the loop over what is exploded
     found = docs.select(_KEY, _ROW, "lines", F.explode(many).alias("c")).select(_KEY, _ROW, "c", _text(F.col("lines"), F.col("c")).alias("t")).where(_filled(F.col("t")))
-    coded = found.select(_KEY, _ROW, "c", F.xxhash64("t").alias("code"))
+    coded = tables.keep(found.select(_KEY, _ROW, "c", F.xxhash64("t").alias("code")))
     place = F.struct(F.col(_KEY), F.col("c")["s"].alias("s"), F.col(_ROW))
-    repeated = coded.groupBy("code").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("code")
-    maybe = coded.join(repeated, "code", "left_semi").groupBy(_KEY, _ROW).agg(F.collect_set("c").alias("cs"))
+    codes = coded.groupBy("code").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where(F.col("a") != F.col("b")).select("code", "n")
+    codes = tables.keep(codes)
+    bound = max(hot, -(-coded.count() // MOST_HOT))
+    salts = codes.where(F.col("n") > bound).select("code", F.ceil(F.col("n") / bound).cast("int").alias("salts"))
+    dealt = lambda d: d.join(F.broadcast(salts), "code", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    own = lambda d: dealt(d).withColumn("salt", F.pmod(F.xxhash64(_KEY, _ROW), F.col("salts")).cast("int")).drop("salts")
+    each = lambda d: dealt(d).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    maybe = own(coded).join(each(codes.select("code")), ["code", "salt"], "left_semi").groupBy(_KEY, _ROW).agg(F.collect_set(F.struct("c", "code")).alias("cs"))
     again = docs.select(_KEY, _ROW, "lines").join(maybe, [_KEY, _ROW]).dropDuplicates([_KEY, _ROW])
-    texts = again.select(_KEY, _ROW, "lines", F.explode("cs").alias("c")).select(_KEY, _ROW, "c", _text(F.col("lines"), F.col("c")).alias("t"))
-    first = texts.groupBy("t").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
-    gone = texts.join(first.select("t", "first"), "t").where(place != F.col("first"))
+    texts = again.select(_KEY, _ROW, "lines", F.inline("cs")).select(_KEY, _ROW, "c", "code", _text(F.col("lines"), F.col("c")).alias("t"))
+    first = texts.groupBy("code", "t").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
+    gone = own(texts).join(each(first.select("code", "t", "first")), ["code", "salt", "t"]).where(place != F.col("first"))
     # of equal lines in a row, windows that reach into the first one stay
-    own = (F.col(_KEY) == F.col("first")[_KEY]) & (F.col(_ROW) == F.col("first")[_ROW])
-    gone = gone.where(~(own & (F.col("c")["s"] <= F.col("first")["s"] + F.col("c")["e"] - F.col("c")["s"])))
+    same = (F.col(_KEY) == F.col("first")[_KEY]) & (F.col(_ROW) == F.col("first")[_ROW])
+    gone = gone.where(~(same & (F.col("c")["s"] <= F.col("first")["s"] + F.col("c")["e"] - F.col("c")["s"])))
     return gone.groupBy(_KEY, _ROW).agg(F.collect_set("c").alias("__removed"))
 
 
-def clean(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
+def clean(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = True, hot: int = HOT) -> DataFrame:
     """All rows and columns of df, the text without its removed chunks and windows; and n_lines and n_lines_removed."""
-    gone = removals(df, key, text, passages)
-    rows = df.withColumns({_KEY: F.col(key), _ROW: F.xxhash64(F.col(text))}).join(gone, [_KEY, _ROW], "left")
-    lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
+    gone = removals(df, key, text, passages, hot)
+    rows = df.select(F.col(key).alias(_KEY), F.xxhash64(F.col(text)).alias(_ROW), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(_WHOLE)).join(gone, [_KEY, _ROW], "left")
+    whole = F.col(_WHOLE)[text]
+    lines = F.split(F.coalesce(whole.cast("string"), F.lit("")), "\n", -1)
     numbers = F.array_distinct(F.flatten(F.transform("__removed", lambda c: F.sequence(c["s"], c["e"]))))
     rows = rows.withColumn("__lines", lines).withColumn("__numbers", numbers)
     kept_numbers = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__numbers"))
     rest = F.transform(kept_numbers, lambda i: F.col("__lines")[i])
-    kept = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
-    counts = {"n_lines": F.size("__lines").cast("long"), "n_lines_removed": F.coalesce(F.size("__numbers"), F.lit(0)).cast("long")}
-    counts["n_lines_removed"] = F.when(F.col("__removed").isNull(), F.lit(0).cast("long")).otherwise(counts["n_lines_removed"])
-    return rows.withColumns(counts).withColumn(text, kept).drop(_KEY, _ROW, "__lines", "__numbers", "__removed")
+    stays = F.col("__removed").isNull()
+    counts = {"n_lines": F.size("__lines").cast("long"), "n_lines_removed": F.when(stays, F.lit(0).cast("long")).otherwise(F.size("__numbers").cast("long"))}
+    columns = {c: F.col(_WHOLE)[c] for c in df.columns} | {text: F.when(stays, whole).otherwise(F.array_join(rest, "\n"))} | counts
+    return rows.select(*(c.alias(name) for name, c in columns.items()))
 
 
 SQL = f"""
