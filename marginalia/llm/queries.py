@@ -57,6 +57,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sql() -> str:
     host, path = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)", r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    # boundaries are ASCII, and a term is as it stands
     hit = lambda terms: [f"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t}([^a-z0-9]|$)')" for t in terms]
     rules = " ".join(
         f"WHEN (host = '{top}' OR ends_with(host, '.{top}')) AND starts_with(path, '/{tail}') THEN '{top}/{tail}'"
