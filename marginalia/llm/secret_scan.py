@@ -28,7 +28,8 @@ _WORD = re.compile(r"assw|secret|token|api", re.A | re.I)
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{44,}={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# at the first eyJ of a run of such characters only, as a later one would end alike
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)")
 
 
 def decode64(text: str) -> bytes | None:
@@ -125,7 +126,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     keys += [m.span() for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     found += {(s, 3, e) for s, e in keys}
     if "eyJ" in text:
-        found += [(m.start(), 4, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        found += [(m.start(1), 4, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[1])]
     return sorted(found)
 
 
