@@ -1,13 +1,18 @@
 """Token counts that follow edits.
 
-A document is cut where a space or line break follows what is not white space: no pre-token crosses such a place, so
-that the counts of the pieces add up. Pieces of about `LEAF` characters are the leaves of a segment tree of characters
-and tokens. An edit re-encodes only the leaves that it touches, and neighbours while the place where they meet is no
-longer such a cut; sums change along the paths to the root only.
+A document is cut where a space or line break follows what is not white space: no pre-token crosses such a place, so that
+the counts of the pieces, which are pre-tokens or a word with its marks, add up. They are the leaves of a segment tree of
+characters and tokens. An edit re-encodes only the leaves that it touches, and neighbours while the place where they meet
+is no longer such a cut; sums change along the paths to the root, and where an edit needs more leaves than it touched,
+the leaves move and sums are made again, without encoding.
+
+`trees` gives the trees of documents as rows to be kept, and `edited` applies edits to kept ones, so that a document is
+encoded once. `count_edited` does both at once for edits that follow from the text.
 
 The vocabulary is a `tiktoken` rank file with its pattern. Null and empty texts count 0. Edits are (start, end, text) in
-code points of the text as it was, sorted and not overlapping; they are applied from the last to the first. Whole texts
-are counted, however long; repeated rows are counted alike; other columns are ignored.
+code points of the text as it was, not overlapping, in any order; they are applied from the last to the first, and of
+those at one place that of the greatest end first. Whole texts are counted, however long; repeated rows are counted
+alike; other columns are ignored. Rows with a null key have no edits.
 """
 
 from __future__ import annotations
@@ -15,19 +20,24 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable
-from functools import cache
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..operators.batches import map_batches, slices
 from . import common
 
-LEAF = 1024
+#: Pieces in each of two generations of counts that a worker keeps, and characters up to which a leaf's count is kept.
+KEPT, LEAF = 300_000, 48
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: What the default edits blank out: mail and IPv4 addresses.
 _PRIVATE = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
 
 
-@cache
+@lru_cache(maxsize=1)
 def encoding(path: str, pattern: str):
     import tiktoken
 
@@ -36,8 +46,36 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, size: int = LEAF) -> list[str]:
-    """The text in parts of `size` characters or the first cut after them."""
+class Counter:
+    """Tokens of pieces; those of short ones are remembered, as words come again."""
+
+    def __init__(self, encode: Callable[[str], int]):
+        self._encode, self._young, self._old = encode, {}, {}
+
+    def _new(self, piece: str) -> int:
+        if (n := self._old.get(piece)) is None:
+            n = self._encode(piece) if piece else 0
+        if len(piece) <= LEAF:
+            if len(self._young) >= KEPT:
+                self._old, self._young = self._young, {}
+            self._young[piece] = n
+        return n
+
+    def each(self, parts: list[str]) -> list[int]:
+        young, new = self._young.get, self._new
+        return [n if (n := young(p)) is not None else new(p) for p in parts]
+
+
+@lru_cache(maxsize=1)
+def counter(path: str, pattern: str) -> Counter:
+    known = encoding(path, pattern)
+    return Counter(lambda s: len(known.encode_ordinary(s)))
+
+
+def pieces(text: str, size: int = 1) -> list[str]:
+    """The text in its pieces; with a size in parts of so many characters and up to the first cut after them."""
+    if size <= 1:
+        return _CUT.split(text) if text else []
     out, at = [], 0
     while at < len(text):
         cut = _CUT.search(text, at + size) if len(text) - at > size else None
@@ -48,81 +86,92 @@ def pieces(text: str, size: int = LEAF) -> list[str]:
 class CountTree:
     """Segment tree over pieces of a text; each node has the characters and tokens below it."""
 
-    def __init__(self, text: str, count: Callable[[str], int], size: int = LEAF):
-        self._count, self._size = count, size
-        self.encoded = 0
-        self._build(pieces(text, size))
-
-    def _encode(self, piece: str) -> int:
-        self.encoded += len(piece)
-        return self._count(piece) if piece else 0
-
-    def _build(self, parts: list[str], known: list[int] | None = None) -> None:
-        self._parts, self._n = parts, 1
-        while self._n < len(parts):
-            self._n *= 2
-        self._chars, self._tokens = [0] * (2 * self._n), [0] * (2 * self._n)
-        for i, part in enumerate(parts):
-            self._chars[self._n + i], self._tokens[self._n + i] = len(part), known[i] if known else self._encode(part)
-        for i in range(self._n - 1, 0, -1):
-            self._sum(i)
-
-    def _sum(self, i: int) -> None:
-        self._chars[i] = self._chars[2 * i] + self._chars[2 * i + 1]
-        self._tokens[i] = self._tokens[2 * i] + self._tokens[2 * i + 1]
-
-    def _set(self, leaf: int, part: str) -> None:
+    def __init__(self, text: str, count: Callable[[str], int] | Counter, size: int = 1, kept: tuple[np.ndarray, np.ndarray] | None = None):
+        """kept: the tree's arrays of characters and tokens, if it isn't new."""
+        self._counter, self._size, self._text, self.encoded = count if isinstance(count, Counter) else Counter(count), size, text, 0
+        if kept is None:
+            self._build(*self._counted(text))
+        else:
+            self.chars, self.sums = (np.array(x, dtype=np.int64) for x in kept)
+            self._n = len(self.chars) // 2
+
+    def _counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of the pieces of a text."""
+        parts = pieces(text, self._size)
+        self.encoded += len(text)
+        return np.fromiter(map(len, parts), np.int64, len(parts)), np.array(self._counter.each(parts), dtype=np.int64)
+
+    def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        n = 1 << max(0, len(chars) - 1).bit_length()
+        self._n, arrays = n, []
+        for leaves in (chars, tokens):
+            tree = np.zeros(2 * n, np.int64)
+            tree[n : n + len(leaves)] = leaves
+            level = n
+            while level > 1:
+                tree[level // 2 : level] = tree[level : 2 * level].reshape(-1, 2).sum(axis=1)
+                level //= 2
+            arrays.append(tree)
+        self.chars, self.sums = arrays
+
+    def _set(self, leaf: int, chars: int, tokens: int) -> None:
         i = self._n + leaf
-        self._parts[leaf], self._chars[i], self._tokens[i] = part, len(part), self._encode(part)
+        self.chars[i], self.sums[i] = chars, tokens
         while i := i // 2:
-            self._sum(i)
+            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
+            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
 
     @property
     def tokens(self) -> int:
-        return self._tokens[1]
+        return int(self.sums[1])
 
     @property
     def text(self) -> str:
-        return "".join(self._parts)
+        return self._text
 
     def _leaf(self, at: int) -> tuple[int, int]:
         """The leaf that holds a character (the last that has any, at the end), and where it starts."""
         i, start = 1, 0
-        at = min(at, max(0, self._chars[1] - 1))
+        at = min(at, max(0, int(self.chars[1]) - 1))
         while i < self._n:
             i *= 2
-            if at - start >= self._chars[i]:
-                start += self._chars[i]
+            if at - start >= self.chars[i]:
+                start += int(self.chars[i])
                 i += 1
         return i - self._n, start
 
-    def replace(self, start: int, end: int, new: str) -> None:
-        """Puts new in place of the characters from start to end."""
-        if not self._chars[1]:
-            return self._build(pieces(new, self._size))
-        a, a_start = self._leaf(start)
-        b, b_start = self._leaf(max(start, end - 1))
-        region = self._parts[a][: start - a_start] + new + self._parts[b][end - b_start :]
-        while (left := self._beside(a, -1)) is not None and not (region[:1] in (" ", "\n") and region):
-            a, region = left, self._parts[left] + region
-        while (right := self._beside(b, 1)) is not None and (not region or region[-1].isspace()):
-            b, region = right, region + self._parts[right]
-        if len(region) > 4 * self._size + sum(self._chars[self._n + a : self._n + b + 1]):
-            parts, new_parts = self._parts, pieces(region, self._size)
-            known = self._tokens[self._n :][: len(parts)]
-            self._build(parts[:a] + new_parts + parts[b + 1 :], known[:a] + [self._encode(p) for p in new_parts] + known[b + 1 :])
-            return None
-        for leaf in range(a + 1, b + 1):
-            if self._parts[leaf]:
-                self._set(leaf, "")
-        return self._set(a, region)
-
     def _beside(self, leaf: int, step: int) -> int | None:
+        """The next leaf on a side that has any characters."""
         leaf += step
-        while 0 <= leaf < len(self._parts):
-            if self._parts[leaf]:
-                return leaf
+        while 0 <= leaf < self._n and not self.chars[self._n + leaf]:
             leaf += step
+        return leaf if 0 <= leaf < self._n else None
+
+    def replace(self, start: int, end: int, new: str) -> None:
+        """Puts new in place of the characters from start to end."""
+        whole = int(self.chars[1])
+        old, self._text = self._text, self._text[:start] + new + self._text[end:]
+        if not whole:
+            return self._build(*self._counted(self._text))
+        a, low = self._leaf(start)
+        b, high = self._leaf(max(start, end - 1))
+        high += int(self.chars[self._n + b])
+        region = old[low:start] + new + old[end:high]
+        while (left := self._beside(a, -1)) is not None and region[:1] not in (" ", "\n"):
+            a, size = left, int(self.chars[self._n + left])
+            region, low = old[low - size : low] + region, low - size
+        while (right := self._beside(b, 1)) is not None and (not region or region[-1].isspace()):
+            b, size = right, int(self.chars[self._n + right])
+            region, high = region + old[high : high + size], high + size
+        chars, tokens = self._counted(region)
+        if len(chars) > b - a + 1:
+            n = self._n
+            join = lambda tree, part: np.concatenate([tree[n : n + a], part, tree[n + b + 1 :]])
+            joined = join(self.chars, chars), join(self.sums, tokens)
+            filled = joined[0] > 0
+            return self._build(joined[0][filled], joined[1][filled])
+        for i in range(b - a + 1):
+            self._set(a + i, *((int(chars[i]), int(tokens[i])) if i < len(chars) else (0, 0)))
         return None
 
 
@@ -130,16 +179,48 @@ def private_edits(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), "[removed]") for m in _PRIVATE.finditer(text)]
 
 
+def trees(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, n_tokens, and the tree's arrays of characters and tokens, the root at 1 and the nodes below i at 2i and 2i + 1."""
+
+    def kernel(texts):
+        made = [CountTree(t, counter(path, pattern)) for t in texts]
+        return [[t.tokens for t in made], [t.chars for t in made], [t.sums for t in made]]
+
+    return common.map_texts(df, kernel, "n_tokens long, chars array<long>, sums array<long>", key, text)
+
+
+def edited(kept: DataFrame, df: DataFrame, edits: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of trees after edits (key, start, end, new), with the text after them and the characters that were encoded for that.
+
+    A key has one row in kept and one in df.
+    """
+    listed = edits.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.coalesce("new", F.lit("")).alias("new")))).alias("edits"))
+    rows = df.select(key, F.col(text).cast("string").alias("text")).join(kept.select(key, "chars", "sums"), key).join(listed, key, "left").select(key, "text", "chars", "sums", "edits")
+
+    def run(batches):
+        for b in slices(batches):
+            out = []
+            for t, chars, sums, todo in zip(*(b.column(i) for i in range(1, 5)), strict=True):
+                tree = CountTree(t.as_py() or "", counter(path, pattern), kept=(chars.values.to_numpy(), sums.values.to_numpy()))
+                for e in reversed(todo.as_py() or []):
+                    tree.replace(e["start"], e["end"], e["new"])
+                out.append((tree.tokens, tree.chars, tree.sums, tree.text, tree.encoded))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=[key, "n_tokens", "chars", "sums", "text", "n_encoded_again"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return map_batches(rows, run, f"`{key}` {kind}, n_tokens long, chars array<long>, sums array<long>, text string, n_encoded_again long")
+
+
 def count_edited(df: DataFrame, path: str, pattern: str, edits: Callable[[str], list[tuple[int, int, str]]] = private_edits, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, tokens before and after the edits, number of edits, characters, and characters encoded anew for the edits."""
 
     def kernel(texts):
-        count = lambda s: len(encoding(path, pattern).encode_ordinary(s))
         rows = []
         for t in texts:
-            tree = CountTree(t, count)
+            tree = CountTree(t, counter(path, pattern))
             before, first = tree.tokens, tree.encoded
-            for start, end, new in reversed(todo := edits(t)):
+            for start, end, new in reversed(todo := sorted(edits(t))):
                 tree.replace(start, end, new)
             rows.append((before, tree.tokens, len(todo), len(t), tree.encoded - first))
         return [[r[i] for r in rows] for i in range(5)]
