@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.batches import slices
+from ..operators.batches import map_batches, slices
 from . import shingles
 from .blocks import groups_of, roots
 from .common import Tables
@@ -111,13 +111,13 @@ def describe(df: DataFrame, key: str, text: str, words: int, bands: int, rows: i
     """id, c (equal for equal multisets), n (shingles) and codes (one of each band)."""
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, 1, shingles.BLOCK):
             found = [(np.array(x[:2]).tobytes(), *x[2:]) for x in _described(_bytes(b.column(1)), words, bands, rows)]
             cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "c", "n", "codes"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("id"), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, c binary, n int, codes array<long>")
+    return map_batches(df.select(F.col(key).alias("id"), F.col(text).cast("string")), run, f"id {kind}, c binary, n int, codes array<long>")
 
 
 def bags(texts: DataFrame, words: int) -> DataFrame:
@@ -125,13 +125,13 @@ def bags(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         seen = set()
-        for b in slices(batches):
+        for b in slices(batches, 1, shingles.BLOCK):
             each = [shingles.elements(x) for x in shingles.hashed(_bytes(b.column(1)), words)]
             own = [i for i, (d, c) in enumerate(zip(map(_digest, each), b.column(0).to_pylist(), strict=True)) if d.tobytes() == c and not (c in seen or seen.add(c))]
             kept = b.take(pa.array(own, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2), kept.column(3), pa.array([each[i].view(np.int64) for i in own], pa.list_(pa.int64()))], names=["c", "lead", "is_lead", "elements"])
 
-    return texts.select("c", "text", "lead", "is_lead").mapInArrow(run, "c binary, lead binary, is_lead boolean, elements array<long>")
+    return map_batches(texts.select("c", "text", "lead", "is_lead"), run, "c binary, lead binary, is_lead boolean, elements array<long>")
 
 
 def _near(x: str, y: str, threshold: float):
@@ -259,7 +259,7 @@ def near_duplicates(
     if not apart.isEmpty():
         at = ["g", "code", "t", "u"]
         dealt = apart.join(known.select("c", "elements"), "c").select(*at, "is_left", "component", "c", "elements").repartition(*at).sortWithinPartitions(*at)
-        links.append(tables.keep(dealt.mapInArrow(_linked(threshold), "a binary, b binary")))
+        links.append(tables.keep(map_batches(dealt, _linked(threshold), "a binary, b binary")))
     tables.drop(apart, known)
     same = sound.where("n > 0").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
     several = sound.where("n > 0").join(same.select("id", "a"), "id").where("c <> a").select("a", F.col("c").alias("b"))

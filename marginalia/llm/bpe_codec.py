@@ -15,17 +15,20 @@ import hashlib
 import json
 import re
 from array import array
-from functools import cache
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.batches import map_batches
 from . import common
 
-#: Runs without white space in each of the two generations of encodings that a worker keeps.
-KEPT_RUNS = 300_000
+#: Runs without white space in each of the two generations of encodings that a worker keeps, and characters of a run that is kept.
+KEPT_RUNS, KEPT_CHARS = 100_000, 48
+#: Pairs of tokens whose test a worker remembers.
+KEPT_PAIRS = 200_000
 #: Characters below this have the same classes in all versions of Unicode, and none composes with another.
 PLAIN_LIMIT = "ɐ"
 END = "</w>"
@@ -72,7 +75,7 @@ class Codec:
                 self._symbols[i] = tuple(self._symbol[c] for c in form)
                 self._automaton.add_word(form, (i, len(form)))
         self._automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._ids, self._texts = Generations(self._encode_run, KEPT_RUNS), Generations(self._rendered, KEPT_RUNS)
 
     @staticmethod
@@ -91,10 +94,11 @@ class Codec:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two stay as they are when encoded together."""
-        if (known := self._fits.get((left, right))) is None:
-            if len(self._fits) > 2_000_000:
+        pair = left << 32 | right
+        if (known := self._fits.get(pair)) is None:
+            if len(self._fits) >= KEPT_PAIRS:
                 self._fits.clear()
-            known = self._fits[left, right] = self._merged([*self._symbols[left], *self._symbols[right]]) == [left, right]
+            known = self._fits[pair] = self._merged([*self._symbols[left], *self._symbols[right]]) == [left, right]
         return known
 
     def encode_word(self, form: str) -> tuple[int, ...]:
@@ -149,7 +153,10 @@ class Codec:
 
 
 class Generations:
-    """A bounded memory of a function of words: when the young half is full it becomes the old one, which is searched too."""
+    """A bounded memory of a function of words: when the young half is full it becomes the old one, which is searched too.
+
+    Long words aren't kept, so that the bound on words is one on bytes.
+    """
 
     def __init__(self, make, size: int):
         self._make, self._size, self.young, self._old = make, size, {}, {}
@@ -157,6 +164,8 @@ class Generations:
     def new(self, word):
         if (value := self._old.get(word)) is None:
             value = self._make(word)
+        if len(word) > KEPT_CHARS:
+            return value
         if len(self.young) >= self._size:
             self._old, self.young = self.young, {}
         self.young[word] = value
@@ -176,7 +185,7 @@ class Generations:
         return out
 
 
-@cache
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
@@ -194,7 +203,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec(path).decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[key, "decoded"])
 
-    return df.select(F.col(key), F.col(ids).cast("array<int>").alias(ids)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, decoded string")
+    return map_batches(df.select(F.col(key), F.col(ids).cast("array<int>").alias(ids)), run, f"`{key}` {df.schema[key].dataType.simpleString()}, decoded string")
 
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..operators.batches import slices
+from ..operators.batches import map_batches, slices
 from ..sources.tables import Tables, shared_folder
 
 __all__ = ["Tables", "map_texts", "read", "schema_of", "shared_folder", "tasks_of"]
@@ -45,4 +45,4 @@ def map_texts(df: DataFrame, kernel, ddl: str, key: str, text: str) -> DataFrame
             )
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {key_type}, {ddl}")
+    return map_batches(df.select(F.col(key), F.col(text).cast("string").alias(text)), run, f"`{key}` {key_type}, {ddl}")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.batches import map_batches
 from .blocks import groups_of, roots
 from .common import Tables
 from .components import components
@@ -83,7 +84,7 @@ def describe(entries: DataFrame, pivots: dict[int, tuple[np.ndarray, int]]) -> D
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), width, np.int32)), order, pa.array(bits)], names=["e", "weight", "label", "v", "width", "order", "sketch"])
 
     kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
-    return entries.select("e", "weight", "label", "v").mapInArrow(run, f"e long, weight long, label {kinds['label']}, v {kinds['v']}, width int, order array<int>, sketch long")
+    return map_batches(entries.select("e", "weight", "label", "v"), run, f"e long, weight long, label {kinds['label']}, v {kinds['v']}, width int, order array<int>, sketch long")
 
 
 def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -192,9 +193,9 @@ def links(
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     at = ["label", "pair", "i", "j"]
     together = lambda d: d.repartition(*at).sortWithinPartitions(*at)
-    close = together(dealt.select(*at, "block", "e", "sketch")).mapInArrow(_close, "pair long, i int, j int, block int, e long")
+    close = map_batches(together(dealt.select(*at, "block", "e", "sketch")), _close, "pair long, i int, j int, block int, e long")
     fetched = close.join(table.select("e", "label", "weight", "v", "order"), "e")
-    partial = tables.keep(together(fetched.select(*at, "block", "e", "weight", "v", "order")).mapInArrow(_verify(threshold), "e long, root long, links long"))
+    partial = tables.keep(map_batches(together(fetched.select(*at, "block", "e", "weight", "v", "order")), _verify(threshold), "e long, root long, links long"))
     tables.drop(table)
     whole = components(partial, "e", "root")
     least = whole.join(entries.select(F.col("e").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ..operators.batches import slices
+from ..operators.batches import map_batches, slices
 from .common import Tables, tasks_of
 from .shingles import mix
 
@@ -520,8 +520,8 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     parts = PARTS * tasks
     sound, keyless = docs.where(F.col("doc").isNotNull()), docs.where(F.col("doc").isNull())
     together = lambda d: d.repartition(tasks, F.when(F.col("part") < 0, F.xxhash64("packed")).otherwise(F.col("part"))).sortWithinPartitions("part")
-    codes_ = sound.mapInArrow(_anchored(length, anchor, parts), "part int, packed binary")
-    shared = tables.keep(together(codes_).mapInArrow(_shared(hot), "doc long, code long"))
+    codes_ = map_batches(sound, _anchored(length, anchor, parts), "part int, packed binary")
+    shared = tables.keep(map_batches(together(codes_), _shared(hot), "doc long, code long"))
     salts, plain = F.shiftright("code", _CODE_BITS), F.col("code").bitwiseAND((1 << _CODE_BITS) - 1)
     many = shared.where(salts > 1).groupBy(plain.alias("c")).agg(F.max(salts).alias("s"))
     salted = not many.isEmpty()
@@ -529,16 +529,16 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         all_of = shared.select("doc", plain.alias("c")).join(many, "c", "left")
         shared = tables.keep(all_of.select("doc", F.col("c").bitwiseOR(F.shiftleft(F.coalesce("s", F.lit(1).cast("long")), _CODE_BITS)).alias("code")))
     listed = shared.groupBy("doc").agg(F.collect_list("code").alias("codes"))
-    pieces = sound.join(listed, "doc").select("doc", "row", "text", "codes").mapInArrow(_cut_out(length, anchor, parts), "part int, packed binary, text binary")
-    found = together(pieces).mapInArrow(_removed(length, parts), _SPANS)
+    pieces = map_batches(sound.join(listed, "doc").select("doc", "row", "text", "codes"), _cut_out(length, anchor, parts), "part int, packed binary, text binary")
+    found = map_batches(together(pieces), _removed(length, parts), _SPANS)
     if salted:
         first = tables.keep(found)
-        found = first.unionByName(together(first.where("part IS NOT NULL").select("part", "packed", "text")).mapInArrow(_removed(length, parts), _SPANS))
+        found = first.unionByName(map_batches(together(first.where("part IS NOT NULL").select("part", "packed", "text")), _removed(length, parts), _SPANS))
     merged = found.where("part IS NULL").groupBy("doc").agg(F.collect_list(F.struct("row", "first", "end")).alias("spans"))
     whole = sound.join(merged, "doc", "left").select("doc", "row", "text", "spans")
     none = keyless.select("doc", "row", "text", F.lit(None).cast("array<struct<row: long, first: int, `end`: int>>").alias("spans"))
     ddl = "doc long, n_bytes long, n_removed long, spans array<struct<first: int, `end`: int>>, kept binary, kept_sha256 string"
     # the union is of results, so that both joins read one exchange of the texts
-    out = whole.mapInArrow(_without, ddl).unionByName(none.mapInArrow(_without, ddl))
+    out = map_batches(whole, _without, ddl).unionByName(map_batches(none, _without, ddl))
     out = out.withColumn("doc", F.col("doc").cast(kind))
     return out.withColumnRenamed("doc", key) if with_text else out.drop("kept").withColumnRenamed("doc", key)

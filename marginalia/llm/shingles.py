@@ -6,14 +6,14 @@ A word is a run of letters and digits of ASCII, with A-Z as a-z, and of all othe
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0x5851F42D4C957F2D
 #: Bytes of text that are hashed at once.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,7 +31,7 @@ def _tables():
     return mix(low.astype(np.uint64) + np.uint64(0x9E37)), word
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -80,18 +80,6 @@ def hashed(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def blocks(texts: list[bytes]):
-    """Slices of a list of texts, each of a few megabytes (or one text)."""
-    begin = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > BLOCK:
-            yield begin, i
-            begin, total = i, 0
-        total += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def occurrences(sorted_hashes: np.ndarray) -> np.ndarray:
     """Of each element of a sorted array, how many equal ones stand before it."""
     n = len(sorted_hashes)

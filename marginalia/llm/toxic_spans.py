@@ -24,7 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from functools import cache
+from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.batches import slices
+from ..operators.batches import map_batches, slices
 from . import common
 
 SAMPLE, SAMPLE_CHARS = 2500, 50_000
@@ -48,7 +48,7 @@ LEAST_DOCUMENTS, ROUNDS, LEAST_WEIGHT = 3, 120, 0.02
 #: Of the squares of features' weights.
 PENALTY = 2e-4
 #: Words whose weights a worker keeps in each of two generations, up to this many characters each.
-KEPT_WORDS, KEPT_CHARS = 400_000, 64
+KEPT_WORDS, KEPT_CHARS = 60_000, 48
 THRESHOLD = 0.7
 #: Words of a block in the products of the chain's matrices.
 BLOCK = 32
@@ -154,8 +154,8 @@ def _slots(words: list[str], i: int) -> list[tuple[str, str]]:
 
 
 def _windows(texts: list[str], labels: list[int], seeds: set[tuple[str, int]]) -> tuple[Windows, list[tuple[str, str]]]:
-    """Windows of texts, and the features that are numbered in them from 1."""
-    rows: list[tuple[int, list[list[tuple[str, str]]]]] = []
+    """Windows of texts, and the features that are numbered in them from 1. Features are counted by hash, to hold few names."""
+    rows: list[tuple[int, list[str], int]] = []
     held: Counter = Counter()
     for d, text in enumerate(texts):
         words = _WORD.findall(text)
@@ -163,19 +163,23 @@ def _windows(texts: list[str], labels: list[int], seeds: set[tuple[str, int]]) -
         for at in range(0, len(words), WINDOW):
             known = any(f in seeds for w in words[at : at + WINDOW] for f in features(w.lower()))
             rank.append((not known, zlib.crc32(f"{at} {words[at]} {len(words)}".encode()), at))
-        seen = set()
+        seen: set[int] = set()
         for *_, at in sorted(rank)[:WINDOWS]:
-            row = [_slots(words, i) for i in range(at, min(at + WINDOW, len(words)))]
-            seen.update(f for fs in row for f in fs)
-            rows.append((d, row))
+            begin = max(0, at - 1)  # with the words beside the window
+            part = words[begin : at + WINDOW + 1]
+            rows.append((d, part, at - begin))
+            seen.update(hash(f) for i in range(at - begin, min(at - begin + WINDOW, len(part))) for f in _slots(part, i))
         held.update(seen)
-    names = sorted(f for f, n in held.items() if n >= min(LEAST_DOCUMENTS, 1 + sum(labels) // 4))
-    number = {f: i for i, f in enumerate(names, 1)}
-    slots = np.zeros((len(rows), WINDOW, 5 + 1 + len(BEGINNINGS)), dtype=np.int32)
-    for r, (_, row) in enumerate(rows):
-        for i, fs in enumerate(row):
-            slots[r, i, : len(fs)] = [number.get(f, 0) for f in fs]
-    return Windows(slots, np.array([d for d, _ in rows], dtype=np.int64), np.array(labels, dtype=bool)), names
+    least = min(LEAST_DOCUMENTS, 1 + sum(labels) // 4)
+    often = {h for h, n in held.items() if n >= least}
+    del held
+    number: dict[tuple[str, str], int] = {}
+    slots = np.zeros((len(rows), WINDOW, 6 + len(BEGINNINGS)), dtype=np.int32)
+    for r, (_, part, head) in enumerate(rows):
+        for i in range(head, min(head + WINDOW, len(part))):
+            kept = [number.setdefault(f, len(number) + 1) for f in _slots(part, i) if hash(f) in often]
+            slots[r, i - head, : len(kept)] = kept
+    return Windows(slots, np.array([d for d, *_ in rows], dtype=np.int64), np.array(labels, dtype=bool)), list(number)
 
 
 def _fit_chain(data: Windows, weights: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
@@ -326,16 +330,18 @@ class Tagger:
         #: Weights of a word for itself, as the one before and as the one after; and whether its form or beginning is known.
         self._young: dict[str, tuple[float, float, float, bool]] = {}
         self._old: dict[str, tuple[float, float, float, bool]] = {}
+        self._equal: dict[tuple, tuple[float, float, float, bool]] = {}
 
     def _weigh(self, word: str) -> tuple[float, float, float, bool]:
-        if (found := self._old.get(word)) is None:
+        if (found := self._young.get(word) or self._old.get(word)) is None:
             m, low = self.model, word.lower()
             forms = [x for f, k in features(low) if (x := (m.begins if k else m.words).get(f)) is not None]
             shapes = sum(m.shapes.get(x, 0.0) for x in shape(word)) if m.shapes else 0.0
             found = sum(forms) + shapes, m.before.get(low, 0.0), m.after.get(low, 0.0), bool(forms)
+            found = self._equal.setdefault(found, found)  # most words weigh alike
         if len(word) <= KEPT_CHARS:
             if len(self._young) >= KEPT_WORDS:
-                self._old, self._young = self._young, {}
+                self._old, self._young, self._equal = self._young, {}, {}
             self._young[word] = found
         return found
 
@@ -402,7 +408,7 @@ class Tagger:
         return scores.tolist(), spans
 
 
-@cache
+@lru_cache(maxsize=1)
 def _tagger(fields: tuple) -> Tagger:
     return Tagger(Model(*(dict(f) if isinstance(f, frozenset) else f for f in fields)))
 
@@ -439,4 +445,4 @@ def clean(df: DataFrame, model: Model, threshold: float = THRESHOLD, text: str =
             scores, _ = _tagger(args).judge([t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
