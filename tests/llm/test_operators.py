@@ -40,6 +40,16 @@ def test_line_chunks(docs, none):
     assert out.where("doc_id IS NULL").first()["text"] == PASSAGE
 
 
+def test_line_chunks_of_a_hot_passage_and_clashing_columns(spark):
+    lines = [f"own {i}" for i in range(40)]
+    texts = [(i, f"{lines[i]}\n{PASSAGE}\n{lines[i]} end\nlast of {i}", i, "a") for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, n_lines int, __lines string").withColumns({"__removed": F.lit(1), "__numbers": F.lit(2), "salt": F.lit(3), "salts": F.lit(4), "c": F.lit(5), "code": F.lit(6)})
+    out = line_chunks.clean(df, hot=3)
+    assert set(out.columns) == {*df.columns, "n_lines_removed"}
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert all(r["text"] == (texts[i][1] if i == 0 else f"{lines[i]}\n{lines[i]} end\nlast of {i}") and r["n_lines"] == 9 and r["salt"] == 3 for i, r in rows.items()) and len(rows) == 40
+
+
 def test_planted_passages_go_whole(spark):
     texts, right = [], {}
     for n in range(2, 11):
@@ -176,6 +186,33 @@ def test_counts(docs, none):
     assert rows[3]["n_tokens"] == rows[4]["n_tokens"] == 0 and rows[5]["n_chars"] == len(LONG) and edit_counts.count_edited(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_kept_trees_follow_edits(spark):
+    """Edits of kept trees give the counts of the edited texts, though only what they touch is encoded."""
+    import random
+
+    rng, texts, edits, right = random.Random(3), [], [], {}
+    count = lambda s: len(edit_counts.encoding(RANKS, public_tokenizers.PATTERN).encode_ordinary(s))
+    for k in range(60):
+        text = "".join(rng.choice(["some", " words", " and", "\n", "  ", "é", ", ", " x1", "\t", "."]) for _ in range(rng.randrange(0, 400)))
+        places = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randrange(4))))
+        after = text
+        for a, b in reversed(list(zip(places[::2], places[1::2], strict=False))):
+            new = "".join(rng.choice(["new", " ", " word", "\n", "!"]) for _ in range(rng.randrange(12)))
+            edits.append((k, a, b, new))
+            after = after[:a] + new + after[b:]
+        texts.append((k, text or None))
+        right[k] = after
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"chars": F.lit(1), "edits": F.lit(2)})
+    kept = edit_counts.trees(df, RANKS, public_tokenizers.PATTERN)
+    changes = spark.createDataFrame([*edits, (None, 0, 1, "x")], "doc_id long, start int, end int, new string")
+    found = {r["doc_id"]: r for r in edit_counts.edited(kept, df, changes, RANKS, public_tokenizers.PATTERN).collect()}
+    assert {k: (r["text"], r["n_tokens"]) for k, r in found.items()} == {k: (t, count(t)) for k, t in right.items()}
+    untouched = [k for k, _ in texts if k not in {e[0] for e in edits}]
+    assert untouched and all(found[k]["n_encoded_again"] == 0 for k in untouched)
+    again = edit_counts.trees(spark.createDataFrame(list(right.items()), "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
+    assert {r["doc_id"]: r["n_tokens"] for r in again.collect()} == {k: r["sums"][1] for k, r in found.items()}
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (6, 0)], "doc_id long, toxic int")
     model = toxic_spans.train(docs, labels)
