@@ -53,6 +53,9 @@ def _place(text: str) -> Column:
     return F.when(F.length(F.coalesce("id", F.lit(""))) > 0, F.col("id")).otherwise(F.left(F.col(text), F.lit(50)))
 
 
+# The codes, severities, messages and patterns of the rules below.
+
+
 def citation_rules() -> list[Rule]:
     rule = lambda code, what, pattern: Rule("citation", "warning", code, what, _has("citation_text", pattern), _place("citation_text"), affected=F.left("citation_text", F.lit(100)))
     return [
