@@ -151,7 +151,15 @@ def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     return named.select("c", "n", F.coalesce("component", "c").alias("component"), F.inline("at"))
 
 
-def _rest_apart(labelled: DataFrame) -> DataFrame:
+def _unfinished(labelled: DataFrame) -> DataFrame:
+    """Buckets of several components (of two classes are compared by then): the largest component, and how many classes are outside it."""
+    bucket = ["band", "code"]
+    parts = labelled.groupBy(*bucket, "component").agg(F.count("*").alias("n_part"))
+    sizes = parts.groupBy(*bucket).agg(F.sum("n_part").alias("total"), F.max(F.struct("n_part", "component")).alias("main"), F.count("*").alias("parts"))
+    return sizes.where("parts > 1 AND total > 2").select(*bucket, F.col("main.component").alias("main"), (F.col("total") - F.col("main.n_part")).alias("others"))
+
+
+def _rest_apart(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
     """What is still to be compared, dealt in groups (g, code, t, u) of rows.
 
     All classes of a bucket outside its largest component meet each other, in pairs of blocks (g is the band, u = -1), and
@@ -159,9 +167,6 @@ def _rest_apart(labelled: DataFrame) -> DataFrame:
     that meets it in many buckets comes once.
     """
     bucket = ["band", "code"]
-    parts = labelled.groupBy(*bucket, "component").agg(F.count("*").alias("n_part"))
-    sizes = parts.groupBy(*bucket).agg(F.sum("n_part").alias("total"), F.max(F.struct("n_part", "component")).alias("main"), F.count("*").alias("parts"))
-    sizes = sizes.where("parts > 1 AND total > 2").select(*bucket, F.col("main.component").alias("main"), (F.col("total") - F.col("main.n_part")).alias("others"))
     strays = labelled.join(sizes, bucket).where(F.col("component") != F.col("main")).select("c", "component", *bucket, "main", "others")
     of = lambda n: F.ceil(n / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("c"), of(n)).cast("int")
@@ -224,14 +229,16 @@ def near_duplicates(
     """Key, class_id (least key of the texts with the same multiset), component_id (least key that is linked to it) and kept."""
     tables, bucket = Tables(df.sparkSession), ["band", "code"]
     sound = tables.keep(describe(df.where(F.col(key).isNotNull()), key, text, words, bands, rows))
-    classes = sound.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "n", "codes")).alias("best")).select("c", "best.*")
+    classes = tables.keep(sound.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "n", "codes")).alias("best")).select("c", "best.*"))
     entries = classes.select("c", "id", "n", F.posexplode("codes").alias("band", "code"))
-    shared = entries.groupBy(*bucket).agg(F.min(F.struct("c", "n")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
+    # what is joined to the members of buckets is a table, so that a large bucket may be dealt to several tasks
+    shared = tables.keep(entries.groupBy(*bucket).agg(F.min(F.struct("c", "n")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"))
     alike = lambda m, n: F.least(m, n) >= threshold * F.greatest(m, n)
     fits = (F.col("first.c") != F.col("c")) & alike(F.col("n"), F.col("first.n"))
     own = F.struct(*bucket), F.when(fits, F.col("first.c"))
     members = entries.join(shared, bucket).groupBy("c").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.collect_list(own[0]).alias("at"), F.min(own[1]).alias("lead"))
     members = tables.keep(members)
+    tables.drop(shared)
     leads = members.select(F.col("lead").alias("l")).where("l IS NOT NULL").distinct()
     wanted = members.join(leads, F.col("c") == F.col("l"), "left").select("c", "id", "lead", F.col("l").isNotNull().alias("is_lead"))
     texts = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(wanted, "id")
@@ -246,16 +253,18 @@ def near_duplicates(
         lead = labelled.groupBy(*bucket).agg(
             F.min(F.struct(order.alias("k"), "c", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")
         )
-        lead = lead.where("low <> high").select(*bucket, F.col("lead.c").alias("o"), F.col("lead.n").alias("m"), F.col("lead.component").alias("oc"))
+        lead = tables.keep(lead.where("low <> high").select(*bucket, F.col("lead.c").alias("o"), F.col("lead.n").alias("m"), F.col("lead.component").alias("oc")))
         pairs = labelled.join(lead, bucket).where((F.col("component") != F.col("oc")) & alike(F.col("n"), F.col("m")))
         pairs = tables.keep(pairs.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct())
         if not pairs.isEmpty():
             links.append(tables.keep(verified(pairs, known, threshold)))
             last, groups = groups, tables.keep(connected(_together(links), "a", "b"))
             tables.drop(last)
-        tables.drop(pairs)
-    apart = tables.keep(_rest_apart(_labelled(members, groups)))
-    tables.drop(members, groups)
+        tables.drop(pairs, lead)
+    labelled = _labelled(members, groups)
+    sizes = tables.keep(_unfinished(labelled))
+    apart = tables.keep(_rest_apart(labelled, sizes))
+    tables.drop(members, groups, sizes)
     if not apart.isEmpty():
         at = ["g", "code", "t", "u"]
         dealt = apart.join(known.select("c", "elements"), "c").select(*at, "is_left", "component", "c", "elements").repartition(*at).sortWithinPartitions(*at)
