@@ -161,7 +161,7 @@ class Rule:
 
 
 _P = rf"\(\s*{SIGNAL}"
-_END_PAREN, _TAIL = r"\s*\)", r"(?:,\s*[^)]+)?\)"
+_TAIL = r"(?:,\s*[^)]+)?\)"
 
 #: The rules of one citation for a match, in two runs: those before and after the rules for several years.
 FIRST_RULES = (
