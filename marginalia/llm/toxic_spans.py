@@ -14,8 +14,8 @@ the lowest hash of their key; of each up to `WINDOWS` windows of `WINDOW` words
 with a word that is tied to the label, then by hash. Scoring reads every whole text, a batch of texts at once.
 
 Null and empty texts get the score of a text without known words. Rows without a label, or with labels other than 0 and
-1, don't train; with no labelled rows of either kind every score is the prior. A key with both labels trains with one of
-them. Repeated rows are scored alike.
+1, don't train; with no labelled rows of either kind every score is the prior. A key with both labels counts as toxic.
+Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -420,12 +420,13 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits on labelled rows that aren't held out. The ids of the sample are bounded by `sample`, so they are broadcast."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]).dropDuplicates(["k"]))
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     usable = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(F.length("t") <= SAMPLE_CHARS)
-    rows = sorted(((str(r["k"]), r["t"], r["y"]) for r in usable.join(ids, "k").collect()))
+    once = usable.join(ids, "k").groupBy("k", "y").agg(F.min("t").alias("t"))  # a key may have many rows
+    rows = sorted((str(r["k"]), r["t"], r["y"]) for r in once.collect())
     return fit([t for _, t, _ in rows], [y for *_, y in rows], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
