@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -133,11 +133,25 @@ def _dealt(part: np.ndarray):
         yield int(part[order[a]]), order[a:b]
 
 
+def _scans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together or cut to about `SCAN` bytes of text: what a slice holds twice needs to leave it but once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in slices(batches, 2, SCAN):
+        if held and size + b.nbytes > SCAN:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _anchored(length: int, anchor: int, parts: int):
     """Rows (part, packed code, doc and whether it is known to be shared) of each slice's fragments."""
 
     def run(batches):
-        for b in slices(batches, 2, SCAN):
+        for b in _scans(batches):
             docs = b.column(0).to_numpy()
             code, text, _, _ = fragments(_bytes(b.column(2)), length, anchor)
             if not len(code):
@@ -411,7 +425,7 @@ def _cut_out(length: int, anchor: int, parts: int):
     """The documents' fragments with shared codes, packed by part; and as spans (part -1) what others of the slice remove."""
 
     def run(batches):
-        for b in slices(batches, 2, SCAN):
+        for b in _scans(batches):
             docs, rows, texts, wanted = b.column(0).to_numpy(), b.column(1).to_numpy(), _bytes(b.column(2)), b.column(3)
             which, wanted = np.repeat(np.arange(len(docs)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
             code, text, at, count = fragments(texts, length, anchor)
