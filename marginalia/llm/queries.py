@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, bpe_codec, decontaminate, edit_counts, line_chunks, pivot_index, repeats, secret_scan, toxic_spans, url_filter
+from . import bag_minhash, best_fit, bpe_codec, decontaminate, edit_counts, filter_audit, line_chunks, pivot_index, ranked_search, repeats, secret_scan, toxic_spans, url_filter
 from .common import read
 
 #: Host and path rules of the URL filter: the longest that fits decides.
@@ -90,9 +90,31 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_edited(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = best_fit.pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit.pack(cut, documents=best_fit.TOKENS, cost=best_fit.TOKENS**2)
+
+
+ALL = (
+    op1_bag_minhash, op2_pivot_index, op3_line_chunks, op4_bpe_codec, op5_decontaminate, op6_toxic_spans, op7_repeats, op8_url_filter, op9_secret_scan, op10_edit_counts,
+    op11_ranked_search, op12_filter_audit, op13_best_fit,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bag_minhash, op2_pivot_index, op3_line_chunks, op4_bpe_codec, op5_decontaminate, op6_toxic_spans, op7_repeats, op8_url_filter, op9_secret_scan, op10_edit_counts)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pivot_index": pivot_index.SQL, "op3_line_chunks": line_chunks.SQL, "op5_decontaminate": decontaminate.sql(), "op8_url_filter": op8_sql()}
+    return {
+        "op2_pivot_index": pivot_index.SQL, "op3_line_chunks": line_chunks.SQL, "op5_decontaminate": decontaminate.sql(), "op8_url_filter": op8_sql(),
+        "op11_ranked_search": ranked_search.SQL, "op12_filter_audit": filter_audit.SQL,
+    }

@@ -17,14 +17,14 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "embeddings"):
+    for table in ("documents", "benchmark", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     ours, theirs = queries.queries()[name](spark, DATA).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs)
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
