@@ -7,8 +7,12 @@ in ten million); of the others the vectors are fetched, and every pair is verifi
 
 Vectors of each length have an index of their own, as vectors of different lengths have no cosine. Its pivots are a sample
 of them, those with the lowest hash, `PIVOTS` or more: they double while they are below half the square root of the
-number of vectors, up to `MOST_PIVOTS`, so that lists stay short; with every two doublings one more of the nearest counts,
-which keeps recall. Every vector is indexed. A pair that meets in several lists counts in one only, that of its first two
+number of vectors, up to `MOST_PIVOTS`, so that lists stay short; with every two doublings one more of the nearest counts.
+How many of the nearest count is then measured (`fitted`): on `SAMPLE` further vectors, each with a partner at exactly the
+threshold in the direction of another one and of its neighbour, it rises until `WANTED` of these pairs meet. Where up to
+`WIDEST` don't suffice for `LEAST` of them, as with few dimensions or a common direction of all, or where the lists would
+be no less work than all pairs, the index has two pivots, which all vectors share: one list, in blocks, that leaves no pair
+out. So have up to `BLOCK` vectors. Every vector is indexed. A pair that meets in several lists counts in one only, that of its first two
 shared pivots. Lists of any length are dealt to tasks in blocks of `BLOCK` entries, by pairs of blocks. Equal vectors are
 one entry with a weight. A list gives, for each entry, its number of links and one edge to the least entry that it is
 connected with there, so never all pairs.
@@ -34,6 +38,8 @@ from .components import components
 
 THRESHOLD = 0.93
 PIVOTS, NEAREST, MOST_PIVOTS = 128, 6, 4096
+#: Vectors that measure the index, shares of pairs at the threshold that shall and must meet, most of the nearest pivots that count.
+SAMPLE, WANTED, LEAST, WIDEST = 512, 0.99, 0.95, 16
 SKETCH_BITS, FAR = 64, 24
 BLOCK = 2048
 _SHIFT = 20  # bits of a pivot's number
@@ -154,17 +160,55 @@ def _verify(threshold: float):
     return run
 
 
-def pivots_of(entries: DataFrame, pivots: int, nearest: int, most: int) -> dict[int, tuple[np.ndarray, int]]:
-    """For each length of vectors, its pivots and how many of the nearest count. Only the pivots come to the driver."""
+def at_threshold(x: np.ndarray, toward: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit vectors at the cosine of the threshold to each x, in the direction of another vector; that itself where it is nearer."""
+    cos = (x * toward).sum(axis=1, keepdims=True)
+    aside = toward - cos * x
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.where(length > 1e-9, aside / np.maximum(length, 1e-9), 0)
+    return np.where(cos >= threshold, toward, unit(threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * aside))
+
+
+def fitted(sample: np.ndarray, pivots: np.ndarray, nearest: int, threshold: float) -> int | None:
+    """How many of the nearest pivots must count so that pairs at the threshold meet; None if the index doesn't pay."""
+    n, near = len(sample), sample @ sample.T
+    np.fill_diagonal(near, -2)
+    random = np.roll(np.arange(n), 1)
+    neighbours = near.argmax(axis=1)
+    widest = min(WIDEST, len(pivots))
+    mine = permutations(sample, pivots, widest)
+    partners = [permutations(at_threshold(sample, sample[to], threshold), pivots, widest) for to in (random, neighbours)]
+    best = None
+    for k in range(nearest, widest + 1):
+        shared = lambda other: (mine[:, :k, None] == other[:, None, :k]).any(axis=2).sum(axis=1)  # noqa: B023, E731
+        met = min(float((shared(p) >= 2).mean()) for p in partners)
+        common = shared(mine[random])
+        if (common * (common - 1) / 2).mean() >= 0.5:  # lists hold as many pairs as there are
+            break
+        if best is None or met > best[0]:
+            best = met, k
+        if met >= WANTED:
+            break
+    return best[1] if best and best[0] >= LEAST else None
+
+
+def pivots_of(entries: DataFrame, pivots: int, nearest: int, most: int, threshold: float) -> dict[int, tuple[np.ndarray, int]]:
+    """For each length of vectors, its pivots and how many of the nearest count. Only the pivots and the sample come to the driver."""
     out = {}
     sizes = {r["w"]: r["n"] for r in entries.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}
     for width, n in sorted(sizes.items()):
+        axis = np.eye(1, width)
+        out[width] = np.vstack([axis, -axis]), 2  # all vectors share both
+        if n <= BLOCK:
+            continue
         asked, close = size_of_index(n, pivots, nearest, most)
-        rows = entries.where(F.size("v") == width).orderBy(F.xxhash64("v"), "e").limit(asked).collect()
+        rows = entries.where(F.size("v") == width).orderBy(F.xxhash64("v"), "e").limit(asked + SAMPLE).collect()
         points = unit(np.array([r["v"] for r in rows], dtype=np.float64))
-        if len(points) < 2:  # one vector: it has no partner, but its order has two numbers
-            points = np.vstack([points, -points])
-        out[width] = points, min(close, len(points))
+        points, sample = points[:asked], points[asked:]
+        if len(sample) < 2:
+            continue
+        if close := fitted(sample, points, min(close, len(points)), threshold):
+            out[width] = points, close
     return out
 
 
@@ -179,7 +223,7 @@ def links(
     sound = rows.where(usable("id", "v", "label"))
     entries = sound.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("e", F.monotonically_increasing_id())
     entries = tables.keep(entries)
-    points = pivots_of(entries, pivots, nearest, most_pivots)
+    points = pivots_of(entries, pivots, nearest, most_pivots, threshold)
     table = tables.keep(describe(entries, points))
     kinds = {f.name: f.dataType.simpleString() for f in table.schema}
     # a pair of pivots, its length of vectors above both
