@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.batches import map_batches, slices
@@ -285,12 +285,18 @@ def near_duplicates(
 
 
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first document of each group of near copies, once if its row is repeated; rows with a null key stay."""
-    copies = near_duplicates(df, key, text).where(~F.col("kept")).select(key)
-    rest = df.where(F.col(key).isNotNull()).join(copies, key, "left_anti").select(*df.columns)
-    same = Window.partitionBy(key, F.xxhash64(F.col(text))).orderBy(F.lit(0))
-    once = rest.withColumn(_TURN, F.row_number().over(same)).where(F.col(_TURN) == 1).drop(_TURN)
-    return once.unionByName(df.where(F.col(key).isNull()))
+    """The first document of each group of near copies; rows with a null key stay.
+
+    All rows of that key stay but those that are alike in every column, which stay once (all of them, if a column holds
+    maps, which can't be compared).
+    """
+    first = near_duplicates(df, key, text).where("kept").select(key)
+    rows = df.where(F.col(key).isNotNull()).groupBy(key).agg((F.count("*") > 1).alias(_TURN))
+    rest = df.join(Tables(df.sparkSession).keep(first.join(rows, key)), key)
+    several = rest.where(F.col(_TURN)).select(*df.columns)
+    if "map<" not in df.schema.simpleString():
+        several = several.dropDuplicates()
+    return rest.where(~F.col(_TURN)).select(*df.columns).unionByName(several).unionByName(df.where(F.col(key).isNull()))
 
 
 def _together(links: list[DataFrame]) -> DataFrame:
