@@ -26,12 +26,14 @@ from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.batches import map_batches, slices
+from .bpe_codec import byte_characters
 from .common import Tables, schema_of
 from .edit_counts import pieces as cut
 
@@ -39,16 +41,17 @@ from .edit_counts import pieces as cut
 TOKENS, END, BUCKET, ROWS = 1024, 2, 16_384, 10_000
 #: Weights of tokens, documents and attention cost in the norm and in the product.
 WEIGHTS = (1.0, 0.01, 0.01)
-#: Encodings in each of two generations that a worker keeps, and characters up to which one is kept.
-KEPT, KEPT_CHARS = 200_000, 48
+_ODD = re.compile(r"[^\n\x20-\x7e\xa1-\u024f]")
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit numbers.
+    """Ids of texts as the tokenizers library gives them, as little-endian unsigned 32-bit numbers.
 
     With a byte-level file no pre-token crosses a place where a space or line break follows what isn't white space, so
-    that texts are cut there and what comes again is remembered. Other files, and texts in which a special token stands,
-    are left to the library whole.
+    that texts are cut there. Parts are encoded with the file's own vocabulary by a faster library of the same merges where
+    both must agree: all characters have the same classes, by which pre-tokens are told, in all versions of Unicode, and
+    white space is single spaces and line breaks, for which the pattern needs no look ahead (`_ODD` finds other parts).
+    Other parts, other files, and texts in which a special token stands are left to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -61,32 +64,33 @@ class Encoder:
         self._library.no_truncation()
         self._library.no_padding()
         split = spec["pre_tokenizer"] or {}
-        self._cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and spec["normalizer"] is None
+        cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and spec["normalizer"] is None
         self._special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
-        self._young, self._old = {}, {}
-
-    def _new(self, parts: set[str]) -> dict[str, bytes]:
-        """Encodings of parts that aren't young."""
-        known = {p: self._old[p] for p in parts if p in self._old}
-        fresh = [p for p in parts if p not in known]
-        for p, e in zip(fresh, self._library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(self._young) >= KEPT:
-            self._old, self._young = self._young, {}
-        self._young |= {p: b for p, b in known.items() if len(p) <= KEPT_CHARS}
-        return known
+        self._fast = self._same_merges(spec) if cuts else None
+
+    @staticmethod
+    def _same_merges(spec: dict):
+        """The vocabulary as ranks, if its ids are in the order of its merges; else None."""
+        import tiktoken
+
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        special = {x["content"] for x in spec["added_tokens"]}
+        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        ids = [vocab.get(a + b) for a, b in merges]
+        if None in ids or ids != sorted(ids) or len(ids) + len(byte_of) != len(vocab) or not all(c in byte_of for t in vocab for c in t):
+            return None
+        return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""), mergeable_ranks={bytes(byte_of[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if not self._cuts or self._special.search(text):
+        if not self._fast or self._special.search(text):
             return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out = []
         for part in cut(text, 1 << 20):
-            parts = cut(part)
-            found = list(map(self._young.get, parts))
-            if None in found:
-                new = self._new({p for p, b in zip(parts, found, strict=True) if b is None})
-                found = [new[p] if b is None else b for p, b in zip(parts, found, strict=True)]
-            out.append(b"".join(found))
+            if _ODD.search(part) or any(two in part for two in ("  ", " \n", "\n ", "\n\n")):
+                out += (np.array(e.ids, dtype="<u4").tobytes() for e in self._library.encode_batch_fast(cut(part, 1 << 12), add_special_tokens=False))
+            else:
+                out.append(np.array(self._fast.encode_ordinary(part), dtype="<u4").tobytes())
         return b"".join(out)
 
 
