@@ -1,18 +1,15 @@
-"""In-text citations with authors and a year, before which a comma stands.
+"""Forms of in-text citations with authors and a year, before which a comma stands; what a citation is.
 
-A table of rules, in order of priority, finds citations of one form each; the first rule that claims a span keeps it.
-Bundles, prose in parentheses and references back without a year follow, and last goes what lies within another one.
+Rules stand in order of priority: the first that claims a span keeps it. `operators.author_year` finds and decides.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from . import lexicons as words
-from .patterns import COMPOUND, COMPOUND_LIST, ET_AL, INITIALS, ORG, PAGES, SIGNAL, SURNAME, YEAR, YEAR_ANY, YEAR_ND, compiled
+from .patterns import COMPOUND, COMPOUND_LIST, ET_AL, INITIALS, ORG, PAGES, SIGNAL, SURNAME, YEAR, YEAR_ANY, YEAR_ND
 
 CONTEXT = 100
 PAREN, NARRATIVE = "parenthetical", "narrative"
@@ -53,96 +50,6 @@ def without_accents(text: str) -> str:
     return "".join([c for c in unicodedata.normalize("NFD", text) if not "̀" <= c <= "ͯ"])
 
 
-def normalize_text(text: str) -> str:
-    low = without_accents(decompose_ligatures(text.lower())).replace("`", "'")
-    return " ".join(re.sub("[.,;:]", "", low).split())
-
-
-def tidy(raw: str) -> str:
-    """One space where there is any, none inside parentheses' edges, one after commas and semicolons."""
-    out = re.sub(r"\s+", " ", raw)
-    out = re.sub(r"\s+\)", ")", re.sub(r"\(\s+", "(", out))
-    return re.sub(r"([,;])\s*", r"\1 ", out).strip()
-
-
-def split_year(year: str) -> tuple[str, str | None]:
-    if m := compiled(r"^(\d{4})([a-z])?$", "i").match(year):
-        return m[1], m[2].lower() if m[2] else None
-    return (year.lower(), None) if year.lower() in ("n.d.", "in press") else (year, None)
-
-
-def _bare(word: str) -> str:
-    return word.strip().lower().removesuffix(".")
-
-
-def is_month(word: str) -> bool:
-    return _bare(word) in words.MONTHS
-
-
-def is_connector(word: str) -> bool:
-    return _bare(word) in words.CONNECTORS
-
-
-def is_common(word: str) -> bool:
-    return word.lower() in words.NOT_AUTHORS
-
-
-def may_lead_org(word: str) -> bool:
-    bare = word.strip().lower().rstrip(".,")
-    return bool(bare) and not is_month(word) and bare not in words.NOT_ORG_LEADS | words.CONNECTORS | words.NOT_AUTHORS
-
-
-def is_acronym(name: str) -> bool:
-    return name.upper() in words.ORGANIZATIONS or bool(re.fullmatch("[A-Z]{2,}", name))
-
-
-def author(name: str, et_al: bool = False) -> Author:
-    name = name.strip()
-    acronym, low = is_acronym(name), name.lower()
-    key = re.sub(r"\s+(?:jr|sr|ii|iii|iv)\Z", "", normalize_text(name), flags=re.I)
-    return Author(name, key, et_al, acronym or any(w in low for w in words.ORG_WORDS), name.upper() if acronym else None)
-
-
-def organization(name: str, acronym: str | None = None) -> Author:
-    found = author(name)
-    found.is_organization = True
-    if acronym:
-        found.abbreviation = acronym.upper()
-    return found
-
-
-def classify(authors: list[Author]) -> str:
-    if any(a.is_et_al for a in authors):
-        return "et_al"
-    if len(authors) == 1 and authors[0].is_organization:
-        return "group" if authors[0].abbreviation else "group_full"
-    return {1: "single", 2: "two_authors"}.get(len(authors), "et_al")
-
-
-def split_authors(text: str) -> list[Author]:
-    """Authors of a string of names with an et al., colleagues, or & and and between them."""
-    for more in (r"^(.+?)\s*,?\s*et\s*\.?\s*al\.?$", r"^(.+?)\s+(?:and|&|with)\s+colleagues$"):
-        if m := compiled(more, "i").match(text):
-            return [author(m[1]), author("et al.", True)]
-    return [author(p) for p in compiled(r"\s*(?:&|(?<![A-Za-z])and(?![A-Za-z]))\s*", "i").split(text) if p.strip()]
-
-
-def split_list(text: str) -> list[str]:
-    return re.split(r"\s*,\s*", text)
-
-
-def bundles_of(text: str) -> Iterator[tuple[int, int, str]]:
-    """Start, end and inside of parentheses in which something stands before and after a semicolon.
-
-    They reach from the first opening one to the next closing one, so that one pass finds them.
-    """
-    start = text.find("(")
-    while start >= 0 and (end := text.find(")", start)) >= 0:
-        if text.rfind(";", start + 2, max(start + 2, end - 1)) >= 0:
-            yield start, end + 1, text[start + 1 : end]
-        start = text.find("(", end)
-
-
 @dataclass(frozen=True)
 class Rule:
     """pattern with groups; names: groups of one name each; listed: a group of names with commas; veto: what voids a match."""
@@ -229,199 +136,3 @@ PART_RULES = (
     Rule("one", rf"^{INITIALS}({COMPOUND})\s*,\s*({YEAR_ND})$", (1,), year=2, veto=("parts",)),
 )
 PART_ORG = rf"^({ORG})\s*,\s*({YEAR_ND})$"
-
-
-def authors_of(rule: Rule, m: re.Match) -> list[Author]:
-    if "parts" in rule.veto:
-        return split_authors(m[rule.names[0]])
-    if "org" in rule.veto:
-        return [organization(m[rule.names[0]])]
-    found = [author(n) for n in split_list(m[rule.listed])] if rule.listed else []
-    found += [author(m[g]) for g in rule.names]
-    return [*found, author("et al.", True)] if rule.et_al else found
-
-
-class Detector:
-    """Citations of one text."""
-
-    def __init__(self, text: str):
-        self.text, self.found, self._spans, self._used = text, [], set(), []
-
-    def add(self, start: int, end: int, raw: str, kind: str, style: str, authors: list[Author], year: str, suffix: str | None, around: tuple[int, int] | None = None, **more) -> None:
-        if (start, end) in self._spans:
-            return
-        self._spans.add((start, end))
-        a, b = around or (start, end)
-        context = self.text[max(0, a - CONTEXT) : b + CONTEXT]
-        self.found.append(Citation(raw, tidy(raw), kind, style, authors, year, suffix, start, end, context, **more))
-
-    def matches(self, pattern: str, flags: str = "") -> Iterator[re.Match]:
-        return compiled(pattern, flags).finditer(self.text)
-
-    def whole(self, m: re.Match, kind: str, authors: list[Author], year: str, style: str = PAREN, **more) -> None:
-        self.add(*m.span(), m[0], kind, style, authors, *split_year(year), **more)
-
-    def _void(self, rule: Rule, m: re.Match) -> bool:
-        lead = split_list(m[rule.listed])[0] if rule.listed else m[rule.names[0]]
-        tests: dict[str, Callable[[], bool]] = {
-            "used": lambda: any(a <= m.start() < b for a, b in self._used),
-            "connector": lambda: is_connector(lead),
-            "month": lambda: is_month(lead),
-            "common": lambda: is_common(lead),
-            "org": lambda: not may_lead_org(lead.split()[0]) or is_month(lead),
-        }
-        return any(tests[v]() for v in rule.veto if v in tests)
-
-    def apply(self, rule: Rule) -> None:
-        for m in self.matches(rule.pattern, "i" if rule.any_case else ""):
-            if not self._void(rule, m):
-                authors = authors_of(rule, m)
-                self.whole(m, rule.kind or classify(authors), authors, m[rule.year], rule.style, page_numbers=m[rule.page] if rule.page else None)
-
-    def groups(self) -> None:
-        for m in self.matches(SECONDARY, "i") if compiled(r"as\s+cited\s+in", "i").search(self.text) else ():
-            self.whole(m, "secondary", split_authors(m[3]), m[4], original_author=m[1].strip(), original_year=m[2])
-        for m in self.matches(GROUP_BRACKET):
-            self.whole(m, "group_full", [organization(m[1], m[2])], m[3])
-        for m in self.matches(GROUP_ACRONYM):
-            if len(m[1]) <= 10:
-                self.whole(m, "group", [organization(m[1], m[1])], m[2])
-        for m in self.matches(GROUP_NARRATIVE):
-            if names := words.organization_names(m[1]):
-                found = organization(m[1], m[1])
-                found.normalized = normalize_text(names[0])
-                self.whole(m, "group", [found], m[2], NARRATIVE)
-        for m in self.matches(GROUP_COLON):
-            if len(m[1]) <= 10:
-                self.whole(m, "group", [organization(m[1], m[1])], m[2])
-        for m in self.matches(GROUP_FULL, "i"):
-            self.whole(m, "group_full", [organization(m[1])], m[2])
-
-    def each_year(self, m: re.Match, years: int, raw: str, style: str, authors: list[Author], base: int = 0) -> None:
-        """A citation at each year of a group of a match, whose places count from `base`."""
-        for y in compiled(r"[^,\s]+").finditer(m[years]):
-            at = base + m.start(years)
-            self.add(at + y.start(), at + y.end(), raw, classify(authors), style, authors, *split_year(y[0]), around=(base + m.start(), base + m.end()))
-
-    def years_in_narrative(self) -> None:
-        for m in self.matches(YEARS_NARRATIVE):
-            second = compiled(r"^\s+and\s+(.+)$", "i").match(m[2] or "")
-            names = [m[1], *([second[1]] if second else [])]
-            if any(is_connector(n) or is_month(n) for n in names):
-                continue
-            more = [author("et al.", True)] if m[2] and not second else []
-            self._used.append(m.span())
-            self.each_year(m, 3, m[0], NARRATIVE, [*map(author, names), *more])
-        for m in self.matches(BRACKETED):
-            if not is_connector(m[1]) and not is_month(m[1]):
-                self._used.append(m.span())
-                self.whole(m, "et_al", [author(m[1]), author("et al.", True)], m[2], NARRATIVE)
-
-    def many_in_narrative(self) -> None:
-        for m in self.matches(MANY_NARRATIVE):
-            listed = [n for n in split_list(m[1]) if n]
-            names = listed
-            while names and is_connector(names[0]):
-                names = names[1:]
-            if not names:
-                continue
-            skip = max(0, m[0].find(names[0])) if len(names) < len(listed) else 0
-            authors = [author(n) for n in (*names, m[2])]
-            self.add(m.start() + skip, m.end(), m[0][skip:], classify(authors), NARRATIVE, authors, *split_year(m[3]))
-
-    def years_in_parentheses(self) -> None:
-        for m in self.matches(YEARS_PAREN, "i"):
-            if not is_connector(m[1]) and not is_month(m[1]):
-                self.each_year(m, 3, m[0], PAREN, [author(m[1]), *([author("et al.", True)] if m[2] else [])])
-
-    def bundles(self) -> None:
-        for start, end, inner in bundles_of(self.text):
-            if (start, end) in self._spans:
-                continue
-            at = start + 1
-            for part in map(str.strip, inner.split(";")):
-                for pattern, flags, new in STRIPS:
-                    part = compiled(pattern, flags).sub(new, part, count=1)
-                self._part(part, at)
-                at += len(part) + 2  # by what is left of the part, so that later ones may drift
-
-    def _part(self, part: str, at: int) -> None:
-        raw, span = f"({part})", (at, at + len(part))
-        if m := compiled(PART_COLON).match(part):
-            return self.add(*span, raw, "group", PAREN, [author(m[1])], *split_year(m[2]))
-        if m := compiled(PART_BRACKET).match(part):
-            return self.add(*span, raw, "group_full", PAREN, [organization(m[1], m[2])], *split_year(m[3]))
-        if (m := compiled(PART_YEARS, "i").match(part)) and not is_connector(m[1]) and not is_month(m[1]):
-            return self.each_year(m, 3, raw, PAREN, [author(m[1]), *([author("et al.", True)] if m[2] else [])], at)
-        for rule in PART_RULES:
-            if m := compiled(rule.pattern, "i").match(part):
-                authors = authors_of(rule, m)
-                return self.add(*span, raw, rule.kind or classify(authors), PAREN, authors, *split_year(m[rule.year]))
-        if (m := compiled(PART_ORG).match(part)) and may_lead_org(m[1].split()[0]) and not is_month(m[1]):
-            self.add(*span, raw, "group_full", PAREN, [organization(m[1])], *split_year(m[2]))
-        return None
-
-    def prose(self) -> None:
-        for outer in self.matches(PROSE):
-            if ";" in outer[1]:
-                continue
-            for m in compiled(IN_PROSE).finditer(outer[1]):
-                first = re.split(r"\s*(?:,|&|and)\s*", m[1], flags=re.I)[0].strip()
-                start, end = outer.start() + 1 + m.start(), outer.start() + 1 + m.end()
-                if is_connector(first) or is_month(first) or is_common(first) or any(start < c.end and c.start < end for c in self.found):
-                    continue
-                names = compiled(r"\s*(?:,|&|(?<![A-Za-z])and(?![A-Za-z]))\s*", "i").split(m[1])
-                authors = [author(n) for n in names if n.strip()] + ([author("et al.", True)] if m[2] else [])
-                self.add(start, end, f"({m[0]})", classify(authors), PAREN, authors, *split_year(m[3]))
-
-    def without_year(self) -> None:
-        """A page reference without a year takes that of the last found earlier citation of its first author, or the first."""
-        dated: dict[str, list[Citation]] = {}
-        for c in self.found:
-            if compiled(r"^\d{4}$").match(c.year):
-                dated.setdefault(c.authors[0].normalized.lower() if c.authors else "", []).append(c)
-        for m in self.matches(WITHOUT_YEAR):
-            same = dated.get(m[1].lower())
-            if same and not (is_connector(m[1]) or is_month(m[1]) or compiled(r"\b(?:19|20)\d{2}\b").search(m[0])):
-                source = next((c for c in reversed(same) if c.start < m.start()), same[0])
-                authors = [author(n) for n in (m[1], m[2]) if n]
-                self.add(*m.span(), m[0], classify(authors), PAREN, authors, source.year, source.year_suffix)
-
-    def apart(self) -> list[Citation]:
-        """In order of place, without those strictly inside another one with other authors or year."""
-        ordered = sorted(self.found, key=lambda c: c.start)
-        key = lambda c: ("+".join(a.normalized for a in c.authors), c.year, c.year_suffix or "")
-        inside = lambda c, o: o.start <= c.start and o.end >= c.end and o.end - o.start > c.end - c.start and key(o) != key(c)
-        out = []
-        widest = max((c.end - c.start for c in ordered), default=0)
-        for i, c in enumerate(ordered):
-            near = []
-            for j in range(i - 1, -1, -1):
-                if ordered[j].start < c.start - widest:
-                    break
-                near.append(ordered[j])
-            for o in ordered[i + 1 :]:
-                if o.start > c.start:
-                    break
-                near.append(o)
-            if not any(inside(c, o) for o in near):
-                out.append(c)
-        return out
-
-
-def detect(text: str) -> list[Citation]:
-    d = Detector(text)
-    if "(" not in text:  # all forms have one
-        return []
-    d.groups()
-    for rule in FIRST_RULES:
-        d.apply(rule)
-    d.years_in_narrative()
-    d.many_in_narrative()
-    for rule in RULES:
-        d.apply(rule)
-    d.years_in_parentheses()
-    d.bundles()
-    d.prose()
-    d.without_year()
-    return d.apart()

@@ -1,15 +1,18 @@
 """Styles, in-text citations and references of documents, as rows.
 
-Each takes rows of (doc_id, text); null texts are empty. Every document is worked on alone, so that no shuffle occurs.
+Each takes rows of (doc_id, text); null texts are empty. Every document is worked on alone; only the matches of author-year
+forms are exchanged, to bring those of a document together.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..functions import author_year, numeric, plain_author_year, reference_fields, reference_list, style
+from ..functions import numeric, reference_fields, reference_list, style
+from . import author_year
 from .lift import flat_map
 
 CITATION = (
@@ -26,19 +29,15 @@ REFERENCE = (
 FAMILIES = ("comma", "plain", "numeric")
 
 
-def family_of(name: str) -> str:
+def family_of(name: Column) -> Column:
     """The family of in-text forms that a style uses."""
-    return "numeric" if name in style.NUMERIC_STYLES else "plain" if name in style.PLAIN_STYLES else "comma"
+    return F.when(name.isin(*style.NUMERIC_STYLES), "numeric").when(name.isin(*style.PLAIN_STYLES), "plain").otherwise("comma")
 
 
-def citations_of(text: str, family: str, references: int | None = None) -> list[author_year.Citation]:
-    if family == "numeric":
-        return numeric.detect(text, references)
-    return plain_author_year.detect(text) if family == "plain" else author_year.detect(text)
-
-
-def citation_rows(found: list[author_year.Citation]) -> list[dict]:
-    return [{"cit_idx": i, **asdict(c)} for i, c in enumerate(found)]
+def numbered_citations(docs: DataFrame, key: str, text: str, limit: str | None = None) -> DataFrame:
+    """Citations by number; limit: a column with the place of the reference list, from which on other rules hold."""
+    make = lambda t, start=None: [{"cit_idx": i, **asdict(c)} for i, c in enumerate(numeric.detect(t, start))]
+    return flat_map(docs, key, [text, *([limit] if limit else [])], make, CITATION)
 
 
 def reference_row(i: int, r: reference_fields.Reference) -> dict:
@@ -60,7 +59,9 @@ def detect_citations(docs: DataFrame, family: str = "comma", key: str = "doc_id"
     """Citations of one family of forms, in order of place (cit_idx from 0). Numeric ones are taken from the whole text."""
     if family not in FAMILIES:
         raise ValueError(f"family is one of {FAMILIES}")
-    return flat_map(docs, key, [text], lambda t: citation_rows(citations_of(t, family)), CITATION)
+    if family == "numeric":
+        return numbered_citations(docs, key, text)
+    return (author_year.plain_citations if family == "plain" else author_year.comma_citations)(docs, key, text)
 
 
 def section_starts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

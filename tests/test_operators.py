@@ -124,6 +124,9 @@ def test_rules(spark):
 def test_streams_give_what_batches_give(spark, tmp_path):
     docs = spark.createDataFrame([(1, APA), (2, None)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
-    query = stream_citations(stream_documents(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("cited").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert spark.table("cited").count() == detect.detect_citations(docs).count() > 0
+    keep = lambda found, number: found.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={number}"))
+    query = stream_citations(stream_documents(spark, str(tmp_path / "in")), keep).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None
+    cited = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    assert sorted(map(str, cited.collect())) == sorted(map(str, detect.detect_citations(docs).collect())) and cited.count() > 0
