@@ -38,6 +38,12 @@ def organization_names(acronym: Column) -> Column:
     return F.try_element_at(names, F.upper(acronym))
 
 
+def organization_acronym(name: Column) -> Column:
+    """The acronym of a body that reference lists know by its full name, whatever its case; null for others."""
+    known = F.create_map(*(F.lit(x) for pair in lexicons.ACRONYM_OF.items() for x in pair))
+    return F.try_element_at(known, F.lower(name))
+
+
 def _spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, jvm(r"\s+"), " "))
 

@@ -70,19 +70,23 @@ def _hint(pattern: str, flags: str) -> str:
 
 
 def _steps(text: Column, pattern: str, flags: str) -> Column:
-    """gap (characters since the last match) and raw of all matches of a long text; null without any.
+    """gap (characters since the last match) and raw of all matches; null without any.
 
-    They are marked in the text, which is then cut at the marks.
+    They are marked in the text, in one run, which is then cut at the marks.
     """
-    sought = jvm(_hint(pattern, flags) + pattern, flags)
-    pieces = F.split(F.regexp_replace(text, sought, f"{_OPEN}$0{_SHUT}"), _SHUT, -1)
-    cut = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.struct((F.instr(p, _OPEN) - 1).alias("gap"), F.substring(p, F.instr(p, _OPEN) + 1, F.length(p)).alias("raw")))
-    return F.when(F.rlike(text, F.lit(sought)), F.when(F.rlike(text, F.lit(f"[{_OPEN}{_SHUT}]")), _turns(text, pattern, flags)).otherwise(cut))
+    step = lambda p, at: F.struct((at - 1).alias("gap"), F.substring(p, at + 1, F.length(p)).alias("raw"))
+    cut = lambda m: F.transform(F.slice(m, 1, F.size(m) - 1), lambda p: step(p, F.instr(p, _OPEN)))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731 (a value that is used more than once is made once)
+    marked = F.regexp_replace(text, jvm(_hint(pattern, flags) + pattern, flags), f"{_OPEN}$0{_SHUT}")
+    steps = once(marked, lambda m: F.when(F.contains(m, F.lit(_SHUT)), once(F.split(m, _SHUT, -1), cut)))
+    turns = once(_turns(text, pattern, flags), lambda t: F.when(F.size(t) > 0, t))
+    return F.when(F.rlike(text, F.lit(f"[{_OPEN}{_SHUT}]")), turns).otherwise(steps)
 
 
 def inside(text: Column, pattern: str, flags: str = "") -> Column:
     """start and raw of the matches in a short text."""
-    return _summed(_turns(text, pattern, flags), F.lit(0))
+    none = F.array().cast("array<struct<gap: int, raw: string>>")
+    return _summed(F.coalesce(_steps(text, pattern, flags), none), F.lit(0))
 
 
 def named(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
