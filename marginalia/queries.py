@@ -172,6 +172,22 @@ def _references(style: str):
     return query, sql
 
 
+#: Works of a document whose list is long enough to be tried with other styles, if its own style reads it badly.
+_MANY = 7
+
+
+def references_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in one style that are taken for another one, which reads none of their entries: the style that reads most is used."""
+    found = works(spark, sf_dir)
+    long = found.join(found.groupBy("doc_id").count().where(F.col("count") >= _MANY).select("doc_id"), "doc_id", "left_semi")
+    read = detect.parse_references(documents(long, "apa").withColumn("style", F.lit("ieee")), "style")
+    return read.select("doc_id", F.col("ref_idx").cast("long"), F.array_join("all_authors", "|").alias("authors"), "year", "volume", "pages")
+
+
+REFERENCES_FALLBACK_SQL = f"""SELECT doc_id, n - 1 AS ref_idx, concat_ws('|', a1, a2, a3) AS authors, year, '12' AS volume, '45-67' AS pages
+    FROM ({ORDERED_SQL}) WHERE doc_id IN (SELECT doc_id FROM ({WORKS_SQL}) GROUP BY doc_id HAVING count(*) >= {_MANY})"""
+
+
 def _run_on(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = ordered(works(spark, sf_dir)).select("doc_id", "n", entry("harvard_short" if kind == "harvard" else kind).alias("e"))
@@ -340,10 +356,37 @@ NAMES_NORMALIZED_SQL = f"""
            'dr asa łø-' || lower({corpus.surname_sql("c_custkey")}) || ' ß ' || lower(c_mktsegment) AS text_key FROM customer"""
 
 
-def _lexicon(known: dict[str, list[str]]):
-    rows = [(a, n) for a, names in known.items() for n in names]
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    return lambda spark, sf_dir: spark.createDataFrame(rows, "acronym string, name string"), "SELECT * FROM (VALUES " + ", ".join(f"({quoted(a)}, {quoted(n)})" for a, n in rows) + ") AS t(acronym, name)"
+def _values(rows: list[tuple[int, str, str]]) -> str:
+    quoted = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+def _named(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """A name for each order line, in capitals for every other supplier, in small letters for the others."""
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % len(names) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.when(F.col("l_suppkey") % 2 == 0, F.upper(name)).otherwise(F.lower(name)).alias("cited"))
+
+
+def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often bodies that order lines name by their acronym are named, by each of their full names."""
+    found = _named(spark, sf_dir, [*lexicons.ORGANIZATIONS]).select(F.upper("cited").alias("acronym"), F.explode(columns.organization_names(F.col("cited"))).alias("name"))
+    return found.groupBy("acronym", "name").agg(F.count("*").alias("n_cited"))
+
+
+def reference_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often bodies that order lines name in full are named, by the acronym that reference lists know."""
+    found = _named(spark, sf_dir, [n for names in lexicons.REFERENCE_ORGANIZATIONS.values() for n in names])
+    return found.select(columns.organization_acronym(F.col("cited")).alias("acronym"), F.lower("cited").alias("name")).groupBy("acronym", "name").agg(F.count("*").alias("n_cited"))
+
+
+ORGANIZATIONS_SQL = f"""
+    SELECT acronym, name, CAST(count(*) AS BIGINT) AS n_cited FROM lineitem
+    JOIN (VALUES {_values([(i, a, n) for i, (a, names) in enumerate(lexicons.ORGANIZATIONS.items()) for n in names])}) AS t(i, acronym, name)
+      ON l_partkey % {len(lexicons.ORGANIZATIONS)} = i GROUP BY acronym, name"""
+_FULL_NAMES = [(a, n) for a, names in lexicons.REFERENCE_ORGANIZATIONS.items() for n in names]
+REFERENCE_ORGANIZATIONS_SQL = f"""
+    SELECT acronym, lower(name) AS name, CAST(count(*) AS BIGINT) AS n_cited FROM lineitem
+    JOIN (VALUES {_values([(i, a, n) for i, (a, n) in enumerate(_FULL_NAMES)])}) AS t(i, acronym, name) ON l_partkey % {len(_FULL_NAMES)} = i GROUP BY acronym, lower(name)"""
 
 
 # --- rules
@@ -468,8 +511,8 @@ _PLAIN = {
     "citations_numeric": (citations_numeric, CITATIONS_NUMERIC_SQL), "number_ranges": (number_ranges, NUMBER_RANGES_SQL), "styles": (styles, STYLES_SQL),
     "reference_sections": (reference_sections, REFERENCE_SECTIONS_SQL), "matches": (matches, MATCHES_SQL), "match_statistics": (match_statistics, MATCH_STATISTICS_SQL),
     "analysis_statistics": (analysis_statistics, ANALYSIS_STATISTICS_SQL), "matches_numeric": (matches_numeric, MATCHES_NUMERIC_SQL), "name_scores": (name_scores, NAME_SCORES_SQL),
-    "year_scores": (year_scores, YEAR_SCORES_SQL), "names_normalized": (names_normalized, NAMES_NORMALIZED_SQL), "organizations": _lexicon(lexicons.ORGANIZATIONS),
-    "reference_organizations": _lexicon(lexicons.REFERENCE_ORGANIZATIONS), "violations_references": (violations_references, f"{_RULE_SQL} {_REFERENCE_RULES}"),
+    "year_scores": (year_scores, YEAR_SCORES_SQL), "names_normalized": (names_normalized, NAMES_NORMALIZED_SQL), "organizations": (organizations, ORGANIZATIONS_SQL),
+    "reference_organizations": (reference_organizations, REFERENCE_ORGANIZATIONS_SQL), "references_fallback": (references_fallback, REFERENCES_FALLBACK_SQL), "violations_references": (violations_references, f"{_RULE_SQL} {_REFERENCE_RULES}"),
     "violations_citations": (violations_citations, f"{_RULE_SQL} {_CITATION_RULES}"), "violations_pairs": (violations_pairs, VIOLATIONS_PAIRS_SQL),
     "violations_parts": (violations_parts, f"{_RULE_SQL} SELECT id, {_PART} AS part, code FROM ({_REFERENCE_RULES})"),
     "violation_counts": (violation_counts, f"""{_RULE_SQL}, f AS ({_REFERENCE_RULES.replace("SELECT id", "SELECT doc_id, id")}) SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors,
