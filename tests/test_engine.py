@@ -26,6 +26,13 @@ def test_the_analysis_reads_texts_once(spark):
     assert {r["doc_id"]: r["has_reference_section"] for r in found.styles.collect()} == {1: True, 2: False}
 
 
+def test_headers_are_weighed_in_linear_time():
+    text = "\nReferences\n(2001) some text here " * 7_000
+    began = time.perf_counter()
+    assert reference_list.section_start(text) is not None
+    assert time.perf_counter() - began < 3
+
+
 def test_rows_of_one_key_are_documents_of_their_own(spark):
     """Neither citations nor references of rows with one key meet those of another."""
     texts = [f"so ({name}, 2001) said.\n\nReferences\n{name}, B. (2001). A first study of it. Journal of Themes, 1(2), 3-4.\n" for name in ("Adler", "Benson")]
