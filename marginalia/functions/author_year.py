@@ -109,7 +109,7 @@ GROUP_FULL = (
     rf"\s*,\s*({YEAR_ND})\s*\)"
 )
 YEARS = rf"(?:{YEAR})(?:\s*,\s*{YEAR})"
-YEARS_NARRATIVE = rf"\b({SURNAME})(\s+{ET_AL}|\s+and\s+{COMPOUND})?\s+\(({YEARS}+)\)"
+YEARS_NARRATIVE = rf"\b({SURNAME})(\s+{ET_AL}|\s+and\s+{COMPOUND})?\s+\(({YEARS}++)\)"
 BRACKETED = rf"\b({SURNAME})\s+{ET_AL}\s+\[{SURNAME},\s*[A-Z]\.[^\]]*?\(({YEAR})\)"
 MANY_NARRATIVE = rf"\b({COMPOUND_LIST})\s*,?\s+and\s+({COMPOUND})\s+\(({YEAR_ND})\)"
 YEARS_PAREN = rf"{_P}({COMPOUND})\s*(,?\s+{ET_AL})?\s*,\s*({YEARS}{{1,8}})\s*\)"

@@ -56,7 +56,7 @@ INITIALS = r"(?:[A-Z]\.\s*){0,3}"
 ORG = r"[A-Z][\w.'’\-]*(?:\s+[A-Z][\w.'’\-]*){1,5}"
 
 # The grammar of the family without a comma before the year.
-PLAIN_CORE = r"[A-ZÀ-Ÿ][a-zà-ÿā-ž']+(?:-[A-Za-zÀ-ÿ][a-zà-ÿā-ž']*)*"
+PLAIN_CORE = r"[A-ZÀ-Ÿ][a-zà-ÿā-ž']+(?:-[A-Za-zÀ-ÿ][a-zà-ÿā-ž']*)*+"
 PLAIN_GAP = r"(?:[^\S\r\n]+(?:\r?\n[^\S\r\n]*)?|\r?\n[^\S\r\n]*)"
 PLAIN_CAPITAL = r"(?:El|Van|Von|De|Del|Della|Den|Der|Des|Di|Da|Das|Dos|Du|La|Le|Lo|Las|Los|San|Santa|Santos|Saint|St|Mac|Mc|Ten|Ter)"
 PLAIN_SMALL = r"(?:van|von|de|del|della|den|der|des|di|da|das|do|dos|du|la|le|lo|las|los|el|al|y|e|ten|ter)"

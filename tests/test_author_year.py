@@ -53,6 +53,10 @@ PLAIN = [
     ("Hansen's (2003) view; Lee and Ito (2004)", [("single", ["Hansen"], "2003", None), ("two_authors", ["Lee", "Ito"], "2004", None), ]),
     ("However (2003)", []),
 ]
+# neither long lists nor long chains need a stack
+PLAIN.append(("(" + "Smith, " * 3_000 + "Lee and Ito 2020)", [("two_authors", ["Smith"] * 3_000 + ["Lee", "Ito"], "2020", None)]))
+PLAIN.append(("(Abc" + "-d" * 3_000 + " 2020)", [("single", ["Abc" + "-d" * 3_000], "2020", None)]))
+COMMA.append(("Lee (2001" + ", 2002" * 2_000 + ")", [("single", ["Lee"], "2001", None)] + [("single", ["Lee"], "2002", None)] * 2_000))
 PLACED = "x" * 150 + " (Smith, 2020) " + "y" * 150
 SHARED = "(Smith, 2020) (Lee & Ito, 2001; Smith, 2020a) Smith (2020) and Lee et al. (1999, 2000)."
 LONG = "é" * 9_000 + "(Smith, 2020)" + "𝕏 " * 9_000 + "Lee (2001)" + " z" * 5_000
