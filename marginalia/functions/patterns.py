@@ -84,3 +84,8 @@ def jvm(pattern: str, flags: str = "") -> str:
     """The pattern for the JVM, with Unicode white space."""
     body = ascii_classes(pattern)
     return "(?U" + ("iu" if "i" in flags else "") + ("m" if "m" in flags else "") + ")" + (body if "m" in flags else body.replace("$", r"\z"))
+
+
+def at_once(pattern: str) -> str:
+    """A list of numbers for the JVM whose repeats give nothing back: alike, as what follows one can't be a part of it."""
+    return re.sub(r"(\\[ds](?:[*+]|\{\d,\d\})|\)[*?])", r"\1+", pattern)

@@ -1,13 +1,7 @@
-"""The citation style of a text, from counts of forms in it and in its reference list."""
+"""Citation styles, and the forms by whose counts they are told apart."""
 
 from __future__ import annotations
 
-import re
-from typing import NamedTuple
-
-from .numeric import MEASURE_BEFORE, STATISTIC_BEFORE, unbalanced
-from .patterns import LABEL_WORD, NUMBERS, STYLE_LABEL_BEFORE, compiled
-
 AUTHOR_YEAR, NUMERIC = "author-year", "numeric"
 NUMERIC_STYLES = ("vancouver", "ieee", "nature", "ama")
 PLAIN_STYLES = ("harvard", "asa", "chicago-ad")
@@ -22,141 +16,9 @@ FULL_NAMES = rf"{_NAME},\s+[A-ZÀ-Ÿ][a-zà-ÿā-ž]{{2,}}"
 CHICAGO_VOLUME, ASA_VOLUME = r"\d+\s+\(\d+\)\s*:\s+\d", r"\d+\(\d+\):\d"
 VANCOUVER_AUTHOR = rf"{_NAME}\s+[A-Z]{{1,4}}[,;.]"
 IEEE_AUTHOR = r"(?:\[\d+\]|\d+\.)\s*[A-Z]\.\s*(?:[A-Z]\.\s*)*[A-Z][a-z]"
+NUMBERED_LINE, LINE = r"^\s*(?:\d+\.\s|\[\d+\]\s)", r"^\s*\S"
+FIRST_ENTRY, LINE_NUMBER = r"(?:^|\n)(1\.\s)", r"(?:^|\n)\s*(\d+)\.\s"
+GLUED = r"\d{1,3}(?:[,–-]\d{1,3})*"
+STATISTIC_AT_END = r"[tFrpzZχ]\s*\([^)]*\)$"
 BARE_YEAR = r"[A-Za-z)]\.{0,2}\s+(?:19|20)\d{2}[a-z]?\.\s+[A-Z\"'“”‘’]"
 YEAR_AT_END = r"\((?:19|20)\d{2}[a-z]?\)\.(?:\s*$|\s+(?:https?:|doi[.:]|10\.\d))"
-
-
-class Style(NamedTuple):
-    style: str
-    paradigm: str
-    confidence: float
-
-
-class Signals(NamedTuple):
-    brackets: int
-    raised: int
-    glued: int
-    parentheses: int
-    comma: int
-    plain: int
-    numbered: bool
-    vancouver: bool
-    ieee: bool
-    bare_year: bool
-    year_at_end: bool
-    full_names: bool
-    chicago: bool
-
-
-def _count(pattern: str, text: str, flags: str = "") -> int:
-    return sum(1 for _ in compiled(pattern, flags).finditer(text))
-
-
-def list_start(text: str) -> int:
-    """Where a reference list begins: at its header, or at a numbered list in the last two fifths; -1 without."""
-    if m := compiled(HEADER, "i").search(text):
-        return m.start()
-    tail_at = int(len(text) * 0.6)
-    tail = text[tail_at:]
-    if m := compiled(r"(?:^|\n)(1\.\s)", "m").search(tail):
-        after = tail[m.start() : m.start() + 500]
-        if compiled(r"\n2\.\s").search(after) and compiled(r"\n3\.\s").search(after):
-            return tail_at + m.start()
-    return -1
-
-
-def numbered_list(text: str, start: int) -> bool:
-    if start < 0:
-        return False
-    part = text[start : start + 2000]
-    numbered, lines = _count(r"^\s*(?:\d+\.\s|\[\d+\]\s)", part, "m"), _count(r"^\s*\S", part, "m")
-    if lines > 2 and numbered >= 5 and numbered / lines > 0.2:
-        return True
-    numbers = [int(m[1]) for m in compiled(r"(?:^|\n)\s*(\d+)\.\s", "m").finditer(part)]
-    return len(numbers) >= 5 and numbers[:8] == list(range(1, len(numbers[:8]) + 1))
-
-
-def _glued(body: str) -> int:
-    count = 0
-    for m in compiled(r"([a-z.)\"])(\d{1,3}(?:[,–-]\d{1,3})*)").finditer(body):
-        start, mark = m.start(), m[1]
-        last = body[start - 1] if start else ""
-        if not 0 < int(compiled(r"^\d+").match(m[2])[0]) <= 300 or (last and last in "0123456789=") or body[m.end() : m.end() + 1] == "%":
-            continue
-        if mark == "." and last and re.match(r"[\s=(<,]", last):
-            continue
-        word = compiled(r"([A-Za-z]+)[.)\"]*$").search(body[max(0, start - 30) : start + 1])
-        if word and (compiled(LABEL_WORD, "i").match(word[1]) or re.search("[A-Z]{2}", word[1])):
-            continue
-        if mark == ")" and start > 1 and compiled(r"[tFrpzZχ]\s*\([^)]*\)$").search(body[max(0, start - 40) : start + 1]):
-            continue
-        count += 1
-    return count
-
-
-def _parentheses(body: str) -> int:
-    count = 0
-    for m in compiled(rf"\(({NUMBERS})\)").finditer(body):
-        numbers, before = [int(n) for n in re.findall("[0-9]+", m[1])], body[max(0, m.start() - 30) : m.start()]
-        void = (
-            (len(numbers) == 1 and 1800 <= numbers[0] <= 2099) or min(numbers) > 300 or compiled(STYLE_LABEL_BEFORE, "i").search(before)
-            or compiled(STATISTIC_BEFORE).search(before) or compiled(r"\d\s*$").search(before) or compiled(MEASURE_BEFORE, "i").search(before)
-            or body[m.end() : m.end() + 1] == "%" or unbalanced(body, m.start())
-        )
-        count += not void
-    return count
-
-
-def signals(text: str) -> Signals:
-    header = compiled(HEADER, "i").search(text)
-    headed = header.start() if header else -1
-    start = list_start(text)
-    listed = text[start : start + 3000] if start >= 0 else ""
-    brackets = sum(not compiled(STYLE_LABEL_BEFORE, "i").search(text[max(0, m.start() - 30) : m.start()]) for m in compiled(rf"\[({NUMBERS})\]").finditer(text))
-    raised = sum(bool(m.start() and re.match("[a-zA-Z.]", text[m.start() - 1])) for m in compiled(RAISED).finditer(text))
-    glued = _glued(text[:headed] if headed > 0 else text)
-    few = brackets + raised + glued < 3
-    return Signals(
-        brackets, raised, glued, _parentheses(text[:headed] if headed > 0 else text[: int(len(text) * 0.7)]) if few else 0,
-        _count(COMMA_YEAR, text, "i"), _count(PLAIN_YEAR, text, "i"), numbered_list(text, start), _count(VANCOUVER_AUTHOR, listed) >= 3,
-        _count(IEEE_AUTHOR, listed) >= 2, _count(BARE_YEAR, listed) >= 3, _count(YEAR_AT_END, listed, "m") >= 3,
-        _count(FULL_NAMES, listed) >= 3, _count(CHICAGO_VOLUME, listed) > _count(ASA_VOLUME, listed),
-    )
-
-
-def decide(s: Signals) -> Style:
-    soft_raised, dated, hard = s.raised + s.glued, s.comma + s.plain, s.brackets + s.raised
-    total = s.brackets + soft_raised + s.parentheses
-    numeric = (
-        (hard >= 3 and hard > dated * 3 and dated < 3)
-        or (dated == 0 and hard >= 3)
-        or (dated == 0 and total >= 3 and (hard > 0 or s.numbered))
-        or (dated == 0 and s.numbered)
-    )
-
-    def found(style: str, cap: float, base: float, part: int, of: int, weight: float) -> Style:
-        return Style(style, NUMERIC if style in NUMERIC_STYLES else AUTHOR_YEAR, min(cap, base + part / max(of, 1) * weight))
-
-    if numeric and total > dated:
-        if s.ieee:
-            return found("ieee", 0.95, 0.6, s.brackets, total, 0.35)
-        if (s.raised if s.brackets >= 5 else soft_raised) > s.brackets:
-            if s.year_at_end:
-                return found("nature", 0.95, 0.6, soft_raised, total, 0.35)
-            return found("ama", 0.9, 0.5, soft_raised, total, 0.35) if s.vancouver else found("nature", 0.85, 0.5, soft_raised, total, 0.3)
-        if s.vancouver or s.numbered:
-            return found("vancouver", 0.95, 0.6, s.brackets, total, 0.35)
-        return found("vancouver", 0.85, 0.5, s.brackets, total, 0.3)
-    if s.bare_year:
-        if s.plain <= s.comma:
-            return found("aom", 0.85, 0.5, dated, dated, 0.3)
-        if not s.full_names:
-            return found("asa", 0.8, 0.5, s.plain, dated, 0.25)
-        return found("chicago-ad", 0.9, 0.55, s.plain, dated, 0.3) if s.chicago else found("asa", 0.85, 0.5, s.plain, dated, 0.3)
-    if s.plain > s.comma and s.plain >= 3:
-        return found("harvard", 0.95, 0.6, s.plain, dated, 0.35)
-    return found("apa", 0.95, 0.6, s.comma, dated, 0.35)
-
-
-def detect_style(text: str) -> Style:
-    return decide(signals(text))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, reference_fields, reference_list, style
 from . import author_year
+from .style import styled
 from .lift import flat_map
 
 CITATION = (
@@ -52,7 +53,7 @@ def reference_row(i: int, r: reference_fields.Reference) -> dict:
 
 def detect_styles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Style, paradigm and confidence of each document."""
-    return flat_map(docs, key, [text], lambda t: [style.detect_style(t)._asdict()], "style string, paradigm string, confidence double")
+    return styled(docs, key, text).drop("_text")
 
 
 def detect_citations(docs: DataFrame, family: str = "comma", key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from marginalia.functions import numeric, reference_fields, reference_list, style
+from marginalia.functions import numeric, reference_fields, reference_list
 
 
 def test_names_as_keys():
@@ -53,13 +53,6 @@ VANCOUVER = (
 )
 
 
-def test_styles():
-    assert style.detect_style(APA)[:2] == ("apa", "author-year")
-    assert style.detect_style(VANCOUVER)[:2] == ("vancouver", "numeric")
-    assert style.detect_style("(Smith 2020) (Lee 2001) (Ito 1999)")[0] == "harvard"
-    assert style.detect_style("") == ("apa", "author-year", 0.6)
-
-
 def test_sections_end_where_other_matter_begins():
     found = reference_list.section(APA + "\nAppendix\nsome prose that is not an entry\n")
     assert found.endswith("9-19.") and reference_list.section_start(APA) == APA.index("\n\nReferences")
