@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -65,6 +66,32 @@ def test_counts_follow_edits():
             assert (tree.text, tree.tokens) == (text, count(text))
 
 
+def test_edits_in_one_pass_are_edits_one_by_one():
+    """Touching, empty and unsorted edits; trees stay right for further edits. Overlapping ones are still defined."""
+    encoding = edit_counts.encoding(RANKS, public_tokenizers.PATTERN)
+    count, rng, signs = edit_counts.Counter(lambda s: len(encoding.encode_ordinary(s))), random.Random(6), ["a", "word", " ", "  ", "\n", ".", "12", "é", "\t", "x y"]
+    for _ in range(600):
+        text = "".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 10, 60])))
+        places = sorted(rng.randrange(len(text) + 1) for _ in range(2 * rng.choice([0, 1, 2, 6])))
+        edits = [(a, b, "".join(rng.choice(signs) for _ in range(rng.choice([0, 0, 1, 5])))) for a, b in zip(places[::2], places[1::2], strict=True)]
+        tree, single = (edit_counts.CountTree(text, count, size) for size in (rng.choice([1, 4, 16]), 1))
+        for e in reversed(sorted(edits)):
+            single.replace(*e)
+        tree.apply(rng.sample(edits, len(edits)))
+        assert tree.text == single.text and tree.tokens == single.tokens == len(encoding.encode_ordinary(tree.text))
+        tree.apply([(0, 0, "so "), (0, len(tree.text), " it"), (0, 1, "")])
+        assert tree.tokens == len(encoding.encode_ordinary(tree.text))
+
+
+def test_many_edits_take_linear_time():
+    encoding = edit_counts.encoding(RANKS, public_tokenizers.PATTERN)
+    text = "see mail someone@example.org and go on there ok. " * 40_000
+    for new in ("[removed]", "more words than there were"):
+        tree, start = edit_counts.CountTree(text, edit_counts.Counter(lambda s: len(encoding.encode_ordinary(s)))), time.time()
+        tree.apply([(i * 49 + 9, i * 49 + 28, new) for i in range(40_000)])
+        assert time.time() - start < 10 and tree.tokens == len(encoding.encode_ordinary(tree.text))
+
+
 def test_an_edit_encodes_its_surroundings_only():
     encoding = edit_counts.encoding(RANKS, public_tokenizers.PATTERN)
     text = "some words here and there " * 4000
