@@ -152,6 +152,11 @@ def validate_references(references: DataFrame, keep: Iterable[str] = ("id",), pa
     return violations(references, keep, [r for part in (rules if parts is None else parts) for r in rules[part]])
 
 
+def validate_both(rows: DataFrame, keep: Iterable[str] = ("id",)) -> DataFrame:
+    """All checks of rows that hold a reference and a citation, in one pass: rows of a group stay where they are."""
+    return violations(rows, keep, [*(r for rules in reference_rules().values() for r in rules), *citation_rules()])
+
+
 def validate_pairs(pairs: DataFrame, keep: Iterable[str] = ("id",)) -> DataFrame:
     """Of rows with id (of the reference), citation_text and raw_text: years that differ."""
     cited, listed = F.regexp_extract("citation_text", "[0-9]{4}", 0), F.regexp_extract("raw_text", r"\(([0-9]{4})\)", 1)

@@ -83,3 +83,11 @@ def test_queries_take_each_text_once(spark, tmp_path):
         found = queries()[name](spark, str(tmp_path))
         assert n is None or found.count() == n
         assert "sha2" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_of_all_parts_are_one_pass(spark, tmp_path):
+    """Each part read the works again, and the two kinds of rules met by document in an exchange of their texts."""
+    spark.createDataFrame([(1, 1, 1)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("violations_parts", "violation_types"):
+        plan = queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 1, name
