@@ -6,21 +6,28 @@ of papers, or texts of single citations and entries. Where all texts differ an o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What names a text, and the further inputs that belong to it.
 SAME = "_same"
+#: What names the columns that a text is made of.
+MADE = "_made"
 
 
 def digest(text: str, *more: str) -> Column:
     """What equal texts (null: empty) with equal further inputs have in common."""
-    of = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    of = _hashed(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return F.struct(of.alias("text"), *more) if more else of
 
 
+def _hashed(text: Column) -> Column:
+    # never null, or a join on it would first test that it isn't: down at the scan, for which texts are made once more
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+
+
 def different(docs: DataFrame, text: str, *more: str) -> DataFrame:
     """Each different text (null: empty) once, with its digest and further inputs."""
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text), *more).distinct()
@@ -31,3 +38,17 @@ def once(docs: DataFrame, key: str, text: str, run: Callable[[DataFrame, str], D
     """The rows that run gives for texts (a frame and the name of its key), for each row of docs with its key."""
     found = run(different(docs, text, *more), SAME)
     return docs.select(key, digest(text, *more).alias(SAME)).join(found, SAME).drop(SAME)
+
+
+def once_made(rows: DataFrame, key: str, made_of: Sequence[str], given: dict[str, Column], run: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """As once, for texts that are made of columns: given (the text, then further inputs) is made once for each of their values.
+
+    Rows meet what was found by these values, and by a digest of them where they hold arrays. No row's text is made for that.
+    """
+    plain = not any(rows.schema[c].dataType.simpleString().startswith("array") for c in made_of)
+    of = F.struct(*made_of) if plain else _hashed(F.to_json(F.struct(*made_of)))
+    # the filter keeps Spark from taking this for a part of the distinct texts that follow, for which it would make all rows' texts
+    values = rows.groupBy(*made_of).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
+    texts = values.select(of.alias(MADE), *(c.alias(n) for n, c in given.items()))
+    text, *more = given
+    return rows.select(key, of.alias(MADE)).join(once(texts, MADE, text, run, *more), MADE).drop(MADE)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import reference_fields, reference_list
 from marginalia.operators import style
-from marginalia.operators.alike import different, once
+from marginalia.operators.alike import different, once, once_made
 from marginalia.operators.detect import detect_citations, detect_styles
 from marginalia.plans.analyze import analyze
 from marginalia.queries import queries
+from marginalia.sources import corpus
 from marginalia.sources.corpus import ordered, works
 
 from .test_functions import APA
@@ -91,3 +92,30 @@ def test_rules_of_all_parts_are_one_pass(spark, tmp_path):
     for name in ("violations_parts", "violation_types"):
         plan = queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 1, name
+
+
+def test_texts_are_made_once_for_what_they_are_made_of(spark):
+    """Texts of single citations were made for each row, three times, and tested for null down at the scan."""
+    rows = spark.createDataFrame([(i, "Lee" if i % 2 else None, 1 + i % 2) for i in range(10)], "id long, a string, n int")
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda a, n: made.add(1) or f"{a} {n}", "string").asNondeterministic()
+    found = once_made(rows, "id", ("a", "n"), {"text": count("a", "n")}, lambda each, key: each.select(key, F.upper("text").alias("seen")))
+    assert sorted(map(tuple, found.collect())) == [(i, "LEE 2" if i % 2 else "NONE 1") for i in range(10)]
+    assert made.value <= 8  # two values, in the distinct texts and in their digests
+    lists = rows.select("id", F.array("n", F.lit(None)).alias("ws"))
+    found = once_made(lists, "id", ("ws",), {"text": F.col("ws")[0].cast("string")}, lambda each, key: each.select(key, F.col("text").alias("seen")))
+    assert sorted(map(tuple, found.collect())) == [(i, str(1 + i % 2)) for i in range(10)]
+
+
+def test_digests_are_not_tested_for_null(spark):
+    """The test went down to the scan, and made each row's text there."""
+    docs = spark.range(3).selectExpr("id", "concat('x', id) AS text")
+    plan = once(docs, "id", "text", lambda each, key: each.select(key))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and "isnotnull" not in plan
+
+
+def test_tasks_get_works_by_the_bytes_of_their_table(spark, tmp_path, monkeypatch):
+    """Works were dealt by the bytes of three numbers each: a task got some millions, and made their texts."""
+    spark.range(2000).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(corpus, "TASK", 500)
+    assert works(spark, str(tmp_path)).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
