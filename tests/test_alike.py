@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from marginalia.functions import reference_fields, reference_list
-from marginalia.operators import style
+from marginalia.operators import places, style
 from marginalia.operators.alike import different, once, once_made
 from marginalia.operators.detect import detect_citations, detect_styles
 from marginalia.plans.analyze import analyze
@@ -119,3 +119,12 @@ def test_tasks_get_works_by_the_bytes_of_their_table(spark, tmp_path, monkeypatc
     spark.range(2000).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
     monkeypatch.setattr(corpus, "TASK", 500)
     assert works(spark, str(tmp_path)).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_tasks_get_matches_by_their_estimated_bytes(spark, monkeypatch):
+    """Matches were dealt by what is exchanged, which packs well: a task's windows sorted some gigabytes."""
+    rows = spark.range(100).selectExpr("id", "0L AS _hash", "0L AS _row", "'x' AS raw")
+    monkeypatch.setattr(places, "TASK", 50)
+    plan = places.Rows("id").together(rows)._jdf.queryExecution().optimizedPlan()
+    assert plan.numPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert detect_citations(spark.createDataFrame(ROWS, "doc_id long, text string")).count() == 5
