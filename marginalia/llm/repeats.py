@@ -10,13 +10,13 @@ finds all that repeats; what comes before it only brings together what may be eq
    a slice that share an anchor with others of it (`FEW` or more) form a text; its transform tells which of their strings a
    smaller document of the slice holds. Fragments that are wholly removed so are not sent on: a passage in a third of all
    documents is one row for each slice.
-3. Fragments meet by anchor, packed again, and form texts of whole anchors of up to `INDEX` bytes. A larger anchor is
-   halved, and what is left of both halves compared in pairs of blocks. Anchors of more than `HOT` rows are first dealt
+3. Fragments meet by anchor, packed again, and form texts of whole anchors of up to `INDEX` bytes. Of equal fragments those
+   of the two least documents come into a text and stand for their copies. A larger anchor is halved, and what is left of both halves compared in pairs of blocks. Anchors of more than `HOT` rows are first dealt
    out with a salt, and only what is left of them meets in a second turn.
 4. Spans are merged for each document, and the text without them is formed.
 
 A text's suffixes are sorted and the transform's boundaries extended backwards in breadth, which sets longest common
-prefixes by increasing value, and stops at `LENGTH`. What is still joined then are equal strings; their least document
+prefixes by increasing value, from those below 8 that words of 8 bytes tell, and stops at `LENGTH`. What is still joined then are equal strings; their least document
 decides.
 
 All documents are read whole, as UTF-8. Null and empty texts and texts below `LENGTH` bytes lose nothing. Keys are
@@ -45,6 +45,8 @@ from .shingles import mix
 LENGTH, ANCHOR = 50, 20
 #: Bytes of documents that are scanned at once, and of fragments in one transform.
 SCAN, INDEX = 2_000_000, 500_000
+#: Places whose codes are made at once, so that they stay in the processor's cache.
+CACHED = 65_536
 #: Fragments of an anchor in a slice below which they are sent on as they are.
 FEW = 4
 #: Rows of an anchor (one or two for each slice of documents that holds it) up to which one task takes it at once.
@@ -71,6 +73,17 @@ def codes(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _least_codes(data: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """The least code of the `length` bytes from each place; data has 32 bytes more than the texts."""
+    low, window, have = codes(data, anchor), length - anchor + 1, 1
+    while 2 * have <= window:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < window:
+        low = np.minimum(low[: have - window], low[window - have :])
+    return low[: len(data) - 32 - length + 1]
+
+
 def fragments(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor code, number of the text, first place and number of strings of each fragment of texts."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -79,13 +92,7 @@ def fragments(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray,
     empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     if n < length:
         return empty
-    low, window, have = codes(data, anchor), length - anchor + 1, 1
-    while 2 * have <= window:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if have < window:
-        low = np.minimum(low[: have - window], low[window - have :])
-    low = low[: n - length + 1]
+    low = np.concatenate([_least_codes(data[at : at + CACHED + length - 1 + 32], length, anchor) for at in range(0, n - length + 1, CACHED)])
     begins = np.cumsum(sizes) - sizes
     change = np.ones(len(low), bool)
     change[1:] = low[1:] != low[:-1]
@@ -244,38 +251,58 @@ class Pieces(NamedTuple):
         return out
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, and the keys in it. Key and number are sorted as one word where they fit into it."""
+    own = np.uint64(len(key).bit_length())
+    if bits + int(own) > 64:
+        order = np.argsort(key)
+        return order.astype(np.int32), key[order]
+    word = (key << own) | np.arange(len(key), dtype=np.uint64)
+    word.sort()
+    return (word & ((np.uint64(1) << own) - np.uint64(1))).astype(np.int32), word >> own
+
+
 def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
     """Places of data sorted by the `length` bytes from each, or more (beyond the end: zeros).
 
-    Ranks by 8 bytes are put together, three in a row (two in large texts); only rows that are still tied are sorted again.
+    The first key has as many bytes, numbered among those that occur, as fit with a place into a word. Then ranks are put
+    together, two or three in a row; only rows that are still tied are sorted again.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").reshape(-1).astype(np.uint64)
-    order = np.argsort(key).astype(np.int32)
-    key = key[order]
+    bits = n.bit_length()
+    used = np.bincount(data, minlength=256) > 0
+    used[0] = True
+    width = max(1, int(used.sum() - 1).bit_length())
+    size = min(length, (64 - bits) // width)
+    padded = np.zeros(n + size, np.uint64)
+    padded[:n] = (np.cumsum(used) - 1)[data]
+    key = padded[:n].copy()
+    for i in range(1, size):
+        key <<= np.uint64(width)
+        key |= padded[i : n + i]
+    order, key = _sorted(key, size * width)
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
-    joined, bits = (3, 21) if n < 1 << 21 else (2, 32)
-    rank = np.zeros(n + (joined + 1) * joined * length, np.int64)  # 0 beyond the end
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
-    rows, size = np.arange(n, dtype=np.int32), 8
+    rank = np.zeros(n + 3 * length, np.int32)  # 0 beyond the end
+    rows = np.arange(n, dtype=np.int32)
+    rank[order] = own = np.maximum.accumulate(np.where(new, rows + 1, 0))
     while size < length:
-        first = np.flatnonzero(new)
-        each = np.diff(np.append(first, len(rows)))
-        rows = rows[np.repeat(each > 1, each)]
+        tied = ~(new & np.append(new[1:], True))
+        rows, own = rows[tied], own[tied]
         if not len(rows):
             break
+        joined = min(3, max(2, (64 - len(rows).bit_length()) // bits))
         place = order[rows]
-        key = rank[place]
+        key = own.astype(np.uint64)
         for k in range(1, joined):
-            key = (key << bits) | rank[place + k * size]
-        by = np.argsort(key)
-        place, key = place[by], key[by]
+            key <<= np.uint64(bits)
+            key |= rank[place + k * size].astype(np.uint64)
+        by, key = _sorted(key, joined * bits)
+        place = place[by]
         order[rows] = place
         new = np.ones(len(rows), bool)
         new[1:] = key[1:] != key[:-1]
-        rank[place] = np.maximum.accumulate(np.where(new, rows + 1, 0))
+        rank[place] = own = np.maximum.accumulate(np.where(new, rows + 1, 0))
         size *= joined
     return order
 
@@ -284,27 +311,30 @@ def joined_prefixes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     """Suffix order, and of each suffix whether its longest common prefix with the one before reaches `length`.
 
     data ends in a byte 0, which stands also between its strings. Boundaries between intervals of suffixes with a
-    common prefix are found by increasing value: those of value 0 divide first bytes; one of value v makes one of value
-    v+1 for each byte before, where the intervals' rows with that byte are divided (the map from rows to rows of the
-    transform is LF). Rows that are divided at value `length` - 1 or before are boundaries. Where two rows with the same
+    common prefix are found by increasing value: those of values below 8 divide first words of 8 bytes; one of value v makes
+    one of value v+1 for each byte before, where the intervals' rows with that byte are divided (the map from rows to rows of
+    the transform is LF). Rows that are divided at value `length` - 1 or before are boundaries. Where two rows with the same
     byte before are neighbours, only a boundary between them divides what LF makes of them, so that it just follows.
     """
-    n = len(data)
+    n, least = len(data), min(8, length)
     order = suffix_order(data, length)
     before = data[order - 1]  # the transform
     rows = np.argsort(before, kind="stable").astype(np.int32)  # LF maps rows[k] to k
+    words = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (n, 8), (1, 1)).copy()
+    words[:, least:] = 0
+    words = words.view(np.uint64).reshape(-1)[order]
     divided = np.ones(n, bool)
-    ordered = data[order]
-    divided[1:] = ordered[1:] != ordered[:-1]
+    divided[1:] = words[1:] != words[:-1]
     # pairs of successive rows with the same byte before: (above, below) map to k-1 and k
-    k = (np.flatnonzero(before[rows[1:]] == before[rows[:-1]]) + 1).astype(np.int32)
+    same = before[rows]
+    k = (np.flatnonzero((same[1:] == same[:-1]) & ~divided[1:]) + 1).astype(np.int32)
     above, below = rows[k - 1], rows[k]
     beside = below == above + 1
     follows = np.full(n, -1, np.int32)
     follows[below[beside]] = k[beside]
     k, above, below = k[~beside], above[~beside], below[~beside]
     fresh = np.flatnonzero(divided).astype(np.int32)
-    for _ in range(1, length):
+    for _ in range(least, length):
         after = follows[fresh]
         after = after[after >= 0]
         seen = np.cumsum(divided, dtype=np.int32)
@@ -324,14 +354,16 @@ def least_before(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: in
     The strings have `size` bytes, and each is followed by a byte 255.
     """
     order, joined = joined_prefixes(data + np.uint8(1), length)  # bytes shift by one, so that 0 is only a separator
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-    inside = np.arange(len(data)) - np.repeat(np.cumsum(size + 1) - (size + 1), size + 1) + length <= size[owner]
-    document = np.where(inside, doc[owner], np.iinfo(np.int64).max)[order]
+    docs, number = np.unique(doc, return_inverse=True)
+    begin = np.cumsum(size + 1) - (size + 1)
+    until = np.repeat((begin + size - length).astype(np.int32), size + 1)  # the last place of a string of `length` bytes
+    inside = np.arange(len(data), dtype=np.int32) <= until
+    document = np.where(inside, np.repeat(number.astype(np.int32), size + 1), np.iinfo(np.int32).max)[order]
     first = np.flatnonzero(~joined)
     smallest = np.minimum.reduceat(document, first)
-    out = np.empty(len(data), np.int64)
+    out = np.empty(len(data), np.int32)
     out[order] = np.repeat(smallest, np.diff(np.append(first, len(data))))
-    return out[inside]
+    return docs[out[inside]]
 
 
 def _least_before(texts: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
@@ -378,8 +410,39 @@ def wholly(p: Pieces, gone: np.ndarray) -> np.ndarray:
     return np.logical_and.reduceat(gone, np.cumsum(p.count) - p.count) if len(p.count) else np.zeros(0, bool)
 
 
+def copied(pool: np.ndarray, p: Pieces, length: int) -> np.ndarray:
+    """The fragment that each one of p (sorted by anchor and document) is a copy of: of equal ones those of the two least documents stand for all."""
+    edge = np.flatnonzero(np.diff(p.code, prepend=-1))
+    n = np.diff(np.append(edge, len(p.code)))
+    of = np.arange(len(p.code))
+    rows = np.flatnonzero(np.repeat(n > 2, n))
+    one: dict[bytes, int] = {}
+    two: dict[bytes, int] = {}
+    raw, docs = memoryview(np.ascontiguousarray(pool)), p.doc.tolist()
+    for i, a, b in zip(rows.tolist(), p.start[rows].tolist(), (p.start + p.count + length - 1)[rows].tolist(), strict=True):
+        text = bytes(raw[a:b])
+        first = one.setdefault(text, i)
+        of[i] = first if docs[first] == docs[i] else two.setdefault(text, i)
+    return of
+
+
 def decide(pool: np.ndarray, p: Pieces, length: int, most: int = INDEX) -> np.ndarray:
-    """As hits, of fragments sorted by anchor and document: in texts of whole anchors, as no other fragments hold equal strings."""
+    """As hits, of fragments sorted by anchor and document: in texts of whole anchors, as no other fragments hold equal strings.
+
+    Of equal fragments two come into a text, whose transform decides for their copies too: what it removes of the second,
+    as the first document holds it, goes from all that follow.
+    """
+    of = copied(pool, p, length)
+    own = np.flatnonzero(of == np.arange(len(of)))
+    gone = _decide(pool, p.take(own), length, most)
+    if len(own) == len(of):
+        return gone
+    begin = np.cumsum(p.count[own]) - p.count[own]
+    place = begin[np.searchsorted(own, of)] - (np.cumsum(p.count) - p.count)
+    return gone[np.repeat(place, p.count) + np.arange(p.count.sum())]
+
+
+def _decide(pool: np.ndarray, p: Pieces, length: int, most: int) -> np.ndarray:
     edge = np.flatnonzero(np.diff(p.code, prepend=-1))
     sums = np.add.reduceat(p.count + length, edge) if len(edge) else np.zeros(0, np.int64)
     ends, out, at = np.append(edge[1:], len(p.code)), [], 0

@@ -273,3 +273,28 @@ def test_the_chain_beats_its_list_of_words():
     listed = np.mean([any(m in t.split() for m in marks) == bool(z) for t, z in data[900:]])
     alone = model._replace(before={}, after={}, step=((0.0, 0.0), (0.0, 0.0)))
     assert listed < 0.7 and right(model) > 0.95 and right(model) > right(alone) + 0.2
+
+
+def test_a_transform_takes_two_of_equal_fragments(monkeypatch):
+    """However often a fragment comes, and removes from all of its copies what it removes from the second."""
+    rng, length, seen = random.Random(5), 8, []
+    find = repeats.least_before
+    monkeypatch.setattr(repeats, "least_before", lambda data, *more: seen.append(len(data)) or find(data, *more))
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(8, 30))) for _ in range(4)]
+    found = [(d, t[a:]) for d in sorted(rng.randrange(60) for _ in range(400)) for t in [rng.choice(texts)] for a in [rng.randrange(len(t) - 7)]]
+    size, z = np.array([len(t) for _, t in found]), np.zeros(len(found), np.int64)
+    p = repeats.Pieces(z, np.array([d for d, _ in found]), z, z, size - length + 1, np.cumsum(size) - size, z + 1)
+    least: dict[bytes, int] = {}
+    for d, t in found:
+        for i in range(len(t) - length + 1):
+            least.setdefault(t[i : i + length], d)
+    right = [least[t[i : i + length]] < d for d, t in found for i in range(len(t) - length + 1)]
+    assert repeats.decide(np.frombuffer(b"".join(t for _, t in found), dtype=np.uint8), p, length).tolist() == right
+    assert sum(seen) <= 2 * sum(len(t) + 1 for t in {t for _, t in found})
+
+
+def test_keys_too_wide_for_a_word_are_ordered_alike():
+    keys = np.random.default_rng(6).integers(0, 1 << 20, 5000).astype(np.uint64)
+    for bits in (20, 64):
+        order, ordered = repeats._sorted(keys, bits)
+        assert (keys[order] == ordered).all() and (np.diff(ordered.astype(np.int64)) >= 0).all() and sorted(order.tolist()) == list(range(5000))
