@@ -1,5 +1,7 @@
 """Equal texts are worked on once, and what is found in them goes to every row that holds them."""
 
+import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -128,3 +130,33 @@ def test_tasks_get_matches_by_their_estimated_bytes(spark, monkeypatch):
     plan = places.Rows("id").together(rows)._jdf.queryExecution().optimizedPlan()
     assert plan.numPartitions() > 2 * spark.sparkContext.defaultParallelism
     assert detect_citations(spark.createDataFrame(ROWS, "doc_id long, text string")).count() == 5
+
+
+def test_lists_of_bits_are_the_grouped_works(spark, tmp_path):
+    """Of all parts and suppliers, with lines that repeat; a line without a part or a supplier has the works that SQL gives it."""
+    rows = [(k % 97, p, s) for k, (p, s) in enumerate((p, s) for p in [*range(60), 127] for s in [*range(5), 13])]
+    odd = {1000: (None,) * 5, 1001: ("Benson", None, None, "1991", "two")}
+    for name, lines in (("sound", [*rows, *rows[:50]]), ("odd", [(1000, None, None), (1001, 1, None)])):
+        spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+    right = {r["doc_id"]: r["ws"] for r in corpus.grouped(works(spark, f"{tmp_path}/sound")).collect()}
+    found = [corpus.lists(spark, f"{tmp_path}/{name}").select("doc_id", "n_works", corpus.works_of().alias("ws")).collect() for name in ("sound", "odd")]
+    assert {r["doc_id"]: r["ws"] for r in found[0]} == right and all(r["n_works"] == len(r["ws"]) for r in found[0])
+    assert {r["doc_id"]: tuple(r["ws"][0]) for r in found[1]} == odd
+
+
+def test_lists_meet_as_numbers_and_references_have_only_what_is_read(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 1)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = queries()["references_harvard"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "to_json" not in plan and "title#" not in plan and "volume#" in plan
+
+
+def test_headers_are_where_each_form_is_found():
+    """As all forms are looked for in the whole text, where they stand behind each other too."""
+    rng, bits = random.Random(4), ["\n", "\n\n", " ", "References", "WORKS CITED", "Literature", "Cited Literature", "#", "1. ", "---", "R\nE\nF\nERENCES", "word (2001). "]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 12)))
+        right: list[int] = []
+        for at in (m.start() for p in reference_list.HEADERS for m in re.finditer(p, text, re.I)):
+            if all(abs(at - p) >= reference_list.MERGE_WITHIN for p in right):
+                right.append(at)
+        assert reference_list._headers(text) == sorted(right)
