@@ -4,11 +4,12 @@ import random
 import re
 import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import reference_fields, reference_list
-from marginalia.operators import places, style
-from marginalia.operators.alike import different, once, once_made
+from marginalia.operators import author_year, places, style
+from marginalia.operators.alike import different, once, once_by, once_made
 from marginalia.operators.detect import detect_citations, detect_styles
 from marginalia.plans.analyze import analyze
 from marginalia.queries import queries
@@ -160,3 +161,39 @@ def test_headers_are_where_each_form_is_found():
             if all(abs(at - p) >= reference_list.MERGE_WITHIN for p in right):
                 right.append(at)
         assert reference_list._headers(text) == sorted(right)
+
+
+def test_values_are_worked_on_once(spark, tmp_path):
+    """Documents with the same works were matched, and analysed, one by one."""
+    rows = [(o, p, 1, 1, 5.0) for o in range(60) for p in (1, 2)] + [(None, 1, 1, 1, 5.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name, n in (("matches", 121), ("match_statistics", 61), ("cases_groups", 120), ("cases_dispatch", 120), ("analysis_statistics", 61)):
+        found = queries()[name](spark, str(tmp_path))
+        assert found.count() == n and "_made" in found._jdf.queryExecution().optimizedPlan().toString(), name
+    assert {r["status"] for r in queries()["matches"](spark, str(tmp_path)).where("doc_id IS NULL").collect()} == {"no_match"}
+
+
+def test_values_come_once_to_what_is_run(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3) for i in range(30)], "id long, n int")
+    found = once_by(rows, "id", ("n",), lambda each, key: each.select(key, "n", F.count("*").over(Window.partitionBy("n")).alias("times")))
+    assert sorted((r["id"], r["n"], r["times"]) for r in found.collect()) == [(i, None if i % 3 == 0 else i % 3, 1) for i in range(30)]
+
+
+def test_citations_before_a_list_need_no_more_of_the_text(spark):
+    """The forms were looked for in the whole list, most of a text."""
+    rng = random.Random(7)
+    bits = ["Smith", "Lee and Ng", "Zeno et al.", " (2001)", "(", ")", " ", ", ", ". ", "and ", "(Lee, 2001)", "(Lee & Ng, 2001; Zeno, 1999a)", "(Lee 2001)", "\n", "n.d.", "WHO", "see ", "; ", "2001", "&", "'s ", "x" * 90]
+    far = ["[", "]", "(Lee, p. 4)", " as cited in "]
+    texts = []
+    for i in range(1500):
+        a, b = ("".join(rng.choice(bits if i % 4 else bits + far) for _ in range(rng.randrange(n))) for n in (14, 50))
+        texts.append((i, a + "\n\nReferences\n" + b, len(a) + 2))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, begin int").repartition(4)
+    cut = docs.withColumn("text", author_year.before_list(F.col("text"), F.col("begin")))
+    shorter = docs.alias("d").join(cut.alias("c"), "doc_id").where("length(c.text) < length(d.text)").count()
+    assert shorter > 100
+    for find in (author_year.comma_citations, author_year.plain_citations):
+        both = [sorted(map(str, find(d, "doc_id", "text", ("begin",)).where("start < begin").collect())) for d in (docs, cut)]
+        assert both[0] == both[1] and len(both[0]) > 300
+    far = spark.createDataFrame([("It is.\n\nReferences\nLee (2001). " + "More words (2002). " * 500, 8)], "text string, begin int")
+    assert far.select(F.length(author_year.before_list(F.col("text"), F.col("begin")))).first()[0] < 200
