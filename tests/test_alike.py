@@ -197,3 +197,20 @@ def test_citations_before_a_list_need_no_more_of_the_text(spark):
         assert both[0] == both[1] and len(both[0]) > 300
     far = spark.createDataFrame([("It is.\n\nReferences\nLee (2001). " + "More words (2002). " * 500, 8)], "text string, begin int")
     assert far.select(F.length(author_year.before_list(F.col("text"), F.col("begin")))).first()[0] < 200
+
+
+def test_texts_of_lists_are_made_once(spark, tmp_path):
+    """They were made again for a digest of each, and exchanged to be compared, though lists differ."""
+    spark.createDataFrame([(o, p, 1) for o in range(9) for p in (1, 2)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("split_apa", "split_aom", "citations_bundled", "references_apa"):
+        plan = queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "_made" in plan and "_same" not in plan, name
+
+
+def test_ends_of_entries_are_told_by_the_last_word(monkeypatch):
+    """All text before was searched for a last word from each of its places, and for an address though a full stop had decided."""
+    seen = []
+    monkeypatch.setattr(reference_list, "compiled", lambda p, flags="", before=reference_list.compiled: seen.append(p) or before(p, flags))
+    for kind, before, ends in (("apa", "12(3), 45-67.", True), ("aom", "12(3): 45-67.", True), ("aom", "12(3): 45-67. van ", False), ("aom", "Smith, B.,\n", False), ("harvard", "word", False), ("apa", "", False)):
+        assert reference_list._ends_entry(before, reference_list.RUN_ON[kind]) is ends
+        assert not ends or reference_list.RUN_ON[kind].url not in seen
